@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality
+from . import chat, decontam, fairmix, licenses, quality, sharding, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,8 +22,47 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, model).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("llr", 6).alias("llr"))
 
 
+def op2_chat_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = dict(_read(spark, sf_dir, "conversations").dtypes)
+    planted = spark.createDataFrame(chat.PLANTED, "conv_id long, turn long, role string, text string")
+    given = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    turns = given.unionByName(planted.select(*[F.col(c).cast(kinds[c]) for c in planted.columns]))
+    return chat.digests(chat.render(turns))
+
+
+def op4_fair_queue_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fairmix.mix(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op6_spaced_seed_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.overlaps(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+def op7_simhash_deletion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(_read(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op8_license_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.labelled(licenses.scan(_read(spark, sf_dir, "documents")))
+
+
+def op10_best_fit_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.even_shards(_read(spark, sf_dir, "documents"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_chat_prefix_targets": op2_chat_prefix_targets,
+    "op4_fair_queue_mix": op4_fair_queue_mix,
+    "op6_spaced_seed_overlaps": op6_spaced_seed_overlaps,
+    "op7_simhash_deletion": op7_simhash_deletion,
+    "op8_license_diagonals": op8_license_diagonals,
+    "op10_best_fit_shards": op10_best_fit_shards,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op2_chat_prefix_targets": chat.OP2_SQL,
+    "op4_fair_queue_mix": fairmix.op4_sql(),
+}
