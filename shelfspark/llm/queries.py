@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, fairmix, licenses, quality, sharding, simhash
+from . import chat, decontam, fairmix, langid, licenses, qda, quality, sharding, simhash, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,10 +30,20 @@ def op2_chat_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.render(turns))
 
 
+def op3_language_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return langid.predict(docs, langid.learn(docs, ~langid.held_out()))
+
+
 def op4_fair_queue_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fairmix.mix(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_warc_histories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _read(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return warc.capture_histories(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op6_spaced_seed_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.overlaps(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
@@ -47,6 +57,10 @@ def op8_license_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.labelled(licenses.scan(_read(spark, sf_dir, "documents")))
 
 
+def op9_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return qda.classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op10_best_fit_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.even_shards(_read(spark, sf_dir, "documents"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -55,14 +69,18 @@ def op10_best_fit_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_chat_prefix_targets": op2_chat_prefix_targets,
+    "op3_language_codes": op3_language_codes,
     "op4_fair_queue_mix": op4_fair_queue_mix,
+    "op5_warc_histories": op5_warc_histories,
     "op6_spaced_seed_overlaps": op6_spaced_seed_overlaps,
     "op7_simhash_deletion": op7_simhash_deletion,
     "op8_license_diagonals": op8_license_diagonals,
+    "op9_quality_discriminant": op9_quality_discriminant,
     "op10_best_fit_shards": op10_best_fit_shards,
 }
 
 SQL: dict[str, str] = {
     "op2_chat_prefix_targets": chat.OP2_SQL,
     "op4_fair_queue_mix": fairmix.op4_sql(),
+    "op5_warc_histories": warc.OP5_SQL,
 }
