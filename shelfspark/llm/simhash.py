@@ -110,15 +110,20 @@ def variants(nodes: DataFrame, bits: int, segments: int) -> DataFrame:
     A key is the segment's value, above ten bits that tell which segment or which wildcard position it is.
     """
     ends = [bits * i // segments for i in range(segments + 1)]
-    keys = []
-    for i, (start, end) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
-        value, ones = _segment(start, end - start), (1 << (end - start)) - 1
-        tagged = lambda v, tag: F.shiftleft(v, 10).bitwiseOR(F.lit(tag).cast("long")).alias("key")
-        keys.append(F.struct(tagged(value, bits + i), F.lit(None).cast("int").alias("bit")))
-        for j in range(end - start):
-            bit = F.shiftrightunsigned(value, j).bitwiseAND(F.lit(1)).cast("int").alias("bit")
-            keys.append(F.struct(tagged(value.bitwiseAND(F.lit(ones & ~(1 << j))), start + j), bit))
-    return nodes.select("*", F.inline(F.array(*keys)))
+    one, tag = F.lit(1).cast("long"), lambda v, t: F.shiftleft(v, 10).bitwiseOR(t.cast("long")).alias("key")
+
+    def wildcards(i: int) -> F.Column:
+        value = F.col(f"_v{i}")
+
+        def at(j: F.Column) -> F.Column:
+            under = F.call_function("shiftleft", one, j)
+            return F.struct(tag(value.bitwiseAND(F.bitwise_not(under)), j + ends[i]), F.when(value.bitwiseAND(under) == 0, 0).otherwise(1).alias("bit"))
+
+        return F.transform(F.sequence(F.lit(0), F.lit(ends[i + 1] - ends[i] - 1)), at)
+
+    exact = F.array(*[F.struct(tag(F.col(f"_v{i}"), F.lit(bits + i)), F.lit(None).cast("int").alias("bit")) for i in range(segments)])
+    cutup = nodes.select("*", *[_segment(ends[i], ends[i + 1] - ends[i]).alias(f"_v{i}") for i in range(segments)])
+    return cutup.select(*nodes.columns, F.concat(exact, *[wildcards(i) for i in range(segments)]).alias("_keys")).select(*nodes.columns, F.inline_outer("_keys"))
 
 
 def _forest(ids: np.ndarray, prints: np.ndarray, most: int) -> list[tuple[int, int]]:
