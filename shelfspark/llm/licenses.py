@@ -73,7 +73,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", phrases: d
     words = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), license_words(F.col(text)).alias("_w"))
     grams = F.transform(_grams(F.col("_w")), lambda h, i: F.struct(i.alias("pos"), h.alias("h"), F.lit(False).alias("mark")))
     mark = F.struct(F.size("_w").alias("pos"), F.lit(0).cast("long").alias("h"), F.lit(True).alias("mark"))
-    each = words.select("row", "doc_id", "_w", F.explode(F.concat(grams, F.array(mark))).alias("g")).select("row", "doc_id", "_w", "g.*")
+    # grams are made by a step of their own: inside the generator they would keep it, and the join, out of generated code
+    each = words.select("row", "doc_id", "_w", F.concat(grams, F.array(mark)).alias("_g")).select("row", "doc_id", "_w", F.inline_outer("_g"))
     known = templates(docs.sparkSession, phrases, notices).withColumn("mark", F.lit(False))
     nothing = [F.lit(None).cast(t).alias(c) for c, t in known.drop("h", "mark").dtypes]
     known = known.unionByName(docs.sparkSession.range(1).select(*nothing, F.lit(0).cast("long").alias("h"), F.lit(True).alias("mark")))
