@@ -1,7 +1,7 @@
 """Price radar and alert cooldown over streams of observations.
 
 Both keep one small value for each key, sort a micro-batch by (instant, id) within the key, and give over a whole
-stream what the batch operators give over the whole table.
+stream what the batch operators give over the whole table, as long as files come in the order of time.
 """
 
 from __future__ import annotations
@@ -60,12 +60,12 @@ def run_available(stream: DataFrame, checkpoint: str, out: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table as a stream of its files: those of its folder, or the one file, watched in the folder that holds it."""
+def source(spark: SparkSession, sf_dir: str, name: str, files: int = 1000) -> DataFrame:
+    """A table as a stream of its files, oldest first and `files` at a time: those of its folder, or the one file, watched in the folder that holds it."""
     path = f"{sf_dir}/{name}.parquet"
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     single = at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isFile()
-    reader = spark.readStream.schema(spark.read.parquet(path).schema).option("pathGlobFilter", f"{name}.parquet" if single else "*.parquet").option("maxFilesPerTrigger", 4)
+    reader = spark.readStream.schema(spark.read.parquet(path).schema).option("pathGlobFilter", f"{name}.parquet" if single else "*.parquet").option("maxFilesPerTrigger", files)
     return reader.parquet(sf_dir if single else path)
 
 
