@@ -30,7 +30,7 @@ ORDERS = (1, 2, 3)
 #: Rounds and step of the gradient descent, and its ridge.
 ROUNDS, STEP, RIDGE = 150, 2.0, 1e-4
 #: A decision is ambiguous below this difference of mean loss between the two nearest codewords.
-AMBIGUOUS = 0.1
+AMBIGUOUS = 0.5
 UNKNOWN = "und"
 _BLOCK = 1 << 16
 

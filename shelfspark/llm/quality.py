@@ -93,4 +93,7 @@ def judge(docs: DataFrame, model: DataFrame, text: str = "text", buckets: int =
         "llr": F.coalesce(F.try_divide(add(h) + add(F.col("_two")), F.size(h) + F.size("_two")), F.lit(0.0)),
     })
     failed = (n < MIN_WORDS) | (F.lit(100) * F.col("n_repeat_words") > F.lit(MAX_REPEAT_PERCENT) * n)
-    return measured.withColumns({"base_failed": failed, "kept": ~failed & (F.col("llr") >= threshold)}).drop("_words", "_h", "_win", "_two", "_lines", "_w")
+    judged = measured.withColumns({"base_failed": failed, "kept": ~failed & (F.col("llr") >= threshold)}).drop("_words", "_h", "_win", "_two", "_lines", "_w")
+    # A generator as the last step: a caller's filter on a verdict would else be pushed below, and into, the steps
+    # that make it, and so make every hash again for each word.
+    return judged.select(F.inline_outer(F.array(F.struct(*judged.columns))))

@@ -126,8 +126,23 @@ def variants(nodes: DataFrame, bits: int, segments: int) -> DataFrame:
     return cutup.select(*nodes.columns, F.concat(exact, *[wildcards(i) for i in range(segments)]).alias("_keys")).select(*nodes.columns, F.inline_outer("_keys"))
 
 
-def _forest(ids: np.ndarray, prints: np.ndarray, most: int) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of the links (at most `most` differing bits) among one key's fingerprints.
+def sketch(text: str | None, bins: int) -> np.ndarray:
+    """The least hash of a text's five-word shingles in each bin of hashes; -1 for an empty bin."""
+    found = shingles_of(words_of(text), SIMILAR_WORDS)
+    out = np.full(bins, np.iinfo(np.uint32).max, np.uint32)
+    h = np.array([xxhash.xxh64_intdigest(x, SEED) for x in found], dtype=np.uint64)
+    np.minimum.at(out, (h % np.uint64(bins)).astype(np.int64), ((h >> np.uint64(32)) & np.uint64(0xFFFFFFFE)).astype(np.uint32))
+    return out.view(np.int32)
+
+
+def similar(one: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """The estimated Jaccard similarity of a sketch with each of others: equal bins among those that either has."""
+    either = ((others != -1) | (one != -1)).sum(axis=1)
+    return ((others == one) & (others != -1)).sum(axis=1) / np.maximum(1, either)
+
+
+def _forest(ids: np.ndarray, prints: np.ndarray, most: int, sketches: np.ndarray | None = None, least: float = 0.0) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of the links among one key's fingerprints: at most `most` differing bits, and sketches similar by `least`.
 
     Each step takes a node off the frontier and links to it all nodes that no tree has yet: nodes that are in
     a tree are never compared again, so one large family costs about one comparison a node.
@@ -138,6 +153,8 @@ def _forest(ids: np.ndarray, prints: np.ndarray, most: int) -> list[tuple[int, i
         while frontier and len(rest):
             x = frontier.pop()
             near = np.bitwise_count(prints[rest] ^ prints[x]).sum(axis=1) <= most
+            if sketches is not None and near.any():
+                near[near] = similar(sketches[x], sketches[rest[near]]) >= least
             for y in rest[near]:
                 out.append((int(ids[x]), int(ids[y])))
                 frontier.append(y)
@@ -145,26 +162,31 @@ def _forest(ids: np.ndarray, prints: np.ndarray, most: int) -> list[tuple[int, i
     return out
 
 
-def links(nodes: DataFrame, n_words: int, segments: int, most: int) -> DataFrame:
-    """(a, b): links whose components are those of all links between nodes(id, f0, ...) that share a key and differ in at most `most` bits."""
+def links(nodes: DataFrame, n_words: int, segments: int, most: int, sketches: DataFrame | None = None, least: float = 0.0) -> DataFrame:
+    """(a, b): links whose components are those of all links between nodes(id, f0, ...) that share a key and differ in at most `most` bits.
+
+    With sketches(id, s), linked nodes are also similar by `least`. Sketches join only the rows that are left when
+    keys without a partner have gone.
+    """
     names = [f"f{i}" for i in range(n_words)]
     keyed = variants(nodes, 64 * n_words, segments)
     same = Window.partitionBy("key")
     alive = keyed.withColumns({"_n": F.count("*").over(same), "_least": F.min("bit").over(same), "_most": F.max("bit").over(same)})
-    alive = alive.where((F.col("_n") > 1) & (F.col("bit").isNull() | (F.col("_least") < F.col("_most")))).select("key", "id", *names).sortWithinPartitions("key")
+    alive = alive.where((F.col("_n") > 1) & (F.col("bit").isNull() | (F.col("_least") < F.col("_most")))).select("key", "id", *names)
+    if sketches is not None:
+        alive = alive.join(sketches, "id").select("key", "id", *names, "s").repartition("key")
+    alive, sketched = alive.sortWithinPartitions("key"), sketches is not None
 
     def each(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[np.ndarray] = []  # the last key's rows, which the next batch may go on with
+        held: list[tuple[np.ndarray, np.ndarray | None]] = []  # the last key's rows, which the next batch may go on with
         out: list[tuple[int, int]] = []
 
-        def done(block: np.ndarray) -> None:
-            prints, cuts = block[:, 2:].view(np.uint64), np.flatnonzero(np.diff(block[:, 0])) + 1
-            for start, end in zip([0, *cuts], [*cuts, len(block)], strict=True):
-                if end - start == 2:
-                    if int(np.bitwise_count(prints[start] ^ prints[start + 1]).sum()) <= most:
-                        out.append((int(block[start, 1]), int(block[start + 1, 1])))
-                else:
-                    out.extend(_forest(block[start:end, 1], prints[start:end], most))
+        def done(blocks: list[tuple[np.ndarray, np.ndarray | None]]) -> None:
+            rows = np.concatenate([b[0] for b in blocks])
+            own = np.concatenate([b[1] for b in blocks]) if sketched else None
+            prints, cuts = rows[:, 2:].view(np.uint64), np.flatnonzero(np.diff(rows[:, 0])) + 1
+            for start, end in zip([0, *cuts], [*cuts, len(rows)], strict=True):
+                out.extend(_forest(rows[start:end, 1], prints[start:end], most, own[start:end] if sketched else None, least))
 
         def flush() -> pd.DataFrame:
             rows = pd.DataFrame(out, columns=["a", "b"], dtype="int64").drop_duplicates()
@@ -172,29 +194,32 @@ def links(nodes: DataFrame, n_words: int, segments: int, most: int) -> DataFrame
             return rows
 
         for part in parts:
-            rows = np.ascontiguousarray(part.to_numpy(dtype=np.int64))
-            if not len(rows):
+            if part.empty:
                 continue
+            rows = np.ascontiguousarray(part[["key", "id", *names]].to_numpy(dtype=np.int64))
+            own = np.stack(part["s"].to_numpy()) if sketched else None
             split = int(np.searchsorted(rows[:, 0], rows[-1, 0]))
-            if split == 0 and held and held[0][0, 0] == rows[0, 0]:
-                held.append(rows)
-                continue
-            done(np.concatenate([*held, rows[:split]]))
-            held = [rows[split:]]
+            if split:
+                done([*held, (rows[:split], own[:split] if sketched else None)])
+                held = []
+            elif held and held[-1][0][0, 0] != rows[0, 0]:
+                done(held)
+                held = []
+            held.append((rows[split:], own[split:] if sketched else None))
             if len(out) > _ROWS_AT_ONCE:
                 yield flush()
         if held:
-            done(np.concatenate(held))
+            done(held)
         yield flush()
 
     return alive.mapInPandas(each, "a bigint, b bigint").distinct()
 
 
-def classes(prints: DataFrame, n_words: int, segments: int, most: int) -> DataFrame:
-    """prints(doc_id, f0, ...) with component_id, the smallest doc_id reachable by links."""
-    names = [f"f{i}" for i in range(n_words)]
+def classes(prints: DataFrame, n_words: int, segments: int, most: int, sketches: DataFrame | None = None, least: float = 0.0) -> DataFrame:
+    """prints(doc_id, f0, ..., perhaps more) with component_id, the smallest doc_id reachable by links; rows that are equal but for doc_id are one node."""
+    names = [c for c in prints.columns if c != "doc_id"]
     nodes = cut(prints.groupBy(*names).agg(F.min("doc_id").alias("id")))
-    roots = components(links(nodes.where("id is not null"), n_words, segments, most))
+    roots = components(links(nodes.where("id is not null"), n_words, segments, most, sketches, least))
     rooted = nodes.join(roots, F.col("id") == F.col("node"), "left").select(*names, F.coalesce("root", "id").alias("component_id"))
     return prints.join(rooted, names)
 
@@ -204,12 +229,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     return classes(cut(fingerprints(docs, shingle_fingerprint, 1, id_col, text)), 1, 2, MAX_BITS)
 
 
-#: The pipeline's stage: 128 bits of distinct words in 5 segments. Pairs whose five-word shingles have a Jaccard
-#: similarity of 0.8 or more differ in few of these bits; README has the measured share that is found.
+#: The pipeline's stage: 128 bits of distinct words in 5 segments find candidates, a sketch of five-word shingles
+#: verifies them. SIMILAR is the Jaccard similarity that counts, SLACK about one standard error of the sketch.
 STAGE_WORDS, STAGE_SEGMENTS, STAGE_BITS = 2, 5, 16
+SIMILAR_WORDS, SIMILAR, SLACK, BINS = 5, 0.8, 0.03, 256
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, component_id): classes of near copies, exact copies included."""
-    found = cut(fingerprints(docs, word_set_fingerprint, STAGE_WORDS, id_col, text))
-    return classes(found, STAGE_WORDS, STAGE_SEGMENTS, STAGE_BITS).select("doc_id", "component_id")
+    """(doc_id, component_id): classes of near copies, exact copies included.
+
+    Rows with equal fingerprints and equal sketches (by a 64-bit hash of them) are one node. Nodes link where their
+    fingerprints share a key, differ in at most STAGE_BITS bits, and their sketches are similar by SIMILAR.
+    """
+    names = [f"f{i}" for i in range(STAGE_WORDS)]
+
+    def each(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            texts = [t.as_py() for t in part.column(1)]
+            rows = np.array([word_set_fingerprint(t, STAGE_WORDS) for t in texts], dtype=np.uint64).reshape(-1, STAGE_WORDS).view(np.int64)
+            own = [sketch(t, BINS) for t in texts]
+            whole = pa.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) - (1 << 63) for x in own], pa.int64())
+            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(np.ascontiguousarray(c)) for c in rows.T), whole, pa.array(own, pa.list_(pa.int32()))], ["doc_id", *names, "g", "s"])
+
+    given = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("_text"))
+    prints = cut(given.mapInArrow(each, f"doc_id {dict(docs.dtypes)[id_col]}, " + ", ".join(f"{n} bigint" for n in names) + ", g bigint, s array<int>"))
+    found = classes(prints.drop("s"), STAGE_WORDS, STAGE_SEGMENTS, STAGE_BITS, prints.select(F.col("doc_id").alias("id"), "s"), SIMILAR - SLACK)
+    return found.select("doc_id", "component_id")
