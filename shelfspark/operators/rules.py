@@ -65,3 +65,35 @@ def without_unread(candidates: DataFrame, alerts: DataFrame, keys: list[str]) ->
 def latest_alerts(alerts: DataFrame, keys: list[str]) -> DataFrame:
     newest = Window.partitionBy(*keys).orderBy(F.desc("created_at"), F.desc("alert_id"))
     return alerts.withColumn("_n", F.row_number().over(newest)).where("_n = 1").drop("_n")
+
+
+def evaluate_rules(rules: DataFrame, products: DataFrame, listings: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
+    """Candidates of all rules over whole listings(id, product_id, last_price, last_cart_price, last_sizes, last_in_stock, active).
+
+    A sized rule takes the first size entry with its label; one without a size takes any size in stock, or the
+    listing's own flag where no sizes are known. Spectrum rules look at all active products of the family, or at
+    their own product where the family has no active listing, and keep the cheapest candidate.
+    """
+    active = products.where("active").select(F.col("id").alias("product_id"), F.col("name").alias("product_name"), "family_key")
+    open_rules = rules.where("enabled and target_price is not null").join(active, "product_id")
+    offers = listings.where("active and last_price is not null").select(F.col("id").alias("listing_id"), F.col("product_id").alias("listing_product_id"), "last_price", "last_cart_price", "last_sizes", "last_in_stock")
+    named = active.select(F.col("product_id").alias("listing_product_id"), F.col("product_name").alias("listing_name"), F.col("family_key").alias("listing_family"))
+    families = listings.where("active").join(active, "product_id").where("family_key is not null").select(F.col("family_key").alias("_with")).distinct()
+    wide = F.coalesce("spectrum_mode", F.lit(False)) & F.col("_with").isNotNull()
+    scoped = open_rules.join(families, F.col("family_key") == F.col("_with"), "left").withColumn("_wide", wide).drop("_with")
+    cheap = F.col("last_price") <= F.col("target_price") * F.lit(tolerance)
+    own = scoped.where("not _wide").join(offers, (F.col("product_id") == F.col("listing_product_id")) & cheap).withColumn("listing_name", F.col("product_name"))
+    family = scoped.where("_wide").join(offers.join(named, "listing_product_id"), (F.col("family_key") == F.col("listing_family")) & cheap).drop("listing_family")
+    norm = lambda s: F.upper(F.trim(F.replace(s, F.lit(","), F.lit("."))))
+    label = lambda s: F.coalesce(F.nullif(s["name"], F.lit("")), s["size"])
+    sized = F.coalesce("size", F.lit("")).isin("", "-") == F.lit(False)
+    known = F.coalesce(F.size("last_sizes"), F.lit(0)) > 0
+    first = F.get(F.filter("last_sizes", lambda s: norm(label(s)) == norm(F.col("size"))), 0)
+    fits = F.when(sized, first["in_stock"]).when(known, F.exists("last_sizes", lambda s: F.coalesce(s["in_stock"], F.lit(False)))).otherwise(F.col("last_in_stock"))
+    said = F.when(sized, first["name"]).when(known, "Herhangi bir beden").otherwise("Beden bilgisi yok")
+    met = own.unionByName(family).where(F.coalesce(fits, F.lit(False))).withColumn("matched_size", said)
+    place = F.row_number().over(Window.partitionBy("id").orderBy("last_price", "listing_id"))
+    kept = met.withColumn("_place", F.when(F.col("spectrum_mode"), place).otherwise(1)).where("_place = 1")
+    title = F.concat(F.when(F.col("last_price") > F.col("target_price"), "🎯 HEDEFE YAKLAŞTI: ").otherwise("✅ HEDEF YAKALANDI: "), "listing_name")
+    cart = F.when(F.coalesce("last_cart_price", F.lit(0.0)) != 0, "Sepet indirimi").otherwise("Normal fiyat")
+    return kept.select(F.col("id").alias("rule_id"), "product_id", "listing_id", title.alias("title"), F.col("listing_name").alias("product_name"), F.col("last_price").alias("price"), "target_price", F.col("matched_size").alias("size"), cart.alias("price_type"), "cooldown_hours")

@@ -56,3 +56,18 @@ def outbox(alerts: DataFrame, enabled: bool, token: str | None, chat: str | None
     """Alerts with what a messenger would do: sent, or the reason why not."""
     reason = None if enabled and token and chat else "token_veya_chat_id_eksik" if enabled else "telegram_kapali"
     return alerts.withColumns({"sent": F.lit(reason is None), "reason": F.lit(reason).cast("string")})
+
+
+def manual_prices(listings: DataFrame, entered: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Listings with the prices entered(id, price, at) by hand, and the history rows for them; prices of 0 or less are refused. Sizes and stock stay."""
+    valid = entered.where("price > 0").select("id", F.col("price").alias("_price"), F.col("at").alias("_at"))
+    joined = listings.join(valid, "id", "left")
+    new = F.col("_price").isNotNull()
+    put = {"last_price": F.coalesce("_price", "last_price"), "last_price_source": F.when(new, "manual").otherwise(F.col("last_price_source")), "last_confidence": F.when(new, 0.99).otherwise(F.col("last_confidence")), "last_checked_at": F.coalesce("_at", "last_checked_at")}
+    history = joined.where(new).select(F.col("id").alias("listing_id"), "product_id", F.col("_price").alias("price"), F.lit("manual").alias("price_source"), F.lit(0.99).alias("confidence"), F.col("_at").alias("checked_at"))
+    return joined.withColumns(put).drop("_price", "_at"), history
+
+
+def history_rows(checked: DataFrame) -> DataFrame:
+    """Price history rows of checked offers: only those with a price; ids are a hash, so that a rerun gives the same ones."""
+    return checked.where("current_price is not null").withColumn("id", F.sha2(F.concat_ws("|", "listing_id", "checked_at", "current_price"), 256)).select("id", "listing_id", "product_id", F.col("current_price").alias("price"), "old_price", "cart_price", "price_source", "confidence", "stock_count", "checked_at")

@@ -23,7 +23,7 @@ SAMPLES = [
     ("intersport-scale", "intersport", "https://www.intersport.com.tr/urun/b", '<script type="application/ld+json">{"@type":"Product","name":"B","offers":{"price":679900}}</script>'),
     ("sportive", "sportive", "https://www.sportive.com.tr/c", '<meta name="og:price:amount" content="1499.99"><button id="41">41</button><button id="42,5"><p>Tükendi</p></button>'),
     ("decathlon", "decathlon", "https://www.decathlon.com.tr/d", '<meta property="product:price:amount" content="990"><meta property="product:original_price:amount" content="1290"><p>42 Stokta Mevcut</p><p>43 Stokta Mevcut Değil</p>'),
-    ("adidas", "adidas", "https://www.adidas.com.tr/e", '<script type="application/ld+json">{"@type":"ProductGroup","name":"E","hasVariant":[{"size":"41","offers":{"price":3000,"availability":"OutOfStock"}},{"size":"42","offers":{"price":2800,"availability":"InStock"}}]}</script>'),
+    ("adidas", "adidas", "https://www.adidas.com.tr/e", '<script type="application/ld+json">{"@type":"ProductGroup","name":"E","hasVariant":[{"size":"41","offers":{"price":3000,"availability":"OutOfStock"}},{"size":"42","offers":{"price":2800,"availability":"InStock","priceSpecification":{"priceType":"https://schema.org/StrikethroughPrice","price":3500}}}]}</script>'),
     ("empty", "", "", ""),
 ]
 
@@ -49,6 +49,20 @@ def page_links(t: Tables) -> DataFrame:
     return offers.page_links(t.raw("pages"))
 
 
+# Small result pages of our own.
+SEARCHES = [
+    ("cards", "", "https://shop.example/s?q=x", "nike pegasus", '<div class="product-card"><a href="/nike-pegasus-41-erkek-kosu-ayakkabi">Nike Pegasus 41</a><span class="price">4.999,90 TL</span></div><a href="/about">About</a>'),
+    ("decathlon", "decathlon", "https://www.decathlon.com.tr/search", "kiprun", '<article><a href="/p/kiprun-1"><h2>Kiprun KS900</h2></a><span class="price">2.990 TL</span></article><article><a href="/p/kiprun-1"><h2>Kiprun KS900</h2></a></article>'),
+    ("sportive", "sportive", "https://www.sportive.com.tr/s", "evo sl", r'<script>self.push("{\"products\":[{\"name\":\"Adizero Evo SL\",\"absolute_url\":\"/evo-sl\",\"price\":\"10.199,90\",\"in_stock\":true},{\"name\":\"Evo SL old\",\"absolute_url\":\"/old\",\"in_stock\":false}]}")</script>'),
+]
+
+
+@query("X14_search_pages")
+def search_pages(t: Tables) -> DataFrame:
+    pages = t.spark.createDataFrame(SEARCHES, "name string, slug string, url string, query string, html string")
+    return offers.search_pages(pages, "name", {"": (("shop.example",), None)})
+
+
 def _scored(t: Tables) -> DataFrame:
     """Names in each store with their score against one query; a name is scored once, however many products bear it."""
     names = t.products().select("name").distinct().withColumn("score", fuzzy.match_score(F.col("name"), F.lit("small red widget")))

@@ -105,7 +105,7 @@ def test_extractors():
         "intersport-scale": ("B", 6799.0, None, "json_ld", 0, True),
         "sportive": (None, 1499.99, None, "meta:og:price:amount", 1, True),
         "decathlon": (None, 990.0, 1290.0, "product:price:amount", 1, True),
-        "adidas": ("E", 2800.0, None, "json_ld", 1, True),
+        "adidas": ("E", 2800.0, 3500.0, "json_ld:ProductGroup.hasVariant.offers.price", 1, True),
         "empty": (None, None, None, None, 0, False),
     }
     assert got["generic-json"]["brand"] == "Acme"
@@ -127,3 +127,23 @@ def test_catalog(spark):
     rows = spark.createDataFrame([("www.nike.com.tr",), ("shop.example",), ("tr.puma.com",)], "host string")
     assert [r.store for r in catalog.route(rows).collect()] == ["Nike TR", "shop.example", "Puma TR"]
     assert catalog.shops(spark).count() == 22
+
+
+def test_search_pages(spark):
+    from shelfspark.plans import QUERIES
+
+    got = [(r["name"], r["place"], r["title"], r["url"], r["price"]) for r in QUERIES["X14_search_pages"](spark, "").collect()]
+    assert sorted(got) == [
+        ("cards", 0, "Nike Pegasus 41", "https://shop.example/nike-pegasus-41-erkek-kosu-ayakkabi", 4999.9),
+        ("decathlon", 0, "Kiprun KS900", "https://www.decathlon.com.tr/p/kiprun-1", 2990.0),
+        ("decathlon", 1, "Kiprun KS900", "https://www.decathlon.com.tr/p/kiprun-1", None),
+        ("sportive", 0, "Adizero Evo SL", "https://www.sportive.com.tr/evo-sl", 10199.9),
+    ]
+
+
+def test_enrich(spark):
+    results = spark.createDataFrame([(f"u{i}", 90 - i, 1.0, None) for i in range(10)], "url string, score int, price double, image string")
+    found = spark.createDataFrame([("u0", 5.0, 9.0, "i.png", [("42", True), ("43", False)]), ("u9", 7.0, None, None, [])], "url string, current_price double, old_price double, image string, sizes array<struct<name:string,in_stock:boolean>>")
+    got = {r.url: r for r in offers.enrich(results, found).collect()}
+    assert (got["u0"].price, got["u0"].old_price, got["u0"].sizes_in_stock, got["u0"].sizes_total, got["u0"].enriched) == (5.0, 9.0, ["42"], 2, True)
+    assert (got["u1"].price, got["u1"].enriched) == (1.0, False) and (got["u9"].price, got["u9"].enriched) == (1.0, None)

@@ -132,3 +132,47 @@ def test_cooldown_stream(spark, tmp_path):
     spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").write.parquet(str(tmp_path / "events.parquet"))
     got = radar.run_available(radar.cooled_alerts(radar.as_alerts(radar.source(spark, str(tmp_path), "events"))), str(tmp_path / "state"), str(tmp_path / "out"))
     assert sorted(r.alert_id for r in got.collect()) == [0, 2, 5, 6]
+
+
+SIZES = "array<struct<name:string,size:string,in_stock:boolean>>"
+
+
+@pytest.mark.parametrize(
+    ("rule", "listing", "want"),
+    [
+        ((5000.0, None, False), (5400.0, [("42", "42", True)], True), ("🎯 HEDEFE YAKLAŞTI: P", "Herhangi bir beden")),
+        ((5000.0, None, False), (5500.01, [("42", "42", True)], True), None),
+        ((5000.0, "44", False), (4000.0, [("44", "44", False)], True), None),
+        ((5000.0, "42.5", False), (4000.0, [("42,5", "x", True)], True), ("✅ HEDEF YAKALANDI: P", "42,5")),
+        ((5000.0, None, False), (4000.0, [("42", "42", False)], True), None),
+        ((5000.0, "-", False), (4000.0, [], True), ("✅ HEDEF YAKALANDI: P", "Beden bilgisi yok")),
+        ((5000.0, None, False), (4000.0, None, False), None),
+        ((None, None, False), (4000.0, None, True), None),
+        ((5000.0, "43", False), (4000.0, [("43", "43", False), ("43", "43", True)], True), None),
+    ],
+)
+def test_rule_cases(spark, rule, listing, want):
+    rules_of = spark.createDataFrame([("r", "p", *rule, 24.0, True)], "id string, product_id string, target_price double, size string, spectrum_mode boolean, cooldown_hours double, enabled boolean")
+    products = spark.createDataFrame([("p", "P", None, True)], "id string, name string, family_key string, active boolean")
+    listings = spark.createDataFrame([("l", "p", listing[0], 1.0, listing[1], listing[2], True)], f"id string, product_id string, last_price double, last_cart_price double, last_sizes {SIZES}, last_in_stock boolean, active boolean")
+    got = [(r.title, r["size"]) for r in rules.evaluate_rules(rules_of, products, listings).collect()]
+    assert got == ([want] if want else [])
+
+
+def test_spectrum_rules(spark):
+    rules_of = spark.createDataFrame([("wide", "p1", 5000.0, None, True, 24.0, True), ("alone", "p4", 5000.0, None, True, 24.0, True)], "id string, product_id string, target_price double, size string, spectrum_mode boolean, cooldown_hours double, enabled boolean")
+    products = spark.createDataFrame([("p1", "One", "f", True), ("p2", "Two", "f", True), ("p3", "Off", "f", False), ("p4", "Four", None, True)], "id string, name string, family_key string, active boolean")
+    rows = [("a", "p1", 4500.0), ("b", "p2", 4300.0), ("c", "p2", 4300.0), ("d", "p3", 100.0), ("e", "p4", 4900.0), ("f", "p4", 4800.0)]
+    listings = spark.createDataFrame([(i, p, v, None, None, True, True) for i, p, v in rows], f"id string, product_id string, last_price double, last_cart_price double, last_sizes {SIZES}, last_in_stock boolean, active boolean")
+    got = {r.rule_id: (r.product_id, r.listing_id, r.product_name, r.price) for r in rules.evaluate_rules(rules_of, products, listings).collect()}
+    assert got == {"wide": ("p1", "b", "Two", 4300.0), "alone": ("p4", "f", "Four", 4800.0)}
+
+
+def test_manual_prices_and_history(spark):
+    at = dt.datetime(2024, 1, 1)
+    listings = spark.createDataFrame([("a", "p", 10.0, "shelf", 0.9, None), ("b", "p", 20.0, "shelf", 0.9, None)], "id string, product_id string, last_price double, last_price_source string, last_confidence double, last_checked_at timestamp")
+    put, history = state.manual_prices(listings, spark.createDataFrame([("a", 5.0, at), ("b", 0.0, at)], "id string, price double, at timestamp"))
+    assert {r.id: (r.last_price, r.last_price_source) for r in put.collect()} == {"a": (5.0, "manual"), "b": (20.0, "shelf")}
+    assert [(r.listing_id, r.price, r.price_source) for r in history.collect()] == [("a", 5.0, "manual")]
+    checked = spark.createDataFrame([("a", "p", 5.0, at), ("b", "p", None, at)], "listing_id string, product_id string, current_price double, checked_at timestamp").select("*", *[F.lit(None).cast(k).alias(n) for n, k in (("old_price", "double"), ("cart_price", "double"), ("price_source", "string"), ("confidence", "double"), ("stock_count", "int"))])
+    assert [r.listing_id for r in state.history_rows(checked).collect()] == ["a"]
