@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 #: Words are maximal runs of characters that are not ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows that a hinted broadcast may have at most; beyond it the callers shuffle or work in blocks.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 500_000
 #: Rows that one task orders at most in :func:`running_total`, on average.
 BUCKET_ROWS = 4096
 
