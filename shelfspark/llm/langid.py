@@ -19,9 +19,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import small
+
 #: Labelled texts for each language that fitting reads at most.
 SAMPLE = 250
 #: Buckets for the n-grams of each order.
@@ -111,17 +113,23 @@ def fit(texts: list[str], langs: list[str]) -> Model:
 
 
 def learn(docs: DataFrame, usable: Column, text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Model:
-    """Fits on the `sample` usable texts of least hash of each language, equal texts once.
+    """Fits on at most `sample` usable texts of each language, equal texts once: those of least hash.
 
-    The hashes below which the samples lie are found first, so that no other text is shuffled or sorted.
+    A language's texts are counted first; only those in the lowest share of hashes that holds twice the sample on
+    average go further, so neither sorting nor shuffling grows with the corpus.
     """
-    given = docs.where(usable & F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text).alias("t"), F.col(lang).alias("l"), F.xxhash64(F.col(text)).alias("h"))
-    least = given.select("l", "h").distinct().withColumn("n", F.row_number().over(Window.partitionBy("l").orderBy("h"))).where(F.col("n") <= sample)
-    ends = least.groupBy(F.col("l").alias("_l")).agg(F.max("h").alias("_end"))
-    near = given.join(F.broadcast(ends), (F.col("l") == F.col("_l")) & (F.col("h") <= F.col("_end"))).select("l", "h", "t").dropDuplicates(["l", "h"])
-    rows = sorted(((r["l"], r["h"], r["t"]) for r in near.collect()), key=lambda r: r[:2])
-    rows = [r for r in rows if any(c.isalpha() for c in r[2])]
-    return fit([r[2] for r in rows], [r[0] for r in rows])
+    given = docs.where(usable & F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text).alias("t"), F.col(lang).alias("l"))
+    counts, _ = small(given.groupBy(F.col("l").alias("_l")).agg(F.count("*").alias("_n")))
+    hashed = given.withColumn("h", F.xxhash64("t"))
+    near = hashed.join(counts, F.col("l") == F.col("_l")).where((F.col("h") / 2.0**64 + 0.5) * F.col("_n") <= 2 * sample)
+    rows = sorted(((r["l"], r["h"], r["t"]) for r in near.select("l", "h", "t").dropDuplicates(["l", "h"]).collect()), key=lambda r: r[:2])
+    taken: dict[str, int] = {}
+    kept = []
+    for lang_, _, found in rows:
+        if any(c.isalpha() for c in found) and taken.get(lang_, 0) < sample:
+            taken[lang_] = taken.get(lang_, 0) + 1
+            kept.append((lang_, found))
+    return fit([t for _, t in kept], [v for v, _ in kept])
 
 
 def held_out(id_col: str = "doc_id") -> Column:

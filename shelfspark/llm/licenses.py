@@ -105,3 +105,24 @@ def labelled(spans: DataFrame) -> DataFrame:
         joined(found).alias("labels"),
         F.coalesce(F.max(F.when(found, F.col("cover"))), F.lit(0.0)).alias("score"),
     ).drop("row")
+
+
+def op8_sql(phrases: dict[str, str] = PHRASES, notices: dict[str, str] = NOTICES) -> str:
+    """DuckDB SQL for the op8 query: the same votes, over the k-grams themselves."""
+    known = ", ".join(f"({i}, '{label}', {exact}, '{text.lower()}')" for i, (text, label, exact) in enumerate([*((t, x, "true") for t, x in phrases.items()), *((t, x, "false") for t, x in notices.items())]))
+    upper = "".join(map(chr, range(65, 91)))
+    words = f"regexp_extract_all({{}}, '{LICENSE_WORD}')"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {words.format(f"translate(coalesce(text, ''), '{upper}', '{upper.lower()}')")} AS w FROM documents),
+t AS (SELECT template, label, exact, {words.format("txt")} AS w FROM (VALUES {known}) AS v(template, label, exact, txt)),
+tk AS (SELECT template, label, exact, len(w) - {K - 1} AS n_grams, p AS tpos, array_to_string(w[p + 1:p + {K}], ' ') AS gram FROM (SELECT *, unnest(range(greatest(0, len(w) - {K - 1}))) AS p FROM t)),
+dk AS (SELECT r, p AS pos, array_to_string(w[p + 1:p + {K}], ' ') AS gram FROM (SELECT *, unnest(range(greatest(0, len(w) - {K - 1}))) AS p FROM d)),
+v AS (SELECT r, template, label, exact, n_grams, pos - tpos AS diagonal, count(*) AS votes, min(pos) AS first, max(pos) AS last FROM dk JOIN tk USING (gram) GROUP BY ALL),
+b AS (SELECT *, CASE WHEN exact OR diagonal - lag(diagonal) OVER (PARTITION BY r, template ORDER BY diagonal) > {BAND} THEN 1 ELSE 0 END AS breaks FROM v),
+s AS (SELECT *, sum(breaks) OVER (PARTITION BY r, template ORDER BY diagonal) AS span FROM b),
+m AS (SELECT r, template, label, exact, n_grams, span, sum(votes) AS votes, min(first) AS first, max(last) AS last, least(1.0::DOUBLE, sum(votes) / n_grams) AS cover FROM s GROUP BY r, template, label, exact, n_grams, span),
+g AS (SELECT * FROM m WHERE CASE WHEN exact THEN votes = n_grams ELSE cover >= {COVER} AND last - first + 1 <= {STRETCH} * n_grams + {BAND} END),
+a AS (SELECT r, CAST(count(*) FILTER (exact) AS BIGINT) AS n_base, min(first) FILTER (exact) AS first_word, max(first) FILTER (exact) AS last_word, coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (exact), '') AS base_labels,
+  string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(cover) AS score FROM g GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0) AS score
+FROM d LEFT JOIN a USING (r)"""

@@ -83,4 +83,6 @@ SQL: dict[str, str] = {
     "op2_chat_prefix_targets": chat.OP2_SQL,
     "op4_fair_queue_mix": fairmix.op4_sql(),
     "op5_warc_histories": warc.OP5_SQL,
+    "op6_spaced_seed_overlaps": decontam.op6_sql(),
+    "op8_license_diagonals": licenses.op8_sql(),
 }
