@@ -181,25 +181,18 @@ def spectrum_matches(t: Tables) -> DataFrame:
     return rules.spectrum_matches(t.rules(), t.products().withColumn("family_key", text.family_key(F.col("name"))), t.listings())
 
 
-COOL = """
-c AS (SELECT a.alert_id, a.rule_id, a.listing_id, a.created_at AS as_of, a.rule_id % 4 * 12 AS cooldown_hours FROM alerts a WHERE a.alert_id % 3 = 0),
-h AS (SELECT rule_id, listing_id, max(created_at) AS last FROM alerts WHERE alert_id % 3 = 1 GROUP BY 1, 2)"""
-
-
-@query("J7_cooldown_alerts", COOL + """
+@query("J7_cooldown_alerts", """
+h AS (SELECT rule_id, listing_id, max(created_at) AS last FROM alerts GROUP BY 1, 2)
 ==
-SELECT alert_id, c.rule_id, c.listing_id FROM c LEFT JOIN h USING (rule_id, listing_id)
+SELECT candidate_id, c.rule_id, c.listing_id FROM candidates c LEFT JOIN h USING (rule_id, listing_id)
 WHERE NOT coalesce(epoch_us(as_of) - epoch_us(last) < coalesce(nullif(cooldown_hours, 0), 24) * 3600000000, false)""")
 def cooldown_alerts(t: Tables) -> DataFrame:
-    a = t.alerts()
-    candidates = a.where("alert_id % 3 = 0").select("alert_id", "rule_id", "listing_id", F.col("created_at").alias("as_of"), (F.col("rule_id") % 4 * 12).cast("double").alias("cooldown_hours"))
-    return rules.outside_cooldown(candidates, a.where("alert_id % 3 = 1"), ["rule_id", "listing_id"]).select("alert_id", "rule_id", "listing_id")
+    return rules.outside_cooldown(t.candidates(), t.alerts(), ["rule_id", "listing_id"]).select("candidate_id", "rule_id", "listing_id")
 
 
-@query("J13_unread_suppression", """SELECT alert_id, rule_id FROM alerts a WHERE alert_id % 3 = 0 AND NOT EXISTS (SELECT 1 FROM alerts b WHERE b.is_read = false AND b.rule_id = a.rule_id AND b.listing_id = a.listing_id AND b.alert_id % 3 = 1)""")
+@query("J13_unread_suppression", """SELECT candidate_id, rule_id FROM candidates c WHERE NOT EXISTS (SELECT 1 FROM alerts b WHERE b.is_read = false AND b.rule_id = c.rule_id AND b.listing_id = c.listing_id)""")
 def unread_suppression(t: Tables) -> DataFrame:
-    a = t.alerts()
-    return rules.without_unread(a.where("alert_id % 3 = 0"), a.where("alert_id % 3 = 1"), ["rule_id", "listing_id"]).select("alert_id", "rule_id")
+    return rules.without_unread(t.candidates(), t.alerts(), ["rule_id", "listing_id"]).select("candidate_id", "rule_id")
 
 
 @query("W4_latest_alerts", """SELECT rule_id, listing_id, alert_id, created_at FROM alerts QUALIFY row_number() OVER (PARTITION BY rule_id, listing_id ORDER BY created_at DESC, alert_id DESC) = 1""")

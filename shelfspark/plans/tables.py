@@ -39,9 +39,9 @@ def error_state(t: Tables) -> DataFrame:
     return state.error_state(t.listings().select("product_id", "store_id", "in_stock", F.lit(3).alias("stock_count")), said)
 
 
-@query("SNK9_cascade_delete", "SELECT count(*) AS left_rows, count(DISTINCT product_id) AS products FROM history WHERE product_id NOT IN (SELECT product_id FROM products WHERE product_id % 10 = 0)")
+@query("SNK9_cascade_delete", "SELECT count(*) AS left_rows, count(DISTINCT product_id) AS products FROM history WHERE product_id NOT IN (SELECT product_id FROM products WHERE NOT active)")
 def cascade_delete(t: Tables) -> DataFrame:
-    return state.cascade(t.products().where("product_id % 10 = 0"), t.history(), "product_id").agg(F.count("*").alias("left_rows"), F.count_distinct("product_id").alias("products"))
+    return state.cascade(t.products().where("not active"), t.history(), "product_id").agg(F.count("*").alias("left_rows"), F.count_distinct("product_id").alias("products"))
 
 
 @query("SNK11_partial_update", "SELECT product_id, CASE WHEN product_id % 2 = 0 THEN 'renamed' ELSE name END AS name, brand FROM products")
@@ -71,11 +71,11 @@ def outbox(t: Tables) -> DataFrame:
     return state.outbox(t.alerts().select("alert_id"), True, None, "chat")
 
 
-@query("SNK13_missing_stores", "SELECT s_name AS name FROM supplier WHERE s_suppkey % 2 = 0", views=False)
+@query("SNK13_missing_stores", "SELECT s_name AS name FROM supplier WHERE s_acctbal < 1000", views=False)
 def missing_stores(t: Tables) -> DataFrame:
     """Seed rows whose name isn't there yet."""
     s = t.raw("supplier")
-    return s.select(F.col("s_name").alias("name")).join(s.where("s_suppkey % 2 = 1").select(F.col("s_name").alias("name")), "name", "left_anti")
+    return s.select(F.col("s_name").alias("name")).join(s.where("s_acctbal >= 1000").select(F.col("s_name").alias("name")), "name", "left_anti")
 
 
 @query("T1_recent_orders", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderdate DESC, o_orderkey, o_totalprice LIMIT 300", views=False)
@@ -95,10 +95,11 @@ def oldest_history(t: Tables) -> DataFrame:
     return t.ticks().withColumn("n", F.row_number().over(oldest)).where("n <= 50").select("tick_id", "listing_id")
 
 
-@query("T9_best_price_nulls_last", "SELECT product_id, row_number() OVER (ORDER BY b NULLS LAST, product_id) AS place FROM (SELECT product_id, CASE WHEN product_id % 9 <> 0 THEN label_price END AS b FROM products) ORDER BY place LIMIT 100")
+@query("T9_best_price_nulls_last", "SELECT product_id, row_number() OVER (PARTITION BY brand ORDER BY b NULLS LAST, product_id) AS place FROM (SELECT product_id, brand, CASE WHEN product_id % 9 <> 0 THEN label_price END AS b FROM products)")
 def best_price_nulls_last(t: Tables) -> DataFrame:
-    p = t.products().select("product_id", F.when(F.col("product_id") % 9 != 0, F.col("label_price")).alias("b")).orderBy(F.asc_nulls_last("b"), "product_id").limit(100)
-    return p.select("product_id", F.row_number().over(Window.orderBy(F.asc_nulls_last("b"), "product_id")).alias("place"))
+    """Each product's place among those of its brand, products without a price last."""
+    p = t.products().select("product_id", "brand", F.when(F.col("product_id") % 9 != 0, F.col("label_price")).alias("b"))
+    return p.select("product_id", F.row_number().over(Window.partitionBy("brand").orderBy(F.asc_nulls_last("b"), "product_id")).alias("place"))
 
 
 @query("W5_latest_run", "SELECT o_orderpriority AS \"trigger\", first(o_orderkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS run FROM orders GROUP BY 1", views=False)

@@ -108,10 +108,11 @@ def url_route(t: Tables) -> DataFrame:
     return catalog.route(t.raw("pages").select("page_id", text.url_host(F.col("url")).alias("host")), shops)
 
 
-@query("J8_url_dedupe", """WITH tracked AS (SELECT DISTINCT trim(url) AS u FROM pages WHERE page_id % 3 = 0) SELECT page_id FROM pages WHERE page_id % 3 <> 0 AND trim(url) NOT IN (SELECT u FROM tracked)""", views=False)
+@query("J8_url_dedupe", """WITH bare AS (SELECT page_id, url, trim(split_part(split_part(url, '?', 1), '#', 1)) AS u FROM pages), tracked AS (SELECT DISTINCT u FROM bare WHERE contains(url, '?')) SELECT page_id FROM bare WHERE NOT contains(url, '?') AND u NOT IN (SELECT u FROM tracked)""", views=False)
 def url_dedupe(t: Tables) -> DataFrame:
-    pages = t.raw("pages").select("page_id", F.trim("url").alias("u"))
-    return pages.where("page_id % 3 <> 0").join(pages.where("page_id % 3 = 0").select("u").distinct(), "u", "left_anti").select("page_id")
+    """Pages without a query whose address isn't tracked yet by one with a query."""
+    pages = t.raw("pages").select("page_id", F.col("url").contains("?").alias("tracked"), F.trim(F.substring_index(F.substring_index("url", "?", 1), "#", 1)).alias("u"))
+    return pages.where("not tracked").join(pages.where("tracked").select("u").distinct(), "u", "left_anti").select("page_id")
 
 
 @query("F24_bot_challenge", "SELECT page_id, " + " OR ".join(f"contains(lower(substr(html, 1, 8000)), '{w}')" for w in text.CHALLENGE_TOKENS) + " OR contains(lower(substr(html, 1, 8000)), 'ad 0') AS challenge FROM pages", views=False)

@@ -51,6 +51,11 @@ class Tables:
         e = self.raw("events").where("event_type = 'purchase'")
         return e.select(F.col("event_id").alias("alert_id"), F.col("user_id").alias("rule_id"), (F.get_json_object("props", "$.k").cast("int") % 5).alias("listing_id"), "value", F.col("ts").alias("created_at"), (F.col("event_id") % 2 == 0).alias("is_read"))
 
+    def candidates(self) -> DataFrame:
+        """Clicks as candidates for an alert, keyed as alerts are."""
+        e = self.raw("events").where("event_type = 'click'")
+        return e.select(F.col("event_id").alias("candidate_id"), F.col("user_id").alias("rule_id"), (F.get_json_object("props", "$.k").cast("int") % 5).alias("listing_id"), F.col("ts").alias("as_of"), (F.col("user_id") % 4 * 12).cast("double").alias("cooldown_hours"))
+
     def ticks(self) -> DataFrame:
         """Events as a price stream of one listing for each user."""
         return self.raw("events").select(F.col("event_id").alias("tick_id"), F.col("user_id").alias("listing_id"), F.col("value").alias("price"), F.col("ts").alias("checked_at"))
@@ -66,5 +71,6 @@ listings AS (SELECT product_id, store_id, checked_at, price, in_stock, size, siz
 rules AS (SELECT p_partkey AS rule_id, p_partkey AS product_id, floor(p_retailprice * 0.9::DOUBLE * 100 + 0.5) / 100 AS target_price, CASE WHEN p_partkey % 3 <> 0 THEN p_size END AS rule_size, p_type = 'ECONOMY' AS spectrum,
   CAST(p_partkey % 4 * 12 AS DOUBLE) AS cooldown_hours, p_size > 3 AS enabled FROM part),
 alerts AS (SELECT event_id AS alert_id, user_id AS rule_id, CAST(json_extract_string(props, '$.k') AS INT) % 5 AS listing_id, value, ts AS created_at, event_id % 2 = 0 AS is_read FROM events WHERE event_type = 'purchase'),
+candidates AS (SELECT event_id AS candidate_id, user_id AS rule_id, CAST(json_extract_string(props, '$.k') AS INT) % 5 AS listing_id, ts AS as_of, CAST(user_id % 4 * 12 AS DOUBLE) AS cooldown_hours FROM events WHERE event_type = 'click'),
 ticks AS (SELECT event_id AS tick_id, user_id AS listing_id, value AS price, ts AS checked_at FROM events)
 """
