@@ -144,8 +144,34 @@ def price_type(cart_price: Column) -> Column:
 
 
 def money_text(value: Column) -> Column:
-    """Two decimals, dots for thousands, a comma, TL."""
-    return F.concat(F.translate(F.format_number(value, 2), ",.", ".,"), F.lit(" TL"))
+    """Two decimals, dots for thousands, a comma, TL; a dash for null."""
+    return F.coalesce(F.concat(F.translate(F.format_number(value, 2), ",.", ".,"), F.lit(" TL")), F.lit("—"))
+
+
+def date_text(instant: Column) -> Column:
+    """Day, month, year, hour and minute; a dash for null."""
+    return F.coalesce(F.date_format(instant, "dd.MM.yyyy HH:mm"), F.lit("—"))
+
+
+def same_family(a: Column, b: Column) -> Column:
+    """False only for two known families that differ."""
+    return ~F.coalesce(a != b, F.lit(False))
+
+
+# Fields of a buyer's profile, and how they are called.
+PROFILE_LABELS = {"weight": "Kilo", "target_weight": "Hedef kilo", "shoe_size": "Ayakkabi numarasi", "foot_notes": "Ayak yapisi notlari", "usage": "Kullanim amaci", "priorities": "Oncelikler", "notes": "Ek notlar"}
+
+
+def profile_text(fields: dict[str, Column]) -> Column:
+    """A line for each field that is set, under a heading; empty if none is."""
+    lines = F.array_compact(F.array(*[F.when(F.coalesce(fields[k], F.lit("")) != "", F.concat(F.lit(f"{label}: "), fields[k])) for k, label in PROFILE_LABELS.items() if k in fields]))
+    return F.when(F.size(lines) > 0, F.concat(F.lit("\n\nKullanici profili:\n"), F.array_join(lines, "\n"))).otherwise("")
+
+
+def suggested_models(answer: Column) -> Column:
+    """The models that an answer's last line suggests: between bars, trimmed, of 3 to 59 characters."""
+    parts = F.transform(F.split(F.regexp_extract(answer, r"(?i)\[MODELLER\]:?\s*([^\n]+)", 1), r"\|"), lambda s: F.trim(s))
+    return F.filter(parts, lambda s: (F.length(s) > 2) & (F.length(s) < 60))
 
 
 def stock_text(in_stock: Column, total: Column, any_stock: Column) -> Column:

@@ -140,9 +140,8 @@ def llm_json(t: Tables) -> DataFrame:
 
 @query("FN28_split_models", r"""SELECT event_id, 'a ' || event_type || '|model ' || user_id AS models FROM events""", views=False)
 def split_models(t: Tables) -> DataFrame:
-    said = F.concat(F.lit("see [MODELLER: a "), F.col("event_type"), F.lit(" | x |  model "), F.col("user_id"), F.lit(" ]"))
-    parts = F.transform(F.split(F.regexp_extract(said, r"\[MODELLER:\s*([^\]]*)\]", 1), r"\|"), lambda s: F.trim(s))
-    return t.raw("events").select("event_id", F.array_join(F.filter(parts, lambda s: (F.length(s) > 2) & (F.length(s) < 60)), "|").alias("models"))
+    said = F.concat(F.lit("Try these.\n[MODELLER]: a "), F.col("event_type"), F.lit(" | x |  model "), F.col("user_id"), F.lit(" \nBye"))
+    return t.raw("events").select("event_id", F.array_join(text.suggested_models(said), "|").alias("models"))
 
 
 @query("U8_alert_union", """SELECT alert_id, 'rule' AS kind, is_read FROM alerts UNION ALL SELECT tick_id, 'radar', NULL FROM ticks WHERE price > 90""")

@@ -147,3 +147,13 @@ def test_enrich(spark):
     got = {r.url: r for r in offers.enrich(results, found).collect()}
     assert (got["u0"].price, got["u0"].old_price, got["u0"].sizes_in_stock, got["u0"].sizes_total, got["u0"].enriched) == (5.0, 9.0, ["42"], 2, True)
     assert (got["u1"].price, got["u1"].enriched) == (1.0, False) and (got["u9"].price, got["u9"].enriched) == (1.0, None)
+
+
+def test_profiles_families_and_models(spark):
+    c = F.col
+    rows = [("80", None, "42"), (None, "", None)]
+    told = values(spark, rows, "weight string, usage string, shoe_size string", text.profile_text({k: c(k) for k in ("weight", "usage", "shoe_size")}))
+    assert told == [("\n\nKullanici profili:\nKilo: 80\nAyakkabi numarasi: 42",), ("",)]
+    assert values(spark, [("a", "a"), ("a", "b"), (None, "b"), (None, None)], "a string, b string", text.same_family(c("a"), c("b"))) == [(True,), (False,), (True,), (True,)]
+    assert values(spark, [("x\n[MODELLER]: Nike A | ab | Asics B\ny",), ("none",)], "s string", text.suggested_models(c("s"))) == [(["Nike A", "Asics B"],), ([],)]
+    assert values(spark, [(None,)], "v double", text.money_text(c("v")), text.date_text(c("v").cast("string").cast("timestamp"))) == [("—", "—")]
