@@ -92,7 +92,7 @@ def topk_by_length(t: Tables) -> DataFrame:
     s = t.listings().join(t.products().select("product_id", "name"), "product_id").withColumn("score", F.length("name"))
     once = s.withColumn("n", F.row_number().over(Window.partitionBy("store_id", "name").orderBy("price", "product_id"))).where("n = 1")
     best = Window.partitionBy("store_id").orderBy(F.desc("score"), "price", "product_id")
-    return once.withColumn("place", F.row_number().over(best)).where("place <= 6").select("store_id", "product_id", "place")
+    return once.withColumn("place", F.row_number().over(best).cast("long")).where("place <= 6").select("store_id", "product_id", "place")
 
 
 @query("U1_search_union", """

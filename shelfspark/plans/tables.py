@@ -99,7 +99,7 @@ def oldest_history(t: Tables) -> DataFrame:
 def best_price_nulls_last(t: Tables) -> DataFrame:
     """Each product's place among those of its brand, products without a price last."""
     p = t.products().select("product_id", "brand", F.when(F.col("product_id") % 9 != 0, F.col("label_price")).alias("b"))
-    return p.select("product_id", F.row_number().over(Window.partitionBy("brand").orderBy(F.asc_nulls_last("b"), "product_id")).alias("place"))
+    return p.select("product_id", F.row_number().over(Window.partitionBy("brand").orderBy(F.asc_nulls_last("b"), "product_id")).cast("long").alias("place"))
 
 
 @query("W5_latest_run", "SELECT o_orderpriority AS \"trigger\", first(o_orderkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS run FROM orders GROUP BY 1", views=False)
