@@ -105,7 +105,7 @@ def _segment(start: int, width: int) -> F.Column:
 
 
 def variants(nodes: DataFrame, bits: int, segments: int) -> DataFrame:
-    """nodes with a row for each key: the exact value of each segment (bit null) and its one-wildcard variants (bit: the value under the wildcard).
+    """nodes(id, f0, ...) with a row for each key: the exact value of each segment (bit null) and its one-wildcard variants (bit: the value under the wildcard).
 
     A key is the segment's value, above ten bits that tell which segment or which wildcard position it is.
     """
@@ -127,18 +127,17 @@ def variants(nodes: DataFrame, bits: int, segments: int) -> DataFrame:
 
 
 def sketch(text: str | None, bins: int) -> np.ndarray:
-    """The least hash of a text's five-word shingles in each bin of hashes; -1 for an empty bin."""
-    found = shingles_of(words_of(text), SIMILAR_WORDS)
-    out = np.full(bins, np.iinfo(np.uint32).max, np.uint32)
-    h = np.array([xxhash.xxh64_intdigest(x, SEED) for x in found], dtype=np.uint64)
-    np.minimum.at(out, (h % np.uint64(bins)).astype(np.int64), ((h >> np.uint64(32)) & np.uint64(0xFFFFFFFE)).astype(np.uint32))
-    return out.view(np.int32)
+    """A byte, 1 to 255, of the least hash of a text's five-word shingles in each bin of hashes; 0 for an empty bin."""
+    h = np.array([xxhash.xxh64_intdigest(x, SEED) for x in shingles_of(words_of(text), SIMILAR_WORDS)], dtype=np.uint64)
+    out = np.full(bins, np.iinfo(np.uint64).max, np.uint64)
+    np.minimum.at(out, (h % np.uint64(bins)).astype(np.int64), h // np.uint64(bins))
+    return np.where(out == np.iinfo(np.uint64).max, 0, out % np.uint64(255) + np.uint64(1)).astype(np.uint8)
 
 
 def similar(one: np.ndarray, others: np.ndarray) -> np.ndarray:
-    """The estimated Jaccard similarity of a sketch with each of others: equal bins among those that either has."""
-    either = ((others != -1) | (one != -1)).sum(axis=1)
-    return ((others == one) & (others != -1)).sum(axis=1) / np.maximum(1, either)
+    """The estimated Jaccard similarity of a sketch with each of others: equal bins among those that either has, less equal bytes by chance."""
+    either = np.maximum(1, ((others != 0) | (one != 0)).sum(axis=1))
+    return 1 - (1 - ((others == one) & (others != 0)).sum(axis=1) / either) * 255 / 254
 
 
 def _forest(ids: np.ndarray, prints: np.ndarray, most: int, sketches: np.ndarray | None = None, least: float = 0.0) -> list[tuple[int, int]]:
@@ -162,42 +161,30 @@ def _forest(ids: np.ndarray, prints: np.ndarray, most: int, sketches: np.ndarray
     return out
 
 
-def links(nodes: DataFrame, n_words: int, segments: int, most: int, sketches: DataFrame | None = None, least: float = 0.0) -> DataFrame:
-    """(a, b): links whose components are those of all links between nodes(id, f0, ...) that share a key and differ in at most `most` bits.
-
-    With sketches(id, s), linked nodes are also similar by `least`. Sketches join only the rows that are left when
-    keys without a partner have gone.
-    """
-    names = [f"f{i}" for i in range(n_words)]
-    keyed = variants(nodes, 64 * n_words, segments)
-    same = Window.partitionBy("key")
-    alive = keyed.withColumns({"_n": F.count("*").over(same), "_least": F.min("bit").over(same), "_most": F.max("bit").over(same)})
-    alive = alive.where((F.col("_n") > 1) & (F.col("bit").isNull() | (F.col("_least") < F.col("_most")))).select("key", "id", *names)
-    if sketches is not None:
-        alive = alive.join(sketches, "id").select("key", "id", *names, "s").repartition("key")
-    alive, sketched = alive.sortWithinPartitions("key"), sketches is not None
+def _each_key(handle: Callable[[np.ndarray, np.ndarray | None], list[tuple[int, ...]]], columns: list[str], sketched: bool, out: list[str]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """For mapInPandas over rows that are sorted by key: the rows that `handle` gives for the rows (and sketches) of each key."""
 
     def each(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[tuple[np.ndarray, np.ndarray | None]] = []  # the last key's rows, which the next batch may go on with
-        out: list[tuple[int, int]] = []
+        found: list[tuple[int, ...]] = []
 
         def done(blocks: list[tuple[np.ndarray, np.ndarray | None]]) -> None:
             rows = np.concatenate([b[0] for b in blocks])
             own = np.concatenate([b[1] for b in blocks]) if sketched else None
-            prints, cuts = rows[:, 2:].view(np.uint64), np.flatnonzero(np.diff(rows[:, 0])) + 1
+            cuts = np.flatnonzero(np.diff(rows[:, 0])) + 1
             for start, end in zip([0, *cuts], [*cuts, len(rows)], strict=True):
-                out.extend(_forest(rows[start:end, 1], prints[start:end], most, own[start:end] if sketched else None, least))
+                found.extend(handle(rows[start:end], own[start:end] if sketched else None))
 
         def flush() -> pd.DataFrame:
-            rows = pd.DataFrame(out, columns=["a", "b"], dtype="int64").drop_duplicates()
-            out.clear()
+            rows = pd.DataFrame(found, columns=out, dtype="int64").drop_duplicates()
+            found.clear()
             return rows
 
         for part in parts:
             if part.empty:
                 continue
-            rows = np.ascontiguousarray(part[["key", "id", *names]].to_numpy(dtype=np.int64))
-            own = np.stack(part["s"].to_numpy()) if sketched else None
+            rows = np.ascontiguousarray(part[columns].to_numpy(dtype=np.int64))
+            own = np.frombuffer(b"".join(part["s"]), np.uint8).reshape(len(part), -1) if sketched else None
             split = int(np.searchsorted(rows[:, 0], rows[-1, 0]))
             if split:
                 done([*held, (rows[:split], own[:split] if sketched else None)])
@@ -206,13 +193,37 @@ def links(nodes: DataFrame, n_words: int, segments: int, most: int, sketches: Da
                 done(held)
                 held = []
             held.append((rows[split:], own[split:] if sketched else None))
-            if len(out) > _ROWS_AT_ONCE:
+            if len(found) > _ROWS_AT_ONCE:
                 yield flush()
         if held:
             done(held)
         yield flush()
 
-    return alive.mapInPandas(each, "a bigint, b bigint").distinct()
+    return each
+
+
+def links(nodes: DataFrame, n_words: int, segments: int, most: int, sketches: DataFrame | None = None, least: float = 0.0) -> DataFrame:
+    """(a, b): links whose components are those of all links between nodes(id, f0, ...) that share a key and differ in at most `most` bits.
+
+    With sketches(id, s), linked nodes are also similar by `least`: the rows of each key that have a partner within
+    `most` bits are found first, and only these meet the sketches.
+    """
+    columns = ["key", "id", *[f"f{i}" for i in range(n_words)]]
+    same = Window.partitionBy("key")
+    keyed = variants(nodes, 64 * n_words, segments).withColumns({"_n": F.count("*").over(same), "_least": F.min("bit").over(same), "_most": F.max("bit").over(same)})
+    alive = keyed.where((F.col("_n") > 1) & (F.col("bit").isNull() | (F.col("_least") < F.col("_most")))).select(*columns).sortWithinPartitions("key")
+
+    def forest(rows: np.ndarray, own: np.ndarray | None) -> list[tuple[int, ...]]:
+        return _forest(rows[:, 1], rows[:, 2:].view(np.uint64), most, own, least)
+
+    def partnered(rows: np.ndarray, own: np.ndarray | None) -> list[tuple[int, ...]]:
+        tied = {i for edge in _forest(rows[:, 1], rows[:, 2:].view(np.uint64), most) for i in edge}
+        return [tuple(r) for r in rows.tolist() if r[1] in tied]
+
+    if sketches is not None:
+        near = alive.mapInPandas(_each_key(partnered, columns, False, columns), ", ".join(f"{c} bigint" for c in columns))
+        alive = near.join(sketches, "id").select(*columns, "s").repartition("key").sortWithinPartitions("key")
+    return alive.mapInPandas(_each_key(forest, columns, sketches is not None, ["a", "b"]), "a bigint, b bigint").distinct()
 
 
 def classes(prints: DataFrame, n_words: int, segments: int, most: int, sketches: DataFrame | None = None, least: float = 0.0) -> DataFrame:
@@ -249,9 +260,9 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
             rows = np.array([word_set_fingerprint(t, STAGE_WORDS) for t in texts], dtype=np.uint64).reshape(-1, STAGE_WORDS).view(np.int64)
             own = [sketch(t, BINS) for t in texts]
             whole = pa.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) - (1 << 63) for x in own], pa.int64())
-            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(np.ascontiguousarray(c)) for c in rows.T), whole, pa.array(own, pa.list_(pa.int32()))], ["doc_id", *names, "g", "s"])
+            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(np.ascontiguousarray(c)) for c in rows.T), whole, pa.array([x.tobytes() for x in own], pa.binary())], ["doc_id", *names, "g", "s"])
 
     given = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("_text"))
-    prints = cut(given.mapInArrow(each, f"doc_id {dict(docs.dtypes)[id_col]}, " + ", ".join(f"{n} bigint" for n in names) + ", g bigint, s array<int>"))
+    prints = cut(given.mapInArrow(each, f"doc_id {dict(docs.dtypes)[id_col]}, " + ", ".join(f"{n} bigint" for n in names) + ", g bigint, s binary"))
     found = classes(prints.drop("s"), STAGE_WORDS, STAGE_SEGMENTS, STAGE_BITS, prints.select(F.col("doc_id").alias("id"), "s"), SIMILAR - SLACK)
     return found.select("doc_id", "component_id")
