@@ -103,7 +103,7 @@ def test_extractors():
         "generic-css": (None, 2499.0, None, "selector:.price", 0, True),
         "intersport": (None, 2799.0, 3499.0, "cart_offer", 1, True),
         "intersport-scale": ("B", 6799.0, None, "json_ld", 0, True),
-        "sportive": (None, 1499.99, None, "meta:og:price:amount", 1, True),
+        "sportive": (None, 1499.99, None, "meta[name=og:price:amount]", 1, True),
         "decathlon": (None, 990.0, 1290.0, "product:price:amount", 1, True),
         "adidas": ("E", 2800.0, 3500.0, "json_ld:ProductGroup.hasVariant.offers.price", 1, True),
         "empty": (None, None, None, None, 0, False),
