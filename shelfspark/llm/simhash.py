@@ -10,6 +10,9 @@ the verified links is emitted, which is linear in the key's fingerprints, never
 Equal fingerprints are one node from the start, so exact copies cost one row. Components of the nodes come from
 rounds of large-star and small-star joins.
 
+The pipeline's stage links by the Jaccard similarity of five-word shingles instead: bands of minima of the shingles'
+hashes are the keys, and the shingles verify; see :func:`near_copies`.
+
 Defined results: null and empty texts have fingerprint zero and link like any other; texts of any length count
 whole; repeated rows share a fingerprint and a component; rows with null ids get their group's smallest id (null if
 it has none); no rows give no rows; other columns are not read.
@@ -26,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, small
 from .components import components
 
 SEED = 42
@@ -73,15 +76,6 @@ def shingle_fingerprint(text: str | None, k: int = 3) -> np.ndarray:
     return _vote(np.array([xxhash.xxh64_intdigest(s, SEED) for s in found], dtype=np.uint64)) if found else np.zeros(1, np.uint64)
 
 
-def word_set_fingerprint(text: str | None, n_words: int = 2) -> np.ndarray:
-    """A SimHash of 64 * n_words bits of a text's distinct words: one changed word of n moves few of its bits."""
-    found = sorted(set(words_of(text)))
-    if not found:
-        return np.zeros(n_words, np.uint64)
-    first = np.array([xxhash.xxh64_intdigest(s, SEED) for s in found], dtype=np.uint64)
-    return np.concatenate([_vote(_mixed(first, w)) for w in range(n_words)])
-
-
 def fingerprints(docs: DataFrame, of: Callable[[str | None], np.ndarray], n_words: int, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, f0, f1, ...): each row's fingerprint as signed 64-bit words."""
     names = [f"f{i}" for i in range(n_words)]
@@ -126,22 +120,45 @@ def variants(nodes: DataFrame, bits: int, segments: int) -> DataFrame:
     return cutup.select(*nodes.columns, F.concat(exact, *[wildcards(i) for i in range(segments)]).alias("_keys")).select(*nodes.columns, F.inline_outer("_keys"))
 
 
-def sketch(text: str | None, bins: int) -> np.ndarray:
-    """A byte, 1 to 255, of the least hash of a text's five-word shingles in each bin of hashes; 0 for an empty bin."""
-    h = np.array([xxhash.xxh64_intdigest(x, SEED) for x in shingles_of(words_of(text), SIMILAR_WORDS)], dtype=np.uint64)
-    out = np.full(bins, np.iinfo(np.uint64).max, np.uint64)
-    np.minimum.at(out, (h % np.uint64(bins)).astype(np.int64), h // np.uint64(bins))
-    return np.where(out == np.iinfo(np.uint64).max, 0, out % np.uint64(255) + np.uint64(1)).astype(np.uint8)
+def shingle_hashes(text: str | None) -> np.ndarray:
+    """The distinct 64-bit hashes of a text's five-word shingles, in order."""
+    return np.unique(np.array([xxhash.xxh64_intdigest(x, SEED) for x in shingles_of(words_of(text), SIMILAR_WORDS)], dtype=np.uint64))
+
+
+def least_hashes(h: np.ndarray) -> np.ndarray:
+    """The KEPT least of the hashes' upper 32 bits, in order: all of them in a text of fewer shingles."""
+    return np.unique((h >> np.uint64(32)).astype(np.uint32))[:KEPT]
+
 
+def band_keys(h: np.ndarray) -> np.ndarray:
+    """A key for each band: a hash of its number and of its BAND_ROWS minima, each under a multiplier of its own; no hashes give no keys."""
+    if not len(h):
+        return np.zeros(0, np.int64)
+    least = np.full(len(_ODD), np.iinfo(np.uint64).max, np.uint64)
+    for i in range(0, len(h), 1 << 12):
+        np.minimum(least, (h[None, i : i + (1 << 12)] * _ODD[:, None]).min(axis=1), out=least)
+    keys = np.arange(BANDS, dtype=np.uint64)
+    for j, column in enumerate(least.reshape(BANDS, BAND_ROWS).T):
+        keys = _mixed(keys ^ column, j + 1)
+    return keys.view(np.int64)
 
-def similar(one: np.ndarray, others: np.ndarray) -> np.ndarray:
-    """The estimated Jaccard similarity of a sketch with each of others: equal bins among those that either has, less equal bytes by chance."""
-    either = np.maximum(1, ((others != 0) | (one != 0)).sum(axis=1))
-    return 1 - (1 - ((others == one) & (others != 0)).sum(axis=1) / either) * 255 / 254
 
+def similar(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """Whether the Jaccard similarity of one text's shingles with each of others is SIMILAR: exact where both are kept whole, else that of the least hashes, which may be less by SLACK."""
+    sizes = np.array([len(x) for x in others])
+    whole = np.iinfo(np.uint32).max
+    top = np.array([x[-1] if len(x) == KEPT else whole for x in others], dtype=np.uint32)
+    top = np.minimum(top, one[-1] if len(one) == KEPT else whole)
+    flat, of = np.concatenate(others), np.repeat(np.arange(len(others)), sizes)
+    counts = flat <= top[of]
+    equal = counts & (one[np.minimum(np.searchsorted(one, flat), len(one) - 1)] == flat)
+    same = np.bincount(of[equal], minlength=len(others))
+    either = np.bincount(of[counts], minlength=len(others)) + np.searchsorted(one, top, side="right") - same
+    return same >= np.where((sizes == KEPT) | (len(one) == KEPT), SIMILAR - SLACK, SIMILAR) * either
 
-def _forest(ids: np.ndarray, prints: np.ndarray, most: int, sketches: np.ndarray | None = None, least: float = 0.0) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of the links among one key's fingerprints: at most `most` differing bits, and sketches similar by `least`.
+
+def _forest(ids: np.ndarray, linked: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of the links among one key's nodes; linked(x, rest) tells which of rest have a link to x.
 
     Each step takes a node off the frontier and links to it all nodes that no tree has yet: nodes that are in
     a tree are never compared again, so one large family costs about one comparison a node.
@@ -151,9 +168,7 @@ def _forest(ids: np.ndarray, prints: np.ndarray, most: int, sketches: np.ndarray
         frontier, rest = [rest[0]], rest[1:]
         while frontier and len(rest):
             x = frontier.pop()
-            near = np.bitwise_count(prints[rest] ^ prints[x]).sum(axis=1) <= most
-            if sketches is not None and near.any():
-                near[near] = similar(sketches[x], sketches[rest[near]]) >= least
+            near = linked(x, rest)
             for y in rest[near]:
                 out.append((int(ids[x]), int(ids[y])))
                 frontier.append(y)
@@ -161,19 +176,19 @@ def _forest(ids: np.ndarray, prints: np.ndarray, most: int, sketches: np.ndarray
     return out
 
 
-def _each_key(handle: Callable[[np.ndarray, np.ndarray | None], list[tuple[int, ...]]], columns: list[str], sketched: bool, out: list[str]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """For mapInPandas over rows that are sorted by key: the rows that `handle` gives for the rows (and sketches) of each key."""
+def _each_key(handle: Callable[[np.ndarray, list[np.ndarray]], list[tuple[int, ...]]], columns: list[str], held_too: bool, out: list[str]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """For mapInPandas over rows that are sorted by key: the rows that `handle` gives for the rows of each key, and for the 32-bit numbers of their column s if held_too."""
 
     def each(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[tuple[np.ndarray, np.ndarray | None]] = []  # the last key's rows, which the next batch may go on with
+        held: list[tuple[np.ndarray, list[np.ndarray]]] = []  # the last key's rows, which the next batch may go on with
         found: list[tuple[int, ...]] = []
 
-        def done(blocks: list[tuple[np.ndarray, np.ndarray | None]]) -> None:
+        def done(blocks: list[tuple[np.ndarray, list[np.ndarray]]]) -> None:
             rows = np.concatenate([b[0] for b in blocks])
-            own = np.concatenate([b[1] for b in blocks]) if sketched else None
+            own = [x for b in blocks for x in b[1]]
             cuts = np.flatnonzero(np.diff(rows[:, 0])) + 1
             for start, end in zip([0, *cuts], [*cuts, len(rows)], strict=True):
-                found.extend(handle(rows[start:end], own[start:end] if sketched else None))
+                found.extend(handle(rows[start:end], own[start:end]))
 
         def flush() -> pd.DataFrame:
             rows = pd.DataFrame(found, columns=out, dtype="int64").drop_duplicates()
@@ -184,15 +199,15 @@ def _each_key(handle: Callable[[np.ndarray, np.ndarray | None], list[tuple[int,
             if part.empty:
                 continue
             rows = np.ascontiguousarray(part[columns].to_numpy(dtype=np.int64))
-            own = np.frombuffer(b"".join(part["s"]), np.uint8).reshape(len(part), -1) if sketched else None
+            own = [np.frombuffer(x, np.uint32) for x in part["s"]] if held_too else []
             split = int(np.searchsorted(rows[:, 0], rows[-1, 0]))
             if split:
-                done([*held, (rows[:split], own[:split] if sketched else None)])
+                done([*held, (rows[:split], own[:split])])
                 held = []
             elif held and held[-1][0][0, 0] != rows[0, 0]:
                 done(held)
                 held = []
-            held.append((rows[split:], own[split:] if sketched else None))
+            held.append((rows[split:], own[split:]))
             if len(found) > _ROWS_AT_ONCE:
                 yield flush()
         if held:
@@ -202,35 +217,25 @@ def _each_key(handle: Callable[[np.ndarray, np.ndarray | None], list[tuple[int,
     return each
 
 
-def links(nodes: DataFrame, n_words: int, segments: int, most: int, sketches: DataFrame | None = None, least: float = 0.0) -> DataFrame:
-    """(a, b): links whose components are those of all links between nodes(id, f0, ...) that share a key and differ in at most `most` bits.
-
-    With sketches(id, s), linked nodes are also similar by `least`: the rows of each key that have a partner within
-    `most` bits are found first, and only these meet the sketches.
-    """
+def links(nodes: DataFrame, n_words: int, segments: int, most: int) -> DataFrame:
+    """(a, b): links whose components are those of all links between nodes(id, f0, ...) that share a key and differ in at most `most` bits."""
     columns = ["key", "id", *[f"f{i}" for i in range(n_words)]]
     same = Window.partitionBy("key")
     keyed = variants(nodes, 64 * n_words, segments).withColumns({"_n": F.count("*").over(same), "_least": F.min("bit").over(same), "_most": F.max("bit").over(same)})
     alive = keyed.where((F.col("_n") > 1) & (F.col("bit").isNull() | (F.col("_least") < F.col("_most")))).select(*columns).sortWithinPartitions("key")
 
-    def forest(rows: np.ndarray, own: np.ndarray | None) -> list[tuple[int, ...]]:
-        return _forest(rows[:, 1], rows[:, 2:].view(np.uint64), most, own, least)
+    def forest(rows: np.ndarray, own: list[np.ndarray]) -> list[tuple[int, ...]]:
+        prints = rows[:, 2:].view(np.uint64)
+        return _forest(rows[:, 1], lambda x, rest: np.bitwise_count(prints[rest] ^ prints[x]).sum(axis=1) <= most)
 
-    def partnered(rows: np.ndarray, own: np.ndarray | None) -> list[tuple[int, ...]]:
-        tied = {i for edge in _forest(rows[:, 1], rows[:, 2:].view(np.uint64), most) for i in edge}
-        return [tuple(r) for r in rows.tolist() if r[1] in tied]
+    return alive.mapInPandas(_each_key(forest, columns, False, ["a", "b"]), "a bigint, b bigint").distinct()
 
-    if sketches is not None:
-        near = alive.mapInPandas(_each_key(partnered, columns, False, columns), ", ".join(f"{c} bigint" for c in columns))
-        alive = near.join(sketches, "id").select(*columns, "s").repartition("key").sortWithinPartitions("key")
-    return alive.mapInPandas(_each_key(forest, columns, sketches is not None, ["a", "b"]), "a bigint, b bigint").distinct()
 
-
-def classes(prints: DataFrame, n_words: int, segments: int, most: int, sketches: DataFrame | None = None, least: float = 0.0) -> DataFrame:
+def classes(prints: DataFrame, n_words: int, segments: int, most: int) -> DataFrame:
     """prints(doc_id, f0, ..., perhaps more) with component_id, the smallest doc_id reachable by links; rows that are equal but for doc_id are one node."""
     names = [c for c in prints.columns if c != "doc_id"]
     nodes = cut(prints.groupBy(*names).agg(F.min("doc_id").alias("id")))
-    roots = components(links(nodes.where("id is not null"), n_words, segments, most, sketches, least))
+    roots = components(links(nodes.where("id is not null"), n_words, segments, most))
     rooted = nodes.join(roots, F.col("id") == F.col("node"), "left").select(*names, F.coalesce("root", "id").alias("component_id"))
     return prints.join(rooted, names)
 
@@ -240,29 +245,43 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     return classes(cut(fingerprints(docs, shingle_fingerprint, 1, id_col, text)), 1, 2, MAX_BITS)
 
 
-#: The pipeline's stage: 128 bits of distinct words in 5 segments find candidates, a sketch of five-word shingles
-#: verifies them. SIMILAR is the Jaccard similarity that counts, SLACK about one standard error of the sketch.
-STAGE_WORDS, STAGE_SEGMENTS, STAGE_BITS = 2, 5, 16
-SIMILAR_WORDS, SIMILAR, SLACK, BINS = 5, 0.8, 0.03, 256
+#: The pipeline's stage: two texts of similarity J share a band with probability 1 - (1 - J ** BAND_ROWS) ** BANDS, 0.99995
+#: at 0.8. SIMILAR is the Jaccard similarity that counts; texts of KEPT shingles or more are compared by the KEPT least
+#: hashes, and SLACK is more than two standard errors of that.
+BANDS, BAND_ROWS = 25, 5
+SIMILAR_WORDS, SIMILAR, SLACK, KEPT = 5, 0.8, 0.03, 1024
+_ODD = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, component_id): classes of near copies, exact copies included.
 
-    Rows with equal fingerprints and equal sketches (by a 64-bit hash of them) are one node. Nodes link where their
-    fingerprints share a key, differ in at most STAGE_BITS bits, and their sketches are similar by SIMILAR.
+    Rows with equal sets of five-word shingles (by a 64-bit hash of the set) are one node. Candidates come from what
+    is verified: nodes that share the minima of a band of the shingles' hashes meet, wherever in the text they differ,
+    and link where their sketches are similar by SIMILAR.
     """
-    names = [f"f{i}" for i in range(STAGE_WORDS)]
 
     def each(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            texts = [t.as_py() for t in part.column(1)]
-            rows = np.array([word_set_fingerprint(t, STAGE_WORDS) for t in texts], dtype=np.uint64).reshape(-1, STAGE_WORDS).view(np.int64)
-            own = [sketch(t, BINS) for t in texts]
-            whole = pa.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) - (1 << 63) for x in own], pa.int64())
-            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(np.ascontiguousarray(c)) for c in rows.T), whole, pa.array([x.tobytes() for x in own], pa.binary())], ["doc_id", *names, "g", "s"])
+            found = [shingle_hashes(t.as_py()) for t in part.column(1)]
+            whole = pa.array([xxhash.xxh64_intdigest(h.tobytes(), SEED) - (1 << 63) for h in found], pa.int64())
+            own = pa.array([least_hashes(h).tobytes() for h in found], pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column(0), whole, own, pa.array([band_keys(h) for h in found], pa.list_(pa.int64()))], ["doc_id", "g", "s", "keys"])
+
+    def forest(rows: np.ndarray, own: list[np.ndarray]) -> list[tuple[int, ...]]:
+        return _forest(rows[:, 1], lambda x, rest: similar(own[x], [own[i] for i in rest]))
 
     given = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("_text"))
-    prints = cut(given.mapInArrow(each, f"doc_id {dict(docs.dtypes)[id_col]}, " + ", ".join(f"{n} bigint" for n in names) + ", g bigint, s binary"))
-    found = classes(prints.drop("s"), STAGE_WORDS, STAGE_SEGMENTS, STAGE_BITS, prints.select(F.col("doc_id").alias("id"), "s"), SIMILAR - SLACK)
-    return found.select("doc_id", "component_id")
+    prints = cut(given.mapInArrow(each, f"doc_id {dict(docs.dtypes)[id_col]}, g bigint, s binary, keys array<bigint>"))
+    keyed = prints.select(F.explode("keys").alias("key"), "g").distinct()
+    same = Window.partitionBy("key")
+    meeting = keyed.withColumns({"_n": F.count("*").over(same), "_least": F.min("g").over(same), "_most": F.max("g").over(same), "_all": F.bit_xor("g").over(same)}).where("_n > 1")
+    shared = cut(meeting.select(F.xxhash64("_n", "_least", "_most", "_all").alias("key"), "g").distinct())
+    who, _ = small(shared.select("g").distinct())
+    held = prints.select("g", "s").join(who, "g", "left_semi").dropDuplicates(["g"])
+    met = shared.join(held, "g").select("key", "g", "s").repartition("key").sortWithinPartitions("key")
+    edges = met.mapInPandas(_each_key(forest, ["key", "g"], True, ["a", "b"]), "a bigint, b bigint").distinct()
+    nodes = prints.groupBy("g").agg(F.min("doc_id").alias("id"))
+    rooted = cut(nodes.join(components(edges), F.col("g") == F.col("node"), "left").select("g", "id", F.coalesce("root", "g").alias("root")))
+    least = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
+    return prints.select("doc_id", "g").join(rooted.select("g", "root").join(least, "root"), "g").select("doc_id", "component_id")

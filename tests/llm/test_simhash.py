@@ -71,6 +71,26 @@ def test_near_copies_keep_clean_documents(spark):
     assert got == {0: 0, 1: 0, 2: 0, 3: 3, 4: 4, 5: 4}
 
 
+def test_block_edits_are_found(spark):
+    r = np.random.default_rng(5)
+    pairs = []
+    for n, vocabulary in ((200, 3000), (200, 50_000), (800, 3000), (800, 50_000)):
+        words = lambda k: [f"w{i}" for i in r.integers(0, vocabulary, k)]  # noqa: B023, E731
+        for share in (0.04, 0.08, 0.11, 0.15, 0.19):
+            for edit in ("append", "prepend", "remove", "replace") * 4:
+                base, k = words(n), int(n * share)
+                at = int(r.integers(0, n - k))
+                edited = {"append": base + words(k), "prepend": words(k) + base, "remove": base[:at] + base[at + k :], "replace": base[:at] + words(k // 2) + base[at + k // 2 :]}
+                pairs.append((base, edited[edit]))
+    rows = [(2 * i + j, " ".join(w)) for i, pair in enumerate(pairs) for j, w in enumerate(pair)]
+    got = {x.doc_id: x.component_id for x in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = [[set(simhash.shingles_of([x.encode() for x in w], 5)) for w in pair] for pair in pairs]
+    found = [(len(a & b) / len(a | b), got[2 * i + 1] == 2 * i) for i, (a, b) in enumerate(sets)]
+    assert sum(j >= 0.8 for j, _ in found) > 200
+    assert all(f == (j >= 0.8) for j, f in found)
+    assert all(got[2 * i] == 2 * i for i in range(len(pairs)))
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(100)] + [(500, 400), (400, 300), (7, 7), (None, 3), (900, 901), (901, 900)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
