@@ -115,11 +115,12 @@ def fit(texts: list[str], langs: list[str]) -> Model:
 def learn(docs: DataFrame, usable: Column, text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Model:
     """Fits on at most `sample` usable texts of each language, equal texts once: those of least hash.
 
-    A language's texts are counted first; only those in the lowest share of hashes that holds twice the sample on
-    average go further, so neither sorting nor shuffling grows with the corpus.
+    A language's distinct texts with a letter are counted first, by their hashes; only those in the lowest share of
+    hashes that holds twice the sample on average go further, so neither sorting nor shuffling of texts grows with the
+    corpus, and copies of a text take no other's place.
     """
-    given = docs.where(usable & F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text).alias("t"), F.col(lang).alias("l"))
-    counts, _ = small(given.groupBy(F.col("l").alias("_l")).agg(F.count("*").alias("_n")))
+    given = docs.where(usable & F.col(lang).isNotNull() & F.rlike(F.col(text), F.lit(r"\p{L}"))).select(F.col(text).alias("t"), F.col(lang).alias("l"))
+    counts, _ = small(given.groupBy(F.col("l").alias("_l")).agg(F.count_distinct(F.xxhash64("t")).alias("_n")))
     hashed = given.withColumn("h", F.xxhash64("t"))
     near = hashed.join(counts, F.col("l") == F.col("_l")).where((F.col("h") / 2.0**64 + 0.5) * F.col("_n") <= 2 * sample)
     rows = sorted(((r["l"], r["h"], r["t"]) for r in near.select("l", "h", "t").dropDuplicates(["l", "h"]).collect()), key=lambda r: r[:2])

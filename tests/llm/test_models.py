@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from shelfspark.llm import langid, qda, queries
 
@@ -43,6 +44,17 @@ def test_language_edge_cases(spark):
     assert two.predict("der die das und the of and to")[2] and not two.predict("the of the")[2]
 
 
+def test_language_that_is_nearly_all_copies(spark, monkeypatch):
+    texts = [f"bonjour le monde numéro {i}" for i in range(30)]
+    rows = [(t, "fr") for t in texts] + [("la même page", "fr")] * 3000 + [(f"12 {i}", "fr") for i in range(3000)] + [(f"the world and {i} of it", "en") for i in range(100)]
+    docs = spark.createDataFrame(rows, "text string, lang string").withColumn("h", F.xxhash64("text"))
+    least = {v: [r.text for r in docs.where(F.col("lang") == v).where("text not like '12 %'").distinct().orderBy("h").limit(20).collect()] for v in ("en", "fr")}
+    taken, fit = {}, langid.fit
+    monkeypatch.setattr(langid, "fit", lambda texts, langs: taken.update({v: [t for t, w in zip(texts, langs, strict=True) if w == v] for v in set(langs)}) or fit(texts, langs))
+    model = langid.learn(docs, F.lit(True), sample=20)
+    assert taken == least and model.predict("le monde")[0] == "fr"
+
+
 def test_quality_of_held_out_documents(spark):
     sf = "/root/testdata/sf0.1"
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
