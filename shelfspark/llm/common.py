@@ -19,9 +19,11 @@ _own_dir: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where that is unset (local tests)."""
+    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where that is unset on a local master; elsewhere that is an error."""
     if found := spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None):
         return found
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if not _own_dir:
         _own_dir.append(tempfile.mkdtemp(prefix="shelfspark-"))
     return _own_dir[0]
@@ -39,8 +41,9 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def small(df: DataFrame, most: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
-    """df with a broadcast hint if it has at most `most` rows (counted, up to most + 1), else as it is; and which of them."""
+def small(df: DataFrame, most: int | None = None) -> tuple[DataFrame, bool]:
+    """df with a broadcast hint if it has at most `most` rows (BROADCAST_ROWS by default; counted, up to most + 1), else as it is; and which of them."""
+    most = BROADCAST_ROWS if most is None else most
     fits = df.limit(most + 1).count() <= most
     return (F.broadcast(df) if fits else df), fits
 

@@ -2,34 +2,48 @@
 
 Writing: each page is one WARC/1.1 record around an HTTP response. Of records with equal payloads of at least
 `min_bytes` bytes the one with the largest page id is the response; the others are revisits that refer to it and
-keep only the HTTP headers. Records are written as text whose line separator is the empty line that ends a record,
-so archives go through Spark's own writer to any store, a bounded number of records to a file.
+keep only the HTTP headers. Records are written as gzipped text whose line separator is the empty line that ends a
+record, so archives go through Spark's own writer to any store. A file holds at most RECORDS_PER_FILE records of at
+most LARGE bytes, or one larger record.
 
-Index: every archive is parsed back (binaryFile) into a run of index entries, sorted by URL key and capture time.
-Runs are dealt out by ranges of (URL key, time, page id), and within a range a loser tree merges the parts of all
-runs, so that the ranges, one after the other, hold each URL's captures in order. A range's entries are slim (no
-payload), and a URL with many captures is cut into ranges by time, as time is in the key.
+Index: every archive is unpacked piece by piece and parsed into a run of index entries, sorted by URL key and capture
+time. A response's length and digest are those of the bytes that were read; bytes that don't give the digest of the
+record's header, and revisits whose response is not in the archives, raise ValueError.
+
+Merge: entries are dealt out by ranges of (URL key, time, page id, place), of RANGE_ROWS entries on average, and arrive
+sorted by (archive, key), that is as sorted runs one after the other. Within a range a loser tree merges the runs, so
+that the ranges, one after the other, hold each URL's captures in order. Entries have no payload, and a URL with many
+captures is cut into several ranges, as time and place are in the key.
 
 Defined results: a null html is an empty payload; a null URL has the empty key; pages with equal payloads and the
 largest id more than once are all responses; rows with a null page id are responses and revisit nothing; line
-breaks in URLs are percent-encoded; no rows give no archive and no entries; other columns are not read.
+breaks in URLs are percent-encoded; offsets and lengths of entries are those in the unpacked archive; no rows give
+no archive and no entries; other columns are not read.
 """
 
 from __future__ import annotations
 
+import base64
+import hashlib
+import zlib
 from collections.abc import Iterable, Iterator
+from itertools import groupby
 from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path
+from .common import cut, new_path, small
 
 CRLF = "\r\n"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
-#: Records in an archive file at most.
-RECORDS_PER_FILE = 1000
+#: Records in an archive file at most; payloads of more than LARGE bytes have files of their own.
+RECORDS_PER_FILE, LARGE = 1000, 1 << 18
+#: Bytes that a parser unpacks at once.
+PIECE = 1 << 20
+#: Index entries in a range of the merge, on average.
+RANGE_ROWS = 50_000
 #: Capture times are this instant plus the page id in seconds, as pages carry none.
 EPOCH = "2024-01-01 00:00:00"
 ID_PREFIX = "urn:shelfspark:page:"
@@ -39,23 +53,30 @@ FIELDS = "url_key string, captured string, page_id long, url string, record_type
 NAMES = [f.split()[0] for f in FIELDS.split(", ")]
 
 
-def base32_sha1(payload: Column) -> Column:
-    """Upper-case base32 of the SHA-1 of a binary column: five hex digits at a time give four characters."""
-    hexed = F.sha1(payload)
-    parts = []
-    for i in range(0, 40, 5):
-        value = F.conv(F.substring(hexed, i + 1, 5), 16, 10).cast("int")
-        parts += [F.substring(F.lit(BASE32), F.shiftright(value, shift).bitwiseAND(F.lit(31)) + 1, F.lit(1)) for shift in (15, 10, 5, 0)]
-    return F.concat(*parts)
+def base32(hexed: Column) -> Column:
+    """Upper-case base32 of a SHA-1 in hex: ten hex digits at a time are eight digits to the base of 32."""
+    parts = [F.lpad(F.conv(F.substring(hexed, i + 1, 10), 16, 32), 8, "0") for i in range(0, 40, 10)]
+    return F.translate(F.concat(*parts), "0123456789ABCDEFGHIJKLMNOPQRSTUV", BASE32)
 
 
-def plan_records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """pages(page_id, url, html) with digest, payload_bytes, record_type and refers_to. Payloads are not grouped: only their digests are."""
+def _digested(pages: DataFrame, *keep: str) -> DataFrame:
+    """(page_id, *keep, digest, payload_bytes); the hash is made by a step of its own, once a row."""
     body = F.coalesce(F.col("html"), F.lit(""))
-    given = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), body.alias("body"), base32_sha1(F.encode(body, "UTF-8")).alias("digest"), F.octet_length(body).cast("long").alias("payload_bytes"))
-    largest = given.where(F.col("payload_bytes") >= min_bytes).groupBy("digest", "payload_bytes").agg(F.max("page_id").alias("_last"))
-    older = given.select("page_id", "digest", "payload_bytes").join(largest, ["digest", "payload_bytes"]).where(F.col("page_id") < F.col("_last")).select("page_id", "digest", F.col("_last").alias("refers_to")).distinct()
-    return given.join(older, ["page_id", "digest"], "left").withColumn("record_type", F.when(F.col("refers_to").isNull(), "response").otherwise("revisit"))
+    given = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), body.alias("body"), F.sha1(F.encode(body, "UTF-8")).alias("_hex"), F.octet_length(body).cast("long").alias("payload_bytes"))
+    return given.select("page_id", *keep, base32(F.col("_hex")).alias("digest"), "payload_bytes")
+
+
+def plan_records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
+    """pages(page_id, url, html) as (page_id, url, body, digest, payload_bytes, refers_to, record_type).
+
+    Payloads are not grouped: only their digests are, from one pass that keeps no body. The revisits that come of
+    it are broadcast if they are few, so that bodies stay where they were read; else bodies are shuffled once.
+    """
+    slim = cut(_digested(pages))
+    largest = slim.where(F.col("payload_bytes") >= min_bytes).groupBy("digest", "payload_bytes").agg(F.max("page_id").alias("_last"))
+    older = slim.join(largest, ["digest", "payload_bytes"]).where(F.col("page_id") < F.col("_last")).select("page_id", "digest", F.col("_last").alias("refers_to")).distinct()
+    side, _ = small(cut(older))
+    return _digested(pages, "url", "body").join(side, ["page_id", "digest"], "left").withColumn("record_type", F.when(F.col("refers_to").isNull(), "response").otherwise("revisit"))
 
 
 def record_text(spark: SparkSession) -> Column:
@@ -73,10 +94,16 @@ def record_text(spark: SparkSession) -> Column:
     )
 
 
-def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, records_per_file: int = RECORDS_PER_FILE) -> str:
+def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, records_per_file: int = RECORDS_PER_FILE, large: int = LARGE) -> str:
     """Writes the pages' records under `path` and returns it."""
-    records = plan_records(pages, min_bytes).select(record_text(pages.sparkSession).alias("value"))
-    records.write.option("lineSep", CRLF * 2).option("maxRecordsPerFile", records_per_file).text(path)
+    planned, big = plan_records(pages, min_bytes), F.col("payload_bytes") > large
+
+    def write(records: DataFrame, most: int) -> None:
+        records.select(record_text(pages.sparkSession).alias("value")).write.mode("append").options(lineSep=CRLF * 2, maxRecordsPerFile=most, compression="gzip").text(path)
+
+    write(planned.where(~big), records_per_file)
+    if not pages.where(F.octet_length("html") > large).isEmpty():
+        write(planned.where(big), 1)
     return path
 
 
@@ -91,24 +118,70 @@ def url_key(url: str) -> str:
     return ",".join(reversed(host.split("."))) + ")" + slash + path if url else ""
 
 
-def parse_archive(name: str, raw: bytes) -> Iterator[tuple[Any, ...]]:
-    """Index entries of an archive's records, in the order of FIELDS."""
-    at = 0
-    while at < len(raw):
-        end = raw.index(b"\r\n\r\n", at)
-        version, *lines = raw[at:end].decode().split(CRLF)
+class _Unpacked:
+    """A gzipped archive as a stream: only what is asked for is unpacked."""
+
+    def __init__(self, packed: memoryview) -> None:
+        self.packed, self.fed, self.inflate, self.held, self.at = packed, 0, zlib.decompressobj(31), bytearray(), 0
+
+    def _more(self) -> bool:
+        if self.inflate.eof:  # members may follow one another
+            rest = self.inflate.unused_data
+            self.fed -= len(rest)
+            self.inflate = zlib.decompressobj(31)
+        tail = self.inflate.unconsumed_tail
+        if not tail:
+            tail, self.fed = self.packed[self.fed : self.fed + PIECE], min(len(self.packed), self.fed + PIECE)
+            if not len(tail):
+                return False
+        self.held += self.inflate.decompress(tail, PIECE)
+        return True
+
+    def until(self, mark: bytes) -> bytes | None:
+        """The bytes up to and with the next mark; None at the end."""
+        begin = 0
+        while (end := self.held.find(mark, begin)) < 0:
+            begin = max(0, len(self.held) - len(mark))
+            if not self._more():
+                if self.held:
+                    raise ValueError(f"a record without an end at byte {self.at}")
+                return None
+        return self.take(end + len(mark))
+
+    def take(self, n: int) -> bytes:
+        while len(self.held) < n:
+            if not self._more():
+                raise ValueError(f"a record without an end at byte {self.at}")
+        out = bytes(self.held[:n])
+        del self.held[:n]
+        self.at += n
+        return out
+
+
+def parse_archive(name: str, packed: bytes | memoryview) -> Iterator[tuple[Any, ...]]:
+    """Index entries of an archive's records, in the order of FIELDS; lengths and digests of responses are made from what was read."""
+    raw, ends = _Unpacked(memoryview(packed)), CRLF.encode() * 2
+    while True:
+        at = raw.at
+        if (head := raw.until(ends)) is None:
+            return
+        version, *lines = head[:-4].decode().split(CRLF)
         if not version.startswith("WARC/"):
             raise ValueError(f"{name}: no record at byte {at}")
-        head = dict(x.split(": ", 1) if ": " in x else (x.rstrip(":"), "") for x in lines)
-        start, length = end + 4, int(head["Content-Length"])
-        http = raw[start : raw.index(b"\r\n\r\n", start)].decode()
-        size = next(int(x.split(": ")[1]) for x in http.split(CRLF) if x.startswith("Content-Length: "))
-        page, refers = head["WARC-Record-ID"][len(ID_PREFIX) + 1 : -1], head.get("WARC-Refers-To")
-        close = start + length + 4
-        if raw[start + length : close] != b"\r\n\r\n":
+        said = dict(x.split(": ", 1) if ": " in x else (x.rstrip(":"), "") for x in lines)
+        block = raw.take(int(said["Content-Length"]))
+        if raw.take(4) != ends:
             raise ValueError(f"{name}: the record at byte {at} doesn't end where its length says")
-        yield url_key(head["WARC-Target-URI"]), head["WARC-Date"], int(page) if page else None, head["WARC-Target-URI"], head["WARC-Type"], int(refers[len(ID_PREFIX) + 1 : -1]) if refers else None, size, head["WARC-Payload-Digest"].removeprefix("sha1:"), name, at, close - at
-        at = close
+        http, _, body = block.partition(ends)
+        size = next(int(x.split(": ")[1]) for x in http.decode().split(CRLF) if x.startswith("Content-Length: "))
+        digest = said["WARC-Payload-Digest"].removeprefix("sha1:")
+        if said["WARC-Type"] == "response":
+            found = base64.b32encode(hashlib.sha1(body).digest()).decode()
+            if (found, len(body)) != (digest, size):
+                raise ValueError(f"{name}: the payload of the record at byte {at} is not the one that was written")
+            digest, size = found, len(body)
+        page, refers = said["WARC-Record-ID"][len(ID_PREFIX) + 1 : -1], said.get("WARC-Refers-To")
+        yield url_key(said["WARC-Target-URI"]), said["WARC-Date"], int(page) if page else None, said["WARC-Target-URI"], said["WARC-Type"], int(refers[len(ID_PREFIX) + 1 : -1]) if refers else None, size, digest, name, at, raw.at - at
 
 
 def _order(entry: tuple[Any, ...]) -> tuple[Any, ...]:
@@ -158,8 +231,7 @@ def index_runs(spark: SparkSession, path: str) -> DataFrame:
     def each(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             for name, raw in zip(part.column(0), part.column(1), strict=True):
-                run = sorted(parse_archive(name.as_py().rsplit("/", 1)[-1], raw.as_buffer().to_pybytes()), key=_order)
-                yield _batch(run)
+                yield _batch(sorted(parse_archive(name.as_py().rsplit("/", 1)[-1], memoryview(raw.as_buffer())), key=_order))
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(each, FIELDS)
 
@@ -171,19 +243,15 @@ def _batch(entries: list[tuple[Any, ...]]) -> pa.RecordBatch:
 
 
 def merge_runs(runs: DataFrame, ranges: int | None = None) -> DataFrame:
-    """All entries in order of (URL key, time, page id): ranges in order, each merged from its parts of the runs."""
-    keys = ["url_key", "captured", "page_id"]
-    dealt = runs.repartitionByRange(ranges, *keys) if ranges else runs.repartitionByRange(*keys)
+    """All entries in order of (URL key, time, page id, place): ranges in order, each merged from its parts of the runs."""
+    keys = ["url_key", "captured", "page_id", "archive", "offset"]
+    dealt = runs.repartitionByRange(ranges or 1 + runs.count() // RANGE_ROWS, *keys).sortWithinPartitions("archive", *keys)
 
     def each(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: dict[str, list[tuple[Any, ...]]] = {}
-        for part in parts:
-            for entry in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                own.setdefault(entry[8], []).append(entry)
-        for run in own.values():
-            run.sort(key=_order)  # a fetch may deliver a run's blocks out of order; in-order runs cost one pass
+        entries = (entry for part in parts for entry in zip(*(c.to_pylist() for c in part.columns), strict=True))
+        tree = LoserTree([list(run) for _, run in groupby(entries, key=lambda entry: entry[8])])
         out: list[tuple[Any, ...]] = []
-        for entry in LoserTree(list(own.values())):
+        for entry in tree:
             out.append(entry)
             if len(out) == 8192:
                 yield _batch(out)
@@ -193,12 +261,22 @@ def merge_runs(runs: DataFrame, ranges: int | None = None) -> DataFrame:
     return dealt.mapInArrow(each, FIELDS)
 
 
+def check_revisits(entries: DataFrame) -> None:
+    """Raises ValueError if a revisit's response, with the same digest and length, is not among the entries."""
+    same = ["page_id", "payload_digest", "payload_bytes"]
+    responses = entries.where("record_type = 'response'").select(*same)
+    if not entries.where("record_type = 'revisit'").select(F.col("refers_to").alias("page_id"), *same[1:]).join(responses, same, "left_anti").isEmpty():
+        raise ValueError("a revisit refers to a response that is not in the archives")
+
+
 def capture_histories(pages: DataFrame, path: str | None = None, min_bytes: int = 0) -> DataFrame:
     """Writes archives (under `path`, or a new folder of the shared ones) and returns their merged index."""
     spark = pages.sparkSession
     if pages.isEmpty():
         return spark.createDataFrame([], FIELDS)
-    return merge_runs(index_runs(spark, write_archives(pages, path or new_path(spark, "warc"), min_bytes)))
+    entries = cut(index_runs(spark, write_archives(pages, path or new_path(spark, "warc"), min_bytes)))
+    check_revisits(entries)
+    return merge_runs(entries)
 
 
 OP5_SQL = f"""

@@ -1,8 +1,12 @@
 import base64
+import gzip
 import hashlib
+import os
 import random
 
-from shelfspark.llm import warc
+import pytest
+
+from shelfspark.llm import common, warc
 
 HTML = [None, "", "a", "a", "line\r\n\r\nWARC/1.1\r\n\r\n", "ü" * 50, "x" * 100_000]
 
@@ -44,7 +48,7 @@ def test_histories_are_in_global_order(spark, tmp_path):
     keys = [(r.url_key, r.captured, r.page_id is not None, r.page_id or 0) for r in merged]
     assert keys == sorted(keys)
     for r in merged:
-        with open(f"{path}/{r.archive}", "rb") as f:
+        with gzip.open(f"{path}/{r.archive}", "rb") as f:
             f.seek(r.offset)
             record = f.read(r.length)
         assert record.startswith(b"WARC/1.1\r\n") and record.endswith(b"\r\n\r\n")
@@ -65,3 +69,36 @@ def test_loser_tree():
 def test_url_key():
     assert warc.url_key("https://u:p@www.A.example:8080/b/c?d=1#e") == "example,a,www)/b/c?d=1"
     assert warc.url_key("http://a.example?x") == "example,a)?x" and warc.url_key("") == ""
+
+
+def test_large_payloads_have_files_of_their_own(spark, tmp_path):
+    given, rows = pages(spark)
+    path = warc.write_archives(given.coalesce(1), str(tmp_path / "w"), large=1000)
+    entries = warc.index_runs(spark, path).collect()
+    assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in entries), key=str) == brute(rows)
+    count = {a: sum(r.archive == a for r in entries) for a in {r.archive for r in entries}}
+    assert all(count[r.archive] == 1 for r in entries if r.payload_bytes > 1000) and max(count.values()) > 10
+
+
+def test_revisits_are_shuffled_where_they_are_many(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 1)
+    given, rows = pages(spark)
+    got = warc.capture_histories(given, str(tmp_path / "w")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()
+    assert sorted((tuple(r) for r in got), key=str) == brute(rows)
+
+
+def test_changed_bytes_are_noticed(spark, tmp_path):
+    given = spark.createDataFrame([(i, "http://a.example/", "abc" * 50 if i % 2 else f"text {i}") for i in range(8)], "page_id long, url string, html string")
+    path = warc.write_archives(given.coalesce(1), str(tmp_path / "w"))
+    name = next(f for f in os.listdir(path) if f.startswith("part-"))
+    raw = gzip.decompress(open(f"{path}/{name}", "rb").read())
+    whole = list(warc.parse_archive(name, gzip.compress(raw)))
+    assert [e[2] for e in whole] == list(range(8)) and whole == list(warc.parse_archive(name, gzip.compress(raw[:500]) + gzip.compress(raw[500:])))
+    with pytest.raises(ValueError, match="not the one that was written"):
+        list(warc.parse_archive(name, gzip.compress(raw.replace(b"abcabc", b"abcabd", 1))))
+    with pytest.raises(ValueError, match="without an end"):
+        list(warc.parse_archive(name, gzip.compress(raw[:-3])))
+    entries = warc.index_runs(spark, path)
+    warc.check_revisits(entries)
+    with pytest.raises(ValueError, match="not in the archives"):
+        warc.check_revisits(entries.where("page_id <> 7"))
