@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows that a hinted broadcast may have at most; beyond it the callers shuffle or work in blocks.
 BROADCAST_ROWS = 500_000
+#: A key with more than one in HOT of all rows is joined by a broadcast; there are fewer than HOT such keys at any size.
+HOT = 1024
 #: Rows that one task orders at most in :func:`running_total`, on average.
 BUCKET_ROWS = 4096
 
@@ -48,6 +50,29 @@ def small(df: DataFrame, most: int | None = None) -> tuple[DataFrame, bool]:
     return (F.broadcast(df) if fits else df), fits
 
 
+def table(df: DataFrame, name: str) -> DataFrame:
+    """df written as Parquet to a new folder of the shared ones and read from there: without lineage, and by columns."""
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def hot_join(rows: DataFrame, side: DataFrame, keys: list[str], n: str, total: int | None = None) -> DataFrame:
+    """Inner join of rows with side(keys, n, ...), whose keys are unique and whose `n` tells how many of rows have them; n goes.
+
+    Keys that hold more than one in HOT of all rows meet theirs in a broadcast of fewer than HOT rows, so that no
+    key fills a task; the others are joined by a shuffle. `total`, the sum of n, is counted where it is not given.
+    """
+    if total is None:
+        total = side.agg(F.sum(n)).first()[0] or 0
+    heavy, others = F.col(n) * HOT > total, [c for c in side.columns if c not in (n, *keys)]
+    names = [*rows.columns, *others]
+    hot, rest = side.where(heavy).select(*keys, *others, F.lit(True).alias("_hot")), side.where(~heavy).drop(n)
+    met = rows.join(F.broadcast(hot), keys, "left")
+    fresh = met.where("_hot is null").select(*rows.columns)
+    return met.where("_hot").select(*names).unionByName(fresh.join(rest, keys).select(*names))
+
+
 def word_list(text) -> F.Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
 

@@ -2,7 +2,8 @@
 
 Every round is two aggregations and two joins over the edges and is written to the shared checkpoint folder;
 only the number of changed edges comes to the driver. The number of rounds grows with the logarithm of the
-largest component's diameter.
+largest component's diameter. Nodes with a large share of all edges are joined by a broadcast (common.hot_join), so
+that the hub of a large component fills no task.
 """
 
 from __future__ import annotations
@@ -10,19 +11,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, hot_join
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """Links each node's larger (large) or smaller-or-own (small) neighbours to the smallest of its neighbourhood."""
+def _star(edges: DataFrame, large: bool, total: int) -> DataFrame:
+    """Links each node's larger (large) or smaller-or-own (small) neighbours to the smallest of its neighbourhood; total: about the number of edges."""
     if large:
         near = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = near.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
-        out = near.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        least = near.groupBy("a").agg(F.least("a", F.min("b")).alias("m"), F.count("*").alias("n"))
+        out = hot_join(near.where("b > a"), least, ["a"], "n", 2 * total).select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
         near = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        least = near.groupBy("a").agg(F.min("b").alias("m"))
-        out = near.join(least, "a").select("b", "m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
+        least = near.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        out = hot_join(near, least, ["a"], "n", total).select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
     return out.where("a <> b").distinct()
 
 
@@ -38,5 +39,5 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if not seen["n"] or (seen["n"], seen["h"]) == state:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
         state = (seen["n"], seen["h"])
-        now = cut(_star(_star(now, large=True), large=False))
+        now = cut(_star(_star(now, True, seen["n"]), False, seen["n"]))
     raise RuntimeError(f"components: not settled after {most_rounds} rounds")

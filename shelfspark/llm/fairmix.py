@@ -1,7 +1,7 @@
 """Mixing sources to target weights by weighted fair queueing.
 
 Sources get targets by filling to a common water level (a source stops at `max_repeats` times its size, its
-excess goes to the others by weight). Each source's documents are shuffled by a hash of their id; a document's
+excess goes to the others by weight). Each source's documents are shuffled by a hash of their id and text; a document's
 virtual finish time is its source's running size divided by the source's target, and each further repeat of the
 source goes on where the last one ended. All copies are put in one order by finish time and cut where their
 running size passes the budget. Everything is a DataFrame expression: no Python runs on executors.
@@ -9,9 +9,9 @@ running size passes the budget. Everything is a DataFrame expression: no Python
 A hot source is no hot task: running sums are taken in two levels (see common.running_total). The cut needs the
 order of one narrow slice of finish times only; whole slices before it are taken by their totals.
 
-Defined results: a null text has size 0; null sources are one source, after all others; rows with equal id, size
-and source are interchangeable and each is taken on its own; no rows, or only empty ones, give target 0 and
-taken 0; other columns of the input are not read.
+Defined results: a null text has size 0; null sources are one source, after all others; rows with equal id, text
+and source are interchangeable, are ordered in one task, and each is taken on its own; no rows, or only empty ones,
+give target 0 and taken 0; other columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -52,11 +52,19 @@ def _finish(repeat: int | Column) -> Column:
     return F.try_divide(F.col("source_size") * repeat + F.col("_cum"), F.col("target"))
 
 
+def source_name(source: Column) -> Column:
+    """A source's name in the order of sources: by code point, null last."""
+    return F.when(source.isNull(), "1").otherwise(F.concat(F.lit("0"), source.cast("string")))
+
+
+def shuffle_key(doc_id: Column, text: Column, seed: str = SEED) -> Column:
+    """The hash of an id and a text by which documents are shuffled."""
+    return F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(doc_id.cast("string"), F.lit("")), F.lit("|"), F.coalesce(F.md5(text), F.lit(""))))
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = WEIGHTS, budget_share: float = BUDGET_SHARE, max_repeats: int = MAX_REPEATS, seed: str = SEED) -> DataFrame:
-    """(doc_id, _source, size, source_size, target, copies, taken) of each row: how often, and how many words, the mix takes."""
-    name = F.when(F.col(source).isNull(), "1").otherwise(F.concat(F.lit("0"), F.col(source).cast("string")))
-    shuffled = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
-    sizes = cut(docs.select(F.col(id_col).alias("doc_id"), name.alias("_source"), F.size(word_list(F.col(text))).cast("long").alias("size"), shuffled.alias("_h")))
+    """(doc_id, _source, size, source_size, target, copies, taken, _h) of each row: how often, and how many words, the mix takes; _h is its shuffle_key."""
+    sizes = cut(docs.select(F.col(id_col).alias("doc_id"), source_name(F.col(source)).alias("_source"), F.size(word_list(F.col(text))).cast("long").alias("size"), shuffle_key(F.col(id_col), F.col(text), seed).alias("_h")))
     targets, _ = small(cut(source_targets(sizes, weights, budget_share, max_repeats)))
     unit = F.conv(F.substring("_h", 1, 8), 16, 10).cast("long")  # below 2^32, in the order of _h
     part = F.floor(unit * F.greatest(F.lit(1), F.least(F.lit(1 << 20), F.col("n_rows") / BUCKET_ROWS)).cast("long") / F.lit(1 << 32)).cast("long")
@@ -81,7 +89,26 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str
         in_slice = (lambda e: copy(e) <= edge) if edge is not None else (lambda e: F.lit(False))
         taken_of = lambda e: (F.col("size") > 0) & ((at(_finish(e)) < g) | ((at(_finish(e)) == g) & in_slice(e)))
     count = sum((F.coalesce(taken_of(e), F.lit(False)).cast("long") for e in range(max_repeats)), F.lit(0).cast("long"))
-    return queued.withColumn("copies", count).withColumn("taken", F.col("copies") * F.col("size")).select("doc_id", "_source", "size", "source_size", "target", "copies", "taken")
+    return queued.withColumn("copies", count).withColumn("taken", F.col("copies") * F.col("size")).select("doc_id", "_source", "size", "source_size", "target", "copies", "taken", "_h")
+
+
+def repeat_rows(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """The rows of docs, each as often as the mix takes it; all columns stay.
+
+    Copies are carried by id, text and source, not by the id alone. Only where the cut goes through rows that are equal
+    in these do they differ among such rows: the first ones by their other columns then get one copy more.
+    """
+    counts = cut(mix(docs, id_col, text, source).groupBy("_h", "_source").agg(F.count("*").alias("_n"), F.sum("copies").alias("_c")).where("_c > 0"))
+    side, _ = small(counts)
+    given = docs.select(F.struct(*docs.columns).alias("_row"), shuffle_key(F.col(id_col), F.col(text)).alias("_h"), source_name(F.col(source)).alias("_source"))
+    met = given.join(side, ["_h", "_source"])
+    times = lambda n: F.explode(F.array_repeat("_row", n.cast("int"))).alias("_row")
+    even = met.where("_c % _n = 0").select(times(F.floor(F.col("_c") / F.col("_n"))))
+    if counts.where("_c % _n <> 0").isEmpty():
+        return even.select("_row.*")
+    place = F.row_number().over(Window.partitionBy("_h", "_source").orderBy(F.to_json("_row")))
+    uneven = met.where("_c % _n <> 0").withColumn("_p", place).select(times(F.floor(F.col("_c") / F.col("_n")) + (F.col("_p") <= F.col("_c") % F.col("_n")).cast("long")))
+    return even.unionByName(uneven).select("_row.*")
 
 
 def op4_sql() -> str:
@@ -90,7 +117,7 @@ def op4_sql() -> str:
 WITH d AS (
   SELECT doc_id, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS src,
          len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size,
-         md5('{SEED}|' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h
+         md5('{SEED}|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || coalesce(md5(text), '')) AS h
   FROM documents),
 s AS (SELECT src, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY src),
 r AS (SELECT *, [3.0::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE][((row_number() OVER (ORDER BY src COLLATE "C") - 1) % 3 + 1)::INT] AS w,

@@ -11,7 +11,7 @@ Equal fingerprints are one node from the start, so exact copies cost one row. Co
 rounds of large-star and small-star joins.
 
 The pipeline's stage links by the Jaccard similarity of five-word shingles instead: bands of minima of the shingles'
-hashes are the keys, and the shingles verify; see :func:`near_copies`.
+hashes are the keys, and the shingles verify; see :func:`_near_classes`.
 
 Defined results: null and empty texts have fingerprint zero and link like any other; texts of any length count
 whole; repeated rows share a fingerprint and a component; rows with null ids get their group's smallest id (null if
@@ -26,10 +26,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, small
+from .common import cut, hot_join, small, table
 from .components import components
 
 SEED = 42
@@ -234,10 +234,10 @@ def links(nodes: DataFrame, n_words: int, segments: int, most: int) -> DataFrame
 def classes(prints: DataFrame, n_words: int, segments: int, most: int) -> DataFrame:
     """prints(doc_id, f0, ..., perhaps more) with component_id, the smallest doc_id reachable by links; rows that are equal but for doc_id are one node."""
     names = [c for c in prints.columns if c != "doc_id"]
-    nodes = cut(prints.groupBy(*names).agg(F.min("doc_id").alias("id")))
-    roots = components(links(nodes.where("id is not null"), n_words, segments, most))
-    rooted = nodes.join(roots, F.col("id") == F.col("node"), "left").select(*names, F.coalesce("root", "id").alias("component_id"))
-    return prints.join(rooted, names)
+    nodes = cut(prints.groupBy(*names).agg(F.min("doc_id").alias("id"), F.count("*").alias("_n")))
+    roots = components(links(nodes.where("id is not null").drop("_n"), n_words, segments, most))
+    rooted = cut(nodes.join(roots, F.col("id") == F.col("node"), "left").select(*names, "_n", F.coalesce("root", "id").alias("component_id")))
+    return hot_join(prints, rooted, names, "_n")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -253,35 +253,122 @@ SIMILAR_WORDS, SIMILAR, SLACK, KEPT = 5, 0.8, 0.03, 1024
 _ODD = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, component_id): classes of near copies, exact copies included.
+#: Nodes of one key that a task compares at most; a key with more is cut into blocks.
+BLOCK = 4096
+
+
+def _in_blocks(rows: DataFrame, n: Column) -> DataFrame:
+    """rows(key, g, ...) with `block`, 0 for keys of at most BLOCK nodes."""
+    return rows.withColumn("block", F.pmod(F.xxhash64("g"), F.ceil(n / BLOCK).cast("long")))
+
+
+def _compared(rows: DataFrame, held: DataFrame, handle: Callable[[np.ndarray, list[np.ndarray]], list[tuple[int, ...]]], columns: list[str]) -> DataFrame:
+    """(a, b): what `handle` gives for the nodes of each key of rows(key, g, ...), with their sketches held(g, s)."""
+    met = rows.join(held, "g").select(*columns, "s").repartition("key").sortWithinPartitions("key")
+    return met.mapInPandas(_each_key(handle, columns, True, ["a", "b"]), "a bigint, b bigint").distinct()
+
+
+def _roots(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(g, root) of all nodes(g)."""
+    return cut(nodes.join(components(edges), F.col("g") == F.col("node"), "left").select("g", F.coalesce("root", "g").alias("root")))
+
+
+def _across_blocks(wide: DataFrame, held: DataFrame, roots: DataFrame) -> DataFrame | None:
+    """Links within keys of wide(key, g), which have more than one block, between nodes that have not the same root yet; None if there are none.
 
-    Rows with equal sets of five-word shingles (by a 64-bit hash of the set) are one node. Candidates come from what
-    is verified: nodes that share the minima of a band of the shingles' hashes meet, wherever in the text they differ,
-    and link where their sketches are similar by SIMILAR.
+    A key's nodes that are not of its most frequent root are compared with all of the key's nodes, block by block.
+    """
+    of = cut(wide.join(roots, "g"))
+    counts = of.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.sum("c").alias("n"), F.max("c").alias("most"))
+    left = cut(counts.where("most < n"))
+    if left.isEmpty():
+        return None
+    rows = cut(hot_join(of, left.withColumn("_of", F.col("n")), ["key"], "_of"))
+    blocks, parts = F.ceil(F.col("n") / BLOCK).cast("long"), F.ceil((F.col("n") - F.col("most")) / BLOCK).cast("long")
+    turn = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    everyone = rows.select("key", "g", "root", F.lit(0).cast("long").alias("new"), F.pmod(F.xxhash64("g"), blocks).alias("i"), turn(parts).alias("j"))
+    others = rows.where("root <> main").select("key", "g", "root", F.lit(1).cast("long").alias("new"), turn(blocks).alias("i"), F.pmod(F.xxhash64("g"), parts).alias("j"))
+    met = everyone.unionByName(others).select(F.xxhash64("key", "i", "j").alias("key"), "g", "root", "new")
+
+    def crossing(rows: np.ndarray, own: list[np.ndarray]) -> list[tuple[int, ...]]:
+        old, out = np.flatnonzero(rows[:, 3] == 0), []
+        for x in np.flatnonzero(rows[:, 3] == 1):
+            rest = old[rows[old, 2] != rows[x, 2]]
+            near = rest[similar(own[x], [own[i] for i in rest])] if len(rest) else rest
+            out += [(int(rows[x, 2]), int(root)) for root in np.unique(rows[near, 2])]
+        return out
+
+    return _compared(met, held, crossing, ["key", "g", "root", "new"])
+
+
+def _near_classes(docs: DataFrame, id_col: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, t, g) of each row, t being a hash of its text and g one of its set of shingles, and (g, root) of each g.
+
+    Rows with equal sets of five-word shingles are one node. Candidates come from what is verified: nodes that share
+    the minima of a band of the shingles' hashes meet, wherever in the text they differ, and link where their sketches
+    are similar by SIMILAR. Keys whose nodes are the same are one key. A key of more than BLOCK nodes is cut into
+    blocks that share its least node; what links blocks beyond that is found by a second pass over them.
     """
 
     def each(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            found = [shingle_hashes(t.as_py()) for t in part.column(1)]
+            found = [shingle_hashes(t.as_py()) for t in part.column(2)]
             whole = pa.array([xxhash.xxh64_intdigest(h.tobytes(), SEED) - (1 << 63) for h in found], pa.int64())
             own = pa.array([least_hashes(h).tobytes() for h in found], pa.binary())
-            yield pa.RecordBatch.from_arrays([part.column(0), whole, own, pa.array([band_keys(h) for h in found], pa.list_(pa.int64()))], ["doc_id", "g", "s", "keys"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), whole, own, pa.array([band_keys(h) for h in found], pa.list_(pa.int64()))], ["doc_id", "t", "g", "s", "keys"])
 
     def forest(rows: np.ndarray, own: list[np.ndarray]) -> list[tuple[int, ...]]:
         return _forest(rows[:, 1], lambda x, rest: similar(own[x], [own[i] for i in rest]))
 
-    given = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("_text"))
-    prints = cut(given.mapInArrow(each, f"doc_id {dict(docs.dtypes)[id_col]}, g bigint, s binary, keys array<bigint>"))
-    keyed = prints.select(F.explode("keys").alias("key"), "g").distinct()
-    same = Window.partitionBy("key")
-    meeting = keyed.withColumns({"_n": F.count("*").over(same), "_least": F.min("g").over(same), "_most": F.max("g").over(same), "_all": F.bit_xor("g").over(same)}).where("_n > 1")
-    shared = cut(meeting.select(F.xxhash64("_n", "_least", "_most", "_all").alias("key"), "g").distinct())
-    who, _ = small(shared.select("g").distinct())
-    held = prints.select("g", "s").join(who, "g", "left_semi").dropDuplicates(["g"])
-    met = shared.join(held, "g").select("key", "g", "s").repartition("key").sortWithinPartitions("key")
-    edges = met.mapInPandas(_each_key(forest, ["key", "g"], True, ["a", "b"]), "a bigint, b bigint").distinct()
-    nodes = prints.groupBy("g").agg(F.min("doc_id").alias("id"))
-    rooted = cut(nodes.join(components(edges), F.col("g") == F.col("node"), "left").select("g", "id", F.coalesce("root", "g").alias("root")))
-    least = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
-    return prints.select("doc_id", "g").join(rooted.select("g", "root").join(least, "root"), "g").select("doc_id", "component_id")
+    given = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("t"), F.col(text).alias("_text"))
+    prints = table(given.mapInArrow(each, f"doc_id {dict(docs.dtypes)[id_col]}, t bigint, g bigint, s binary, keys array<bigint>"), "prints")
+    nodes = table(prints.groupBy("g").agg(F.any_value("keys").alias("keys")), "nodes")
+    keyed = nodes.select("g", F.explode("keys").alias("key"))
+    stats = cut(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("g").alias("least"), F.max("g").alias("_most"), F.bit_xor("g").alias("_all")).where("n > 1"))
+    alike = stats.select("key", "n", "least", F.xxhash64("n", "least", "_most", "_all").alias("set"), F.col("n").alias("_of"))
+    shared = cut(hot_join(keyed, alike, ["key"], "_of").select(F.col("set").alias("key"), "g", "n", "least").distinct())
+    held = table(prints.select("g", "s").join(shared.select("g").distinct(), "g", "left_semi").groupBy("g").agg(F.any_value("s").alias("s")), "sketches")
+    dealt = _in_blocks(shared, F.col("n"))
+    pivots = shared.where((F.col("n") > BLOCK) & (F.col("g") == F.col("least"))).select("key", "g", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / BLOCK).cast("long") - 1)).alias("block"))
+    first = dealt.select("key", "g", "block").unionByName(pivots).distinct().select(F.xxhash64("key", "block").alias("key"), "g")
+    edges = cut(_compared(first, held, forest, ["key", "g"]))
+    roots, wide = _roots(nodes.select("g"), edges), shared.where(F.col("n") > BLOCK).select("key", "g")
+    if not wide.isEmpty() and (more := _across_blocks(wide, held, roots)) is not None:
+        roots = _roots(nodes.select("g"), edges.unionByName(more))
+    return prints.select("doc_id", "t", "g"), roots
+
+
+def _first_of_classes(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """(g, n, first) of all g: how many of rows(doc_id, t, g) have it, and the first (doc_id, t) of its class, null ids last."""
+    own = rows.groupBy("g").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")).alias("own"), F.count("*").alias("n"))
+    rooted = cut(own.join(roots, "g"))
+    least = cut(rooted.groupBy("root").agg(F.min("own").alias("first"), F.count("*").alias("_of")))
+    return hot_join(rooted, least, ["root"], "_of").select("g", "n", "first")
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, component_id) of each row: classes of near copies, exact copies included, by their smallest id."""
+    rows, roots = _near_classes(docs, id_col, text)
+    return hot_join(rows, cut(_first_of_classes(rows, roots)), ["g"], "n").select("doc_id", F.col("first.doc_id").alias("component_id"))
+
+
+def one_of_each_class(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs without near copies: of each class its row with the smallest id, then the least hash of the text; all columns stay.
+
+    Rows go by what they are, not by their ids: different texts under one id, and rows with null ids, are judged each by
+    itself. Of rows with equal id and text the first by its other columns stays.
+    """
+    rows, roots = _near_classes(docs, id_col, text)
+    distinct = cut(rows.groupBy("doc_id", "t").agg(F.count("*").alias("n")))
+    firsts = cut(_first_of_classes(rows, roots).select("first.doc_id", "first.t").distinct())
+    same = F.col("_doc").eqNullSafe(F.col("doc_id")) & (F.col("_t") == F.col("t"))
+    is_first = F.col("f.doc_id").eqNullSafe(F.col("d.doc_id")) & (F.col("f.t") == F.col("d.t"))
+    later, _ = small(cut(distinct.alias("d").join(firsts.alias("f"), is_first, "left_anti").select("doc_id", "t")))
+    given = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).alias("_doc"), F.xxhash64(text).alias("_t"))
+    first = given.join(later, same, "left_anti")
+    repeated = cut(distinct.alias("d").where("n > 1").join(firsts.alias("f"), is_first, "left_semi").select("doc_id", "t"))
+    if repeated.isEmpty():
+        return first.select("_row.*")
+    few, _ = small(repeated)
+    again = first.join(few, same, "left_semi").groupBy("_doc", "_t").agg(F.min_by("_row", F.to_json("_row")).alias("_row"))
+    return first.join(few, same, "left_anti").select("_row").unionByName(again.select("_row")).select("_row.*")

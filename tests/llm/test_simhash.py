@@ -91,7 +91,51 @@ def test_block_edits_are_found(spark):
     assert all(got[2 * i] == 2 * i for i in range(len(pairs)))
 
 
+def test_keys_of_many_nodes_are_cut_into_blocks(spark, monkeypatch):
+    r = np.random.default_rng(8)
+    texts = []
+    for f in range(3):  # families that drift: neighbours are similar, the ends are not, and all share their first bands now and then
+        words = [f"f{f}w{i}" for i in range(200)]
+        for n in range(70):
+            words[int(r.integers(0, 200))] = f"n{f}_{n}"
+            texts.append(" ".join(words))
+    sets = [set(simhash.shingles_of(simhash.words_of(t), 5)) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if len(a & sets[j]) >= 0.8 * len(a | sets[j]):
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for block in (4096, 8):
+        monkeypatch.setattr(simhash, "BLOCK", block)
+        assert {x.doc_id: x.component_id for x in simhash.near_copies(docs).collect()} == {i: find(i) for i in range(len(texts))}
+
+
+def test_links_between_blocks_that_only_the_second_pass_finds(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK", 2)
+    sketch = lambda *x: np.array(x, np.uint32).tobytes()
+    held = spark.createDataFrame([(i, sketch(*range(100 * i, 100 * i + 10))) for i in range(6)] + [(6, sketch(*range(10))), (7, sketch(*range(200, 210)))], "g long, s binary")
+    wide = spark.createDataFrame([(1, g) for g in range(8)], "key long, g long")
+    roots = spark.createDataFrame([(g, 0 if g < 2 else g) for g in range(8)], "g long, root long")
+    more = simhash._across_blocks(wide, held, roots)
+    assert {frozenset((e.a, e.b)) for e in more.collect()} == {frozenset((0, 6)), frozenset((2, 7))}
+    assert simhash._across_blocks(wide, held, roots.withColumn("root", F.lit(0).cast("long"))) is None
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(100)] + [(500, 400), (400, 300), (7, 7), (None, 3), (900, 901), (901, 900)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(1, 101)}, 400: 300, 500: 300, 901: 900}
+
+
+def test_hubs_are_joined_apart(spark):
+    edges = spark.range(1, 5000).select(F.col("id").alias("a"), F.lit(0).cast("long").alias("b")).unionByName(spark.range(6000, 9000).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")).where("a % 3 <> 0"))
+    got = {r.node: r.root for r in components.components(edges).collect()}
+    assert all(got[i] == 0 for i in range(1, 5000))
+    assert all(got[i] == i - (i - 1) % 3 for i in range(6002, 9000) if i % 3 != 1)
