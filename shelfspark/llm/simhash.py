@@ -322,12 +322,13 @@ def _near_classes(docs: DataFrame, id_col: str, text: str) -> tuple[DataFrame, D
 
     given = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("t"), F.col(text).alias("_text"))
     prints = table(given.mapInArrow(each, f"doc_id {dict(docs.dtypes)[id_col]}, t bigint, g bigint, s binary, keys array<bigint>"), "prints")
-    nodes = table(prints.groupBy("g").agg(F.any_value("keys").alias("keys")), "nodes")
+    nodes = table(prints.groupBy("g").agg(F.any_value("keys").alias("keys"), F.count("*").alias("n")), "nodes")
     keyed = nodes.select("g", F.explode("keys").alias("key"))
     stats = cut(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("g").alias("least"), F.max("g").alias("_most"), F.bit_xor("g").alias("_all")).where("n > 1"))
     alike = stats.select("key", "n", "least", F.xxhash64("n", "least", "_most", "_all").alias("set"), F.col("n").alias("_of"))
     shared = cut(hot_join(keyed, alike, ["key"], "_of").select(F.col("set").alias("key"), "g", "n", "least").distinct())
-    held = table(prints.select("g", "s").join(shared.select("g").distinct(), "g", "left_semi").groupBy("g").agg(F.any_value("s").alias("s")), "sketches")
+    meeting = cut(nodes.select("g", "n").join(shared.select("g").distinct(), "g"))
+    held = table(hot_join(prints.select("g", "s"), meeting, ["g"], "n").groupBy("g").agg(F.any_value("s").alias("s")), "sketches")
     dealt = _in_blocks(shared, F.col("n"))
     pivots = shared.where((F.col("n") > BLOCK) & (F.col("g") == F.col("least"))).select("key", "g", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / BLOCK).cast("long") - 1)).alias("block"))
     first = dealt.select("key", "g", "block").unionByName(pivots).distinct().select(F.xxhash64("key", "block").alias("key"), "g")
