@@ -6,9 +6,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Words that a family key leaves out.
-COLOUR_WORDS = "siyah beyaz mavi kirmizi turuncu mor pembe yesil gri lacivert bej kahverengi sari krem antrasit bordo haki gumus altin fume black white blue red orange purple pink green grey gray navy multi renkli petrol mint lila somon turkuaz ekru".split()
-GENDER_WORDS = "erkek kadin unisex cocuk kiz bebek men women mens womens kids genc".split()
-GENERIC_WORDS = "kosu ayakkabisi ayakkabi spor sneaker yuruyus outdoor gunluk antrenman bot terlik sandalet shoes running tenis fitness yol kosusu yarim bilekli su gecirmez".split()
+COLOUR_WORDS = (
+    "siyah", "beyaz", "mavi", "kirmizi", "turuncu", "mor", "pembe", "yesil", "gri", "lacivert", "bej", "kahverengi", "sari", "krem", "antrasit", "bordo", "haki", "gumus", "altin", "fume", "black", "white", "blue", "red", "orange", "purple", "pink", "green", "grey", "gray", "navy", "multi", "renkli", "petrol", "mint", "lila", "somon", "turkuaz", "ekru",
+)
+GENDER_WORDS = (
+    "erkek", "kadin", "unisex", "cocuk", "kiz", "bebek", "men", "women", "mens", "womens", "kids", "genc",
+)
+GENERIC_WORDS = (
+    "kosu", "ayakkabisi", "ayakkabi", "spor", "sneaker", "yuruyus", "outdoor", "gunluk", "antrenman", "bot", "terlik", "sandalet", "shoes", "running", "tenis", "fitness", "yol", "kosusu", "yarim", "bilekli", "su", "gecirmez",
+)
 # Turkish letters and what they fold to.
 TURKISH, FOLDED = "çğıöşüÇĞİÖŞÜ", "cgiosuCGIOSU"
 # What a bot challenge page says within its first 8000 characters.
@@ -39,11 +45,11 @@ def parse_price_plain(text: Column) -> Column:
 
 
 def scale_fix(value: Column, limit: float = 15000.0) -> Column:
-    """Divided by ten as often as it takes to be at most `limit`; for values up to a thousand million times that."""
-    out = F.when(value > limit * 1e8, value / 1e9)
-    for k in range(8, 0, -1):
-        out = out.when(value > limit * 10 ** (k - 1), value / 10**k)
-    return F.round(out.otherwise(value), 2)
+    """Divided by ten as often as it takes to be at most `limit`; infinity stays."""
+    steps = F.greatest(F.lit(0.0), F.ceil(F.log10(value / limit)).cast("double"))
+    near = value / F.pow(F.lit(10.0), steps)  # one step off where the logarithm was rounded
+    exact = F.when(near > limit, near / 10).when((steps > 0) & (near * 10 <= limit), near * 10).otherwise(near)
+    return F.round(F.when((value > limit) & (value < float("inf")), exact).otherwise(value), 2)
 
 
 def normalize_size(size: Column, empty: str = "-") -> Column:
