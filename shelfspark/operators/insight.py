@@ -46,7 +46,7 @@ def price_drops(observations: DataFrame, key: str, order: list[str], least: floa
     seen = observations.withColumn("previous_price", before)
     valid = F.col("previous_price").between(least, most) & (F.col("previous_price") <= F.col("price") * 5)
     dropped = seen.where(valid & (F.col("price") < F.col("previous_price") * 0.97))
-    return dropped.withColumn("drop_pct", F.round((F.col("previous_price") - F.col("price")) / F.col("previous_price") * 100, 0))
+    return dropped.withColumn("drop_pct", F.bround((F.col("previous_price") - F.col("price")) / F.col("previous_price") * 100, 0))
 
 
 def tumbling_prices(ticks: DataFrame, length: str = "1 day") -> DataFrame:

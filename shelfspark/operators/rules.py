@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,19 +48,34 @@ def spectrum_matches(rules: DataFrame, products: DataFrame, listings: DataFrame,
     return chosen.select("rule_id", "product_id", F.col("b.product_id").alias("listing_product_id"), F.col("b.store_id").alias("store_id"), F.col("b.price").alias("price"), "target_price")
 
 
-def outside_cooldown(candidates: DataFrame, alerts: DataFrame, keys: list[str], at: str = "as_of") -> DataFrame:
-    """Candidates(keys, cooldown_hours, as_of) without an alert of the same keys within the cooldown; a cooldown of 0 or null means the default.
+def last_alert_before(rows: DataFrame, alerts: DataFrame, keys: list[str], at: str) -> DataFrame:
+    """rows with `_last`, the latest alert of the same keys at or before the row's instant `at`; null without one, or where a key or the instant is null.
 
-    Only the latest alert of a key can matter, so alerts come down to one row for each key before the join.
+    In two levels, so that a key with most rows is as many tasks as it has days: within a day rows and alerts stand in
+    one order; of the days before only the latest alert is looked at.
     """
-    last = alerts.groupBy(*keys).agg(F.max("created_at").alias("_last"))
+    day = lambda c: F.to_date(F.col(c)).alias("_day")
+    mine = rows.select(*keys, day(at), micros(at).alias("_at"), F.lit(1).alias("_kind"), F.struct(*rows.columns).alias("_row"))
+    theirs = alerts.where(F.col("created_at").isNotNull()).select(*keys, day("created_at"), micros("created_at").alias("_at"), F.lit(0).alias("_kind"), F.lit(None).cast(mine.schema["_row"].dataType).alias("_row"))
+    both = mine.unionByName(theirs)
+    alerted = F.when(F.col("_kind") == 0, F.col("_at"))
+    days = both.groupBy(*keys, "_day").agg(F.max(alerted).alias("_most"))
+    earlier = days.select(*keys, "_day", F.max("_most").over(Window.partitionBy(*keys).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)).alias("_earlier"))
+    within = Window.partitionBy(*keys, "_day").orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = both.withColumn("_within", F.max(alerted).over(within)).where("_kind = 1").select(*keys, "_day", "_within", "_row")
+    # a row whose key is null meets no day, and so no alert
+    return seen.join(earlier, [*keys, "_day"], "left").select("_row.*", F.when(reduce(Column.__and__, [F.col(k).isNotNull() for k in keys]), F.coalesce("_within", "_earlier")).alias("_last"))
+
+
+def outside_cooldown(candidates: DataFrame, alerts: DataFrame, keys: list[str], at: str = "as_of") -> DataFrame:
+    """Candidates(keys, cooldown_hours, as_of) without an alert of the same keys within the cooldown before them; a cooldown of 0 or null means the default. Alerts after a candidate count for nothing."""
     hours = F.coalesce(F.nullif(F.col("cooldown_hours"), F.lit(0.0)), F.lit(DEFAULT_COOLDOWN))
-    recent = micros(at) - micros("_last") < hours * 3_600_000_000
-    return candidates.join(last, keys, "left").where(~F.coalesce(recent, F.lit(False))).drop("_last")
+    recent = micros(at) - F.col("_last") < hours * 3_600_000_000
+    return last_alert_before(candidates, alerts, keys, at).where(~F.coalesce(recent, F.lit(False))).drop("_last")
 
 
 def without_unread(candidates: DataFrame, alerts: DataFrame, keys: list[str]) -> DataFrame:
-    """Candidates for which no unread alert stands."""
+    """Candidates for which no unread alert stands: by the state of alerts now, whenever the candidates are from."""
     return candidates.join(alerts.where("is_read = false").select(*keys).distinct(), keys, "left_anti")
 
 
@@ -67,33 +84,55 @@ def latest_alerts(alerts: DataFrame, keys: list[str]) -> DataFrame:
     return alerts.withColumn("_n", F.row_number().over(newest)).where("_n = 1").drop("_n")
 
 
+def _norm(size: Column) -> Column:
+    return F.upper(F.trim(F.replace(size, F.lit(","), F.lit("."))))
+
+
+def _label(entry: Column) -> Column:
+    return F.coalesce(F.nullif(entry["name"], F.lit("")), entry["size"])
+
+
 def evaluate_rules(rules: DataFrame, products: DataFrame, listings: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
     """Candidates of all rules over whole listings(id, product_id, last_price, last_cart_price, last_sizes, last_in_stock, active).
 
-    A sized rule takes the first size entry with its label; one without a size takes any size in stock, or the
-    listing's own flag where no sizes are known. Spectrum rules look at all active products of the family, or at
-    their own product where the family has no active listing, and keep the cheapest candidate.
+    A sized rule takes the first size entry with its label; one without a size (null, empty or "-") takes any size in
+    stock, or the listing's own flag where no sizes are known. Spectrum rules look at all active products of the
+    family, or at their own product where the family has no active listing, and keep the cheapest candidate. Families
+    are brought down to their cheapest offers, for each size and for any, before rules meet them.
     """
     active = products.where("active").select(F.col("id").alias("product_id"), F.col("name").alias("product_name"), "family_key")
-    open_rules = rules.where("enabled and target_price is not null").join(active, "product_id")
-    offers = listings.where("active and last_price is not null").select(F.col("id").alias("listing_id"), F.col("product_id").alias("listing_product_id"), "last_price", "last_cart_price", "last_sizes", "last_in_stock")
-    named = active.select(F.col("product_id").alias("listing_product_id"), F.col("product_name").alias("listing_name"), F.col("family_key").alias("listing_family"))
-    families = listings.where("active").join(active, "product_id").where("family_key is not null").select(F.col("family_key").alias("_with")).distinct()
+    names = active.select(F.col("product_id").alias("listing_product_id"), F.col("product_name").alias("listing_name"), F.col("family_key").alias("listing_family"))
+    offers = listings.where("active").select(F.col("id").alias("listing_id"), F.col("product_id").alias("listing_product_id"), "last_price", "last_cart_price", "last_sizes", "last_in_stock").join(names, "listing_product_id")
+    families = offers.where("listing_family is not null").select(F.col("listing_family").alias("_with")).distinct()
+    scoped = rules.where("enabled and target_price is not null").join(active, "product_id").join(families, F.col("family_key") == F.col("_with"), "left")
     wide = F.coalesce("spectrum_mode", F.lit(False)) & F.col("_with").isNotNull()
-    scoped = open_rules.join(families, F.col("family_key") == F.col("_with"), "left").withColumn("_wide", wide).drop("_with")
+    scoped = scoped.withColumns({"_wide": wide, "_want": F.when(~F.coalesce("size", F.lit("")).isin("", "-"), _norm(F.col("size")))}).drop("_with")
+
+    offers = offers.where("last_price is not null")
+    listed = F.coalesce(F.size("last_sizes"), F.lit(0)) > 0
+    any_fits = F.coalesce(F.when(listed, F.exists("last_sizes", lambda s: F.coalesce(s["in_stock"], F.lit(False)))).otherwise(F.col("last_in_stock")), F.lit(False))
+    any_said = F.when(listed, "Herhangi bir beden").otherwise("Beden bilgisi yok")
+    offer = lambda said: F.struct("last_price", "listing_id", "last_cart_price", "listing_name", said.alias("matched_size"))
+
     cheap = F.col("last_price") <= F.col("target_price") * F.lit(tolerance)
-    own = scoped.where("not _wide").join(offers, (F.col("product_id") == F.col("listing_product_id")) & cheap).withColumn("listing_name", F.col("product_name"))
-    family = scoped.where("_wide").join(offers.join(named, "listing_product_id"), (F.col("family_key") == F.col("listing_family")) & cheap).drop("listing_family")
-    norm = lambda s: F.upper(F.trim(F.replace(s, F.lit(","), F.lit("."))))
-    label = lambda s: F.coalesce(F.nullif(s["name"], F.lit("")), s["size"])
-    sized = F.coalesce("size", F.lit("")).isin("", "-") == F.lit(False)
-    known = F.coalesce(F.size("last_sizes"), F.lit(0)) > 0
-    first = F.get(F.filter("last_sizes", lambda s: norm(label(s)) == norm(F.col("size"))), 0)
-    fits = F.when(sized, first["in_stock"]).when(known, F.exists("last_sizes", lambda s: F.coalesce(s["in_stock"], F.lit(False)))).otherwise(F.col("last_in_stock"))
-    said = F.when(sized, first["name"]).when(known, "Herhangi bir beden").otherwise("Beden bilgisi yok")
-    met = own.unionByName(family).where(F.coalesce(fits, F.lit(False))).withColumn("matched_size", said)
-    place = F.row_number().over(Window.partitionBy("id").orderBy("last_price", "listing_id"))
-    kept = met.withColumn("_place", F.when(F.col("spectrum_mode"), place).otherwise(1)).where("_place = 1")
+    first = F.get(F.filter("last_sizes", lambda s: _norm(_label(s)) == F.col("_want")), 0)
+    own = scoped.where("not _wide").join(offers, (F.col("product_id") == F.col("listing_product_id")) & cheap)
+    sized = F.col("_want").isNotNull()
+    own = own.where(F.coalesce(F.when(sized, first["in_stock"]).otherwise(any_fits), F.lit(False))).withColumn("_o", offer(F.when(sized, first["name"]).otherwise(any_said)))
+    rule = ["id", "product_id", "target_price", "cooldown_hours"]
+    plain = own.where(~F.coalesce("spectrum_mode", F.lit(False))).select(*rule, "_o")
+    alone = own.where("spectrum_mode").groupBy(*rule).agg(F.min("_o").alias("_o"))
+
+    entries = offers.where("listing_family is not null").withColumn("_labels", F.transform("last_sizes", lambda s: _norm(_label(s))))
+    firsts = F.filter("last_sizes", lambda s, i: (F.array_position("_labels", _norm(_label(s))) == i + 1) & F.coalesce(s["in_stock"], F.lit(False)))
+    each = entries.select("listing_family", "last_price", "listing_id", "last_cart_price", "listing_name", F.explode(firsts).alias("s"))
+    by_size = each.groupBy("listing_family", _norm(_label(F.col("s"))).alias("_size")).agg(F.min(offer(F.col("s.name"))).alias("_sized"))
+    by_any = entries.where(any_fits).groupBy("listing_family").agg(F.min(offer(any_said)).alias("_any"))
+    asked = scoped.where("_wide")
+    met = asked.join(by_any, F.col("family_key") == F.col("listing_family"), "left").drop("listing_family").join(by_size, (F.col("family_key") == F.col("listing_family")) & (F.col("_want") == F.col("_size")), "left")
+    family = met.withColumn("_o", F.when(sized, F.col("_sized")).otherwise(F.col("_any"))).where(F.col("_o.last_price") <= F.col("target_price") * F.lit(tolerance)).select(*rule, "_o")
+
+    kept = plain.unionByName(alone).unionByName(family).select(*rule, "_o.*")
     title = F.concat(F.when(F.col("last_price") > F.col("target_price"), "🎯 HEDEFE YAKLAŞTI: ").otherwise("✅ HEDEF YAKALANDI: "), "listing_name")
     cart = F.when(F.coalesce("last_cart_price", F.lit(0.0)) != 0, "Sepet indirimi").otherwise("Normal fiyat")
     return kept.select(F.col("id").alias("rule_id"), "product_id", "listing_id", title.alias("title"), F.col("listing_name").alias("product_name"), F.col("last_price").alias("price"), "target_price", F.col("matched_size").alias("size"), cart.alias("price_type"), "cooldown_hours")

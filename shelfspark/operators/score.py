@@ -46,9 +46,10 @@ def buy_score(rows: DataFrame) -> DataFrame:
     for name, value in SOURCE_POINTS.items():
         points = points.when(source == name, value)
     trust_score = F.when(F.coalesce("last_error", F.lit("")) != "", 2).otherwise(points.otherwise(4))
-    whole = lambda x: F.format_string("%.0f", x)
+    whole = lambda x: F.format_string("%.0f", F.bround(x, 0))
     say = lambda cond, *text: F.when(cond, F.concat(*[F.lit(t) if isinstance(t, str) else t for t in text]))
     has_want = c("_want").isNotNull()
+    # What reasons and risks say.
     reasons = [
         say(_truthy(target) & (price <= target), "Hedef fiyatın (", whole(target), " TL) altında"),
         say(_truthy(target) & (price > target) & (price <= target * 1.1), "Hedef fiyata çok yakın (%10 bandında)"),

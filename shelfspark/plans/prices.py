@@ -35,7 +35,7 @@ def price_insight_running(t: Tables) -> DataFrame:
 @query("W3_price_drop_radar", """
 d AS (SELECT *, lag(price) OVER (PARTITION BY listing_id ORDER BY checked_at, tick_id) AS previous_price FROM ticks)
 ==
-SELECT tick_id, listing_id, price, previous_price, round((previous_price - price) / previous_price * 100, 0) AS drop_pct FROM d
+SELECT tick_id, listing_id, price, previous_price, round_even((previous_price - price) / previous_price * 100, 0) AS drop_pct FROM d
 WHERE previous_price BETWEEN 50 AND 200000 AND previous_price <= price * 5 AND price < previous_price * 0.97""")
 def price_drop_radar(t: Tables) -> DataFrame:
     return insight.price_drops(t.ticks(), "listing_id", ["checked_at", "tick_id"]).select("tick_id", "listing_id", "price", "previous_price", "drop_pct")
@@ -44,7 +44,7 @@ def price_drop_radar(t: Tables) -> DataFrame:
 @query("W3_price_drop_radar_products", """
 d AS (SELECT *, lag(price) OVER (PARTITION BY product_id ORDER BY checked_at, l_orderkey, l_linenumber, store_id, price) AS previous_price FROM history)
 ==
-SELECT product_id, count(*) AS drops, max(round((previous_price - price) / previous_price * 100, 0)) AS worst FROM d
+SELECT product_id, count(*) AS drops, max(round_even((previous_price - price) / previous_price * 100, 0)) AS worst FROM d
 WHERE previous_price BETWEEN 50 AND 200000 AND previous_price <= price * 5 AND price < previous_price * 0.97 GROUP BY product_id""")
 def price_drop_radar_products(t: Tables) -> DataFrame:
     found = insight.price_drops(t.history().select("*", "seq.l_orderkey", "seq.l_linenumber"), "product_id", ["checked_at", "l_orderkey", "l_linenumber", "store_id", "price"])
@@ -181,11 +181,9 @@ def spectrum_matches(t: Tables) -> DataFrame:
     return rules.spectrum_matches(t.rules(), t.products().withColumn("family_key", text.family_key(F.col("name"))), t.listings())
 
 
-@query("J7_cooldown_alerts", """
-h AS (SELECT rule_id, listing_id, max(created_at) AS last FROM alerts GROUP BY 1, 2)
-==
-SELECT candidate_id, c.rule_id, c.listing_id FROM candidates c LEFT JOIN h USING (rule_id, listing_id)
-WHERE NOT coalesce(epoch_us(as_of) - epoch_us(last) < coalesce(nullif(cooldown_hours, 0), 24) * 3600000000, false)""")
+@query("J7_cooldown_alerts", """SELECT candidate_id, c.rule_id, c.listing_id FROM candidates c ASOF LEFT JOIN (SELECT rule_id, listing_id, created_at FROM alerts) h
+  ON c.rule_id = h.rule_id AND c.listing_id = h.listing_id AND c.as_of >= h.created_at
+WHERE NOT coalesce(epoch_us(as_of) - epoch_us(h.created_at) < coalesce(nullif(cooldown_hours, 0), 24) * 3600000000, false)""")
 def cooldown_alerts(t: Tables) -> DataFrame:
     return rules.outside_cooldown(t.candidates(), t.alerts(), ["rule_id", "listing_id"]).select("candidate_id", "rule_id", "listing_id")
 

@@ -176,3 +176,25 @@ def test_manual_prices_and_history(spark):
     assert [(r.listing_id, r.price, r.price_source) for r in history.collect()] == [("a", 5.0, "manual")]
     checked = spark.createDataFrame([("a", "p", 5.0, at), ("b", "p", None, at)], "listing_id string, product_id string, current_price double, checked_at timestamp").select("*", *[F.lit(None).cast(k).alias(n) for n, k in (("old_price", "double"), ("cart_price", "double"), ("price_source", "string"), ("confidence", "double"), ("stock_count", "int"))])
     assert [r.listing_id for r in state.history_rows(checked).collect()] == ["a"]
+
+
+def test_only_alerts_before_a_candidate_suppress_it(spark):
+    at = dt.datetime(2024, 1, 10, 12)
+    hour = dt.timedelta(hours=1)
+    alerts = {"after": [19 * 24], "before": [-11.9], "both": [-13, 5], "same": [0], "days": [-40], "null": [-1], "none": []}
+    c = spark.createDataFrame([(k if k != "null" else None, 36.0 if k == "days" else 12.0, at, "x") for k in alerts], "k string, cooldown_hours double, as_of timestamp, _day string")
+    a = spark.createDataFrame([(k if k != "null" else None, at + h * hour) for k, hours in alerts.items() for h in hours] + [("none", None)], "k string, created_at timestamp")
+    assert {x.k for x in rules.outside_cooldown(c, a, ["k"]).collect()} == {"after", "both", "days", None, "none"}
+    late = c.withColumn("cooldown_hours", F.lit(48.0))
+    assert {x.k for x in rules.outside_cooldown(late, a, ["k"]).collect()} == {"after", None, "none"}
+
+
+def test_cooldown_equals_a_plain_search(spark):
+    t = Tables(spark, SF)
+    rows, alerts = t.candidates().collect(), [(a.rule_id, a.listing_id, a.created_at) for a in t.alerts().collect()]
+    want = set()
+    for r in rows:
+        before = [x for u, l, x in alerts if (u, l) == (r.rule_id, r.listing_id) and x <= r.as_of]
+        if not before or (r.as_of - max(before)).total_seconds() >= (r.cooldown_hours or 24) * 3600:
+            want.add(r.candidate_id)
+    assert {r.candidate_id for r in rules.outside_cooldown(t.candidates(), t.alerts(), ["rule_id", "listing_id"]).collect()} == want
