@@ -13,16 +13,17 @@ TOLERANCE = 1.10
 DEFAULT_COOLDOWN = 24.0
 
 
-def rule_matches(rules: DataFrame, listings: DataFrame, tolerance: float = TOLERANCE, on: Column | None = None) -> DataFrame:
+def rule_matches(rules: DataFrame, listings: DataFrame, tolerance: float = TOLERANCE, on: Column | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """(rule, listing) pairs on one product (or `on`) whose price is within the target's tolerance and whose size, or any size, is in stock.
 
-    The price test is part of the join, so pairs that fail it are never made.
+    The price test is part of the join, so pairs that fail it are never made. Listings may be a stream; `keep` names
+    further columns of theirs.
     """
     r, p = rules.where("enabled and target_price is not null").alias("r"), listings.alias("l")
     joined = r.join(p, (on if on is not None else F.col("r.product_id") == F.col("l.product_id")) & (F.col("l.price") <= F.col("r.target_price") * F.lit(tolerance)))
     sized = F.col("r.rule_size").isNotNull()
     fits = F.when(sized, (F.col("l.size") == F.col("r.rule_size")) & F.col("l.size_in_stock")).otherwise(F.col("l.in_stock"))
-    return joined.where(F.coalesce(fits, F.lit(False))).select("r.rule_id", "r.product_id", F.col("l.product_id").alias("listing_product_id"), "l.store_id", "l.price", "r.target_price", (F.col("l.price") > F.col("r.target_price")).alias("in_tolerance"), F.when(sized, F.col("r.rule_size").cast("string")).otherwise("Herhangi bir beden").alias("matched_size"))
+    return joined.where(F.coalesce(fits, F.lit(False))).select("r.rule_id", "r.product_id", F.col("l.product_id").alias("listing_product_id"), "l.store_id", "l.price", "r.target_price", (F.col("l.price") > F.col("r.target_price")).alias("in_tolerance"), F.when(sized, F.col("r.rule_size").cast("string")).otherwise("Herhangi bir beden").alias("matched_size"), *[F.col(f"l.{c}") for c in keep])
 
 
 def first_size_in_stock(rule_size: Column, sizes: Column) -> Column:

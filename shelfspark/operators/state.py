@@ -28,6 +28,35 @@ def cascade(parents: DataFrame, children: DataFrame, key: str) -> DataFrame:
     return children.join(parents.select(key).distinct(), key, "left_anti")
 
 
+def cascade_all(parents: DataFrame, children: dict[str, DataFrame], key: str) -> dict[str, DataFrame]:
+    """Every child table without the rows of deleted parents."""
+    return {name: cascade(parents, child, key) for name, child in children.items()}
+
+
+def append_alerts(alerts: DataFrame, new: DataFrame, key: str = "alert_id") -> DataFrame:
+    """alerts(key, telegram_sent, telegram_error, ...) with new ones below them, unsent; an id that is there already is not added again, so that a rerun changes nothing."""
+    fresh = new.join(alerts.select(key), key, "left_anti").withColumns({"telegram_sent": F.lit(False), "telegram_error": F.lit(None).cast("string")})
+    return alerts.unionByName(fresh)
+
+
+def mark_sent(alerts: DataFrame, said: DataFrame, key: str = "alert_id") -> DataFrame:
+    """alerts with what the messenger said(key, ok, error) of them; ids that it says nothing of stay as they are."""
+    heard = said.groupBy(key).agg(F.bool_or("ok").alias("_ok"), F.max("error").alias("_error"))
+    joined = alerts.join(heard, key, "left")
+    return joined.withColumns({"telegram_sent": F.coalesce("_ok", "telegram_sent"), "telegram_error": F.when(F.col("_ok").isNull(), F.col("telegram_error")).otherwise(F.col("_error"))}).drop("_ok", "_error")
+
+
+def delivery_summary(alerts: DataFrame, by: str) -> DataFrame:
+    """Alerts(outcome) of each `by` that were sent, skipped and failed."""
+    return alerts.groupBy(by).agg(*[F.count_if(F.col("outcome") == o).alias(n) for o, n in (("sent", "sent"), ("skipped", "skipped"), ("error", "errors"))])
+
+
+def first_success(attempts: DataFrame, key: str, order: list[str], value: str, also: list[str]) -> DataFrame:
+    """(key, *also, value, attempts): the first non-null value of each key, in order, with what else stands beside it; null where no attempt gave one."""
+    won = F.min_by(F.struct(*also, value), F.when(F.col(value).isNotNull(), F.struct(*order))).alias("_w")
+    return attempts.groupBy(key).agg(won, F.count("*").alias("attempts")).select(key, *[F.col(f"_w.{c}") for c in (*also, value)], "attempts")
+
+
 def patch(base: DataFrame, changes: DataFrame, key: str) -> DataFrame:
     """base with the non-null fields of changes; a null never overwrites."""
     fields = [c for c in changes.columns if c != key]
@@ -52,10 +81,11 @@ def run_report(results: DataFrame, run: str) -> DataFrame:
     return results.groupBy(run).agg(F.count("*").alias("total"), F.count_if(F.col("status") == "ok").alias("success"), F.count_if(F.col("status") == "error").alias("failed"), F.count_if(F.col("status") == "no_price").alias("no_price"), F.count_distinct("product_id").alias("products"))
 
 
-def outbox(alerts: DataFrame, enabled: bool, token: str | None, chat: str | None) -> DataFrame:
-    """Alerts with what a messenger would do: sent, or the reason why not."""
-    reason = None if enabled and token and chat else "token_veya_chat_id_eksik" if enabled else "telegram_kapali"
-    return alerts.withColumns({"sent": F.lit(reason is None), "reason": F.lit(reason).cast("string")})
+def outbox(alerts: DataFrame, enabled: Column, token: Column, chat: Column) -> DataFrame:
+    """Alerts with what a messenger would do: sent, or the reason why not. Settings are columns: of one user, or of each alert's own."""
+    blank = lambda c: F.coalesce(c, F.lit("")) == ""
+    reason = F.when(~F.coalesce(enabled, F.lit(False)), "telegram_kapali").when(blank(token) | blank(chat), "token_veya_chat_id_eksik")
+    return alerts.withColumns({"sent": reason.isNull(), "reason": reason})
 
 
 def manual_prices(listings: DataFrame, entered: DataFrame) -> tuple[DataFrame, DataFrame]:

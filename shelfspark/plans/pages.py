@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +21,9 @@ SAMPLES = [
     ("sportive", "sportive", "https://www.sportive.com.tr/c", '<meta name="og:price:amount" content="1499.99"><button id="41">41</button><button id="42,5"><p>Tükendi</p></button>'),
     ("decathlon", "decathlon", "https://www.decathlon.com.tr/d", '<meta property="product:price:amount" content="990"><meta property="product:original_price:amount" content="1290"><p>42 Stokta Mevcut</p><p>43 Stokta Mevcut Değil</p>'),
     ("adidas", "adidas", "https://www.adidas.com.tr/e", '<script type="application/ld+json">{"@type":"ProductGroup","name":"E","hasVariant":[{"size":"41","offers":{"price":3000,"availability":"OutOfStock"}},{"size":"42","offers":{"price":2800,"availability":"InStock","priceSpecification":{"priceType":"https://schema.org/StrikethroughPrice","price":3500}}}]}</script>'),
+    ("nike", "nike", "https://www.nike.com/tr/t/f", '<title>F</title><div data-testid="currentPrice-1">3.199,90 TL</div><label>42</label><label disabled>43</label><label>Renk</label>'),
+    ("puma", "puma", "https://tr.puma.com/pd/g.html", '<title>G</title><div class="sales"><span class="value">2.099,00 TL</span></div><button data-attr-value="41"></button><button data-attr-value="42.5" disabled></button>'),
+    ("newbalance", "newbalance", "https://www.newbalance.com.tr/urun/h", '<title>H</title><div class="product-price">4.799 TL</div><div class="size-list"><label>44</label><label class="disabled">45</label></div>'),
     ("empty", "", "", ""),
 ]
 
@@ -39,12 +39,38 @@ def page_offers(t: Tables) -> DataFrame:
     return offers.extract_offers(t.raw("pages"), "page_id").select("page_id", "title", "current_price", "price_source", "in_stock")
 
 
+PRICED = "page_id % 20000 + 100"
+
+
+def _priced_pages(t: Tables) -> DataFrame:
+    """All landed pages with a price put into each, in one of four ways by page_id, and a struck one or a colour variant in some."""
+    value = (F.col("page_id") % 20000 + 100).cast("string")
+    head = F.when(F.col("page_id") % 4 == 0, F.concat(F.lit('<meta property="product:price:amount" content="'), value, F.lit('.50">')))
+    head = head.when(F.col("page_id") % 4 == 1, F.concat(F.lit('<script type="application/ld+json">{"@type":"Product","name":"P","offers":{"price":'), value, F.lit(',"availability":"OutOfStock"}}</script>')))
+    head = head.when(F.col("page_id") % 4 == 2, F.concat(F.lit('<script>window.INITIAL_STATE={"sellingPrice":"'), value, F.lit(',00","bestPrice":'), value, F.lit("9}</script>")))
+    body = F.concat(F.when(F.col("page_id") % 4 == 3, F.concat(F.lit('<div class="price">'), value, F.lit(",90 TL</div>"))).otherwise(""), F.when(F.col("page_id") % 3 == 0, F.concat(F.lit('<p class="color-options"><a href="/renk/'), value, F.lit('?c=1">x</a><a href="https://other.example/y">y</a></p>'))).otherwise(""))
+    return t.raw("pages").select("page_id", "url", F.concat(F.lit("<html><head>"), F.coalesce(head, F.lit("")), F.lit("</head><body>"), body, F.col("html"), F.lit("</body></html>")).alias("html"))
+
+
+@query("X4_priced_pages", f"""SELECT page_id, CAST({PRICED} AS DOUBLE) + [0.5, 0, 0, 0.9][page_id % 4 + 1] AS current_price, ['meta', 'json_ld', 'embedded_json', 'selector:.price'][page_id % 4 + 1] AS price_source,
+  CASE WHEN page_id % 4 = 2 AND ({PRICED}) * 10 + 9 < 200000 THEN CAST(({PRICED}) * 10 + 9 AS DOUBLE) END AS old_price, page_id % 4 <> 1 AS in_stock FROM pages""", views=False)
+def priced_pages(t: Tables) -> DataFrame:
+    return offers.extract_offers(_priced_pages(t), "page_id").select("page_id", "current_price", "price_source", "old_price", "in_stock")
+
+
+@query("X13_variant_urls", f"""SELECT page_id, regexp_extract(url, '^(https?://[^/?#]+)', 1) || '/renk/' || CAST({PRICED} AS VARCHAR) AS variant FROM pages WHERE page_id % 3 = 0""", views=False)
+def page_variants(t: Tables) -> DataFrame:
+    """Links to other colours on the same host, for each page that has any."""
+    return offers.extract_offers(_priced_pages(t), "page_id").select("page_id", F.explode("variant_urls").alias("variant"))
+
+
 @query("X12_page_titles")
 def page_titles(t: Tables) -> DataFrame:
     return offers.page_heads(t.raw("pages"))
 
 
-@query("X13_page_links")
+@query("X13_page_links", """SELECT page_id, CAST(i - 1 AS INT) AS n, CASE WHEN l[i] LIKE 'http%' THEN l[i] ELSE regexp_extract(url, '^(https?://[^/?#]+)', 1) || l[i] END AS link
+FROM (SELECT *, unnest(range(1, len(l) + 1)) AS i FROM (SELECT page_id, url, regexp_extract_all(html, '<a href="([^"#][^"]*)"', 1) AS l FROM pages))""", views=False)
 def page_links(t: Tables) -> DataFrame:
     return offers.page_links(t.raw("pages"))
 
@@ -107,16 +133,26 @@ def search_union(t: Tables) -> DataFrame:
     return once.groupBy("store_id").agg(F.count("*").alias("results"), F.count_if(F.col("src") == 1).alias("rendered"))
 
 
-@query("T7_enrich_top8", """SELECT product_id, store_id, price FROM listings ORDER BY price DESC, product_id, store_id LIMIT 8""")
+@query("T7_enrich_top8", """
+r AS (SELECT product_id * 100000 + store_id AS url, price, CAST(product_id % 50 + 50 AS INT) AS score, in_stock, size FROM listings),
+b AS (SELECT url FROM r ORDER BY score DESC, CAST(url AS VARCHAR) LIMIT 8)
+==
+SELECT CAST(url AS VARCHAR) AS url, CASE WHEN url IN (SELECT url FROM b) AND url % 2 = 0 THEN price + 1 ELSE price END AS price, CASE WHEN url IN (SELECT url FROM b) THEN url % 2 = 0 END AS enriched, CASE WHEN url IN (SELECT url FROM b) AND url % 2 = 0 THEN 2 END AS sizes_total FROM r""")
 def enrich_top8(t: Tables) -> DataFrame:
-    return t.listings().orderBy(F.desc("price"), "product_id", "store_id").limit(8).select("product_id", "store_id", "price")
+    """The eight best results take price and sizes from their own page, where that was read: every second one."""
+    url = F.col("product_id") * 100_000 + F.col("store_id")
+    listed = t.listings().select(url.alias("n"), "price", (F.col("product_id") % 50 + 50).cast("int").alias("score"), "size")
+    results = listed.select(F.col("n").cast("string").alias("url"), "score", "price", F.lit(None).cast("string").alias("image"))
+    entry = lambda name, ok: F.struct(name.alias("name"), F.lit(ok).alias("in_stock"))
+    read = listed.where("n % 2 = 0").select(F.col("n").cast("string").alias("url"), (F.col("price") + 1).alias("current_price"), F.lit(None).cast("double").alias("old_price"), F.lit(None).cast("string").alias("image"), F.array(entry(F.col("size").cast("string"), True), entry(F.lit("x"), False)).alias("sizes"))
+    return offers.enrich(results, read).select("url", "price", "enriched", "sizes_total")
 
 
-def _stream_dirs(t: Tables) -> tuple[str, str]:
-    """A new checkpoint folder and a new output folder, in the shared folder of the cluster where one is set."""
-    top = t.spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="shelfspark-stream-")
-    run = uuid.uuid4().hex
-    return f"{top}/stream-{run}/state", f"{top}/stream-{run}/out"
+@query("X14_pages_searched")
+def pages_searched(t: Tables) -> DataFrame:
+    """All landed pages read as search pages, for one search."""
+    pages = t.raw("pages").select("page_id", "html", "url", F.lit("the and").alias("query"), F.lit("any").alias("slug"))
+    return offers.search_pages(pages, "page_id", {"any": (("example",), ".*")})
 
 
 @query("ST2_stream_radar", """
@@ -124,10 +160,15 @@ d AS (SELECT *, lag(price) OVER (PARTITION BY listing_id ORDER BY checked_at, ti
 ==
 SELECT tick_id, listing_id, price, previous_price FROM d WHERE previous_price BETWEEN 50 AND 200000 AND previous_price <= price * 5 AND price < previous_price * 0.97""")
 def stream_radar(t: Tables) -> DataFrame:
-    found = radar.run_available(radar.drop_alerts(radar.as_ticks(radar.source(t.spark, t.sf_dir, "events"))), *_stream_dirs(t))
+    found = radar.run_available(radar.drop_alerts(radar.as_ticks(radar.source(t.spark, t.sf_dir, "events"))), *radar.new_folders(t.spark))
     return found.select("tick_id", "listing_id", "price", "previous_price")
 
 
-@query("ST3_stream_cooldown")
+@query("ST3_stream_cooldown", """
+h AS (SELECT *, coalesce(nullif(CAST(rule_id % 4 * 12 AS DOUBLE), 0), 24) AS hours FROM alerts),
+RECURSIVE_f AS (SELECT rule_id, listing_id, min({'t': created_at, 'a': alert_id}) AS f FROM h GROUP BY 1, 2
+  UNION ALL SELECT h.rule_id, h.listing_id, min({'t': h.created_at, 'a': h.alert_id}) FROM RECURSIVE_f f JOIN h ON h.rule_id = f.rule_id AND h.listing_id = f.listing_id AND epoch_us(h.created_at) - epoch_us(f.f.t) >= h.hours * 3600000000 GROUP BY 1, 2)
+==
+SELECT rule_id, listing_id, f.a AS alert_id FROM RECURSIVE_f""")
 def stream_cooldown(t: Tables) -> DataFrame:
-    return radar.run_available(radar.cooled_alerts(radar.as_alerts(radar.source(t.spark, t.sf_dir, "events"))), *_stream_dirs(t))
+    return radar.run_available(radar.cooled_alerts(radar.as_alerts(radar.source(t.spark, t.sf_dir, "events"))), *radar.new_folders(t.spark))

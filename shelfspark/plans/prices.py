@@ -116,24 +116,24 @@ def scored(t: Tables) -> DataFrame:
     return score.buy_score(p.select(
         "product_id", "kind", F.col("best_price").alias("last_price"), F.col("label_price").alias("last_old_price"), F.when(F.col("product_id") % 8 == 0, F.col("best_price")).alias("last_cart_price"),
         source.alias("last_price_source"), F.when(F.col("product_id") % 50 == 0, "403").alias("last_error"), "last_in_stock", F.when(F.col("product_id") % 5 != 0, F.col("sizes")).alias("sizes"), "has_rule", "target_price", "rule_size",
-        F.lit("42,0").alias("profile_size"), F.lit(True).alias("profile_use"), near.alias("is_near_lowest"), F.coalesce("data_points", F.lit(0)).alias("data_points"), "min_30d",
+        F.lit(" 42 ").alias("profile_size"), F.lit(True).alias("profile_use"), near.alias("is_near_lowest"), F.coalesce("data_points", F.lit(0)).alias("data_points"), "min_30d",
     ))
 
 
 SCORED = INSIGHT + """,
 sz AS (SELECT product_id, size, bool_or(size_in_stock) AS in_stock FROM history GROUP BY 1, 2),
 best AS (SELECT product_id, price, in_stock FROM listings QUALIFY row_number() OVER (PARTITION BY product_id ORDER BY price, store_id) = 1),
-stock AS (SELECT product_id, count(*) FILTER (in_stock) AS n, bool_or(in_stock AND size = 42) FILTER (false) AS own FROM sz GROUP BY 1),
+stock AS (SELECT product_id, count(*) FILTER (in_stock) AS n, bool_or(in_stock AND size = 42) AS own FROM sz GROUP BY 1),
 a AS (SELECT p.product_id, b.price AS cur, p.label_price AS old, CASE WHEN p.product_id % 8 = 0 THEN b.price END AS cart,
   ['cart_offer', 'manual', 'shelf', 'json_ld', 'embedded_json', 'meta', 'other', ''][p.product_id % 8 + 1] AS src, p.product_id % 50 = 0 AS bad, b.in_stock AS stocked,
-  p.product_id % 5 <> 0 AND k.n IS NOT NULL AS listed, CASE WHEN p.product_id % 5 <> 0 THEN coalesce(k.n, 0) ELSE 0 END AS n, r.rule_id IS NOT NULL AS has_rule, r.target_price AS target, r.rule_size AS want,
-  coalesce(b.price <> 0 AND i.min_30d <> 0 AND b.price <= i.min_30d * 1.02, false) AND coalesce(i.data_points, 0) >= 3 AS near, coalesce(z.in_stock, false) AND p.product_id % 5 <> 0 AS want_stock
+  p.product_id % 5 <> 0 AND k.n IS NOT NULL AS listed, p.product_id % 5 <> 0 AND coalesce(k.own, false) AS own, CASE WHEN p.product_id % 5 <> 0 THEN coalesce(k.n, 0) ELSE 0 END AS n, r.rule_id IS NOT NULL AS has_rule, r.target_price AS target, r.rule_size AS want,
+  coalesce(b.price <> 0 AND i.min_30d <> 0 AND b.price <= i.min_30d * 1.02, false) AND coalesce(i.data_points, 0) >= 3 AS near, i.min_30d, coalesce(z.in_stock, false) AND p.product_id % 5 <> 0 AS want_stock
   FROM products p LEFT JOIN best b USING (product_id) LEFT JOIN (SELECT * FROM rules WHERE enabled) r USING (product_id) LEFT JOIN insight i USING (product_id) LEFT JOIN stock k USING (product_id)
   LEFT JOIN sz z ON z.product_id = p.product_id AND z.size = r.rule_size WHERE p.active),
 s AS (SELECT *, least(40, CASE WHEN coalesce(target, 0) <> 0 THEN CASE WHEN cur <= target THEN 20 WHEN cur <= target * 1.1 THEN 10 ELSE 0 END ELSE 8 END + CASE WHEN near THEN 10 ELSE 0 END
     + CASE WHEN coalesce(old, 0) <> 0 AND old > cur THEN CASE WHEN (old - cur) / old * 100 >= 20 THEN 6 WHEN (old - cur) / old * 100 >= 10 THEN 4 ELSE 2 END ELSE 0 END + CASE WHEN coalesce(cart, 0) <> 0 THEN 4 ELSE 0 END) AS ps,
   CASE WHEN want IS NOT NULL THEN CASE WHEN want_stock THEN 20 ELSE 0 END WHEN listed THEN CASE WHEN n > 0 THEN 14 ELSE 0 END WHEN stocked THEN 8 ELSE 3 END AS ss,
-  8 + CASE WHEN has_rule THEN 5 ELSE 0 END AS fs,
+  least(25, 8 + CASE WHEN own THEN 12 ELSE 0 END + CASE WHEN has_rule THEN 5 ELSE 0 END) AS fs,
   CASE WHEN bad THEN 2 ELSE CASE src WHEN 'cart_offer' THEN 15 WHEN 'manual' THEN 14 WHEN 'shelf' THEN 12 WHEN 'json_ld' THEN 9 WHEN 'embedded_json' THEN 8 WHEN 'meta' THEN 6 WHEN '' THEN 2 ELSE 4 END END AS ts FROM a),
 scored AS (SELECT product_id, CASE WHEN cur IS NULL THEN 0 ELSE ps END AS price_score, CASE WHEN cur IS NULL THEN 0 ELSE ss END AS stock_score, CASE WHEN cur IS NULL THEN 0 ELSE fs END AS profile_score,
   CASE WHEN cur IS NULL THEN 0 ELSE ts END AS trust_score, CASE WHEN cur IS NULL THEN 0 ELSE ps + ss + fs + ts END AS score,
@@ -146,7 +146,41 @@ def buy_score(t: Tables) -> DataFrame:
     return scored(t).select("product_id", "price_score", "stock_score", "profile_score", "trust_score", "score", "decision")
 
 
-@query("FN23_buy_decision")
+def _said(*lines: tuple[str, str]) -> str:
+    return "list_filter([" + ", ".join(f"CASE WHEN {cond} THEN {said} END" for cond, said in lines) + "], lambda x: x IS NOT NULL)"
+
+
+_AIMED, _WHOLE = "coalesce(target, 0) <> 0", "CAST(CAST(round_even({}, 0) AS BIGINT) AS VARCHAR)"
+REASONS = _said(
+    (f"{_AIMED} AND cur <= target", f"'Hedef fiyatın (' || {_WHOLE.format('target')} || ' TL) altında'"),
+    (f"{_AIMED} AND cur > target AND cur <= target * 1.1", "'Hedef fiyata çok yakın (%10 bandında)'"),
+    ("near", "'Son 30 günün en düşük fiyatına yakın'"),
+    ("coalesce(old, 0) <> 0 AND old > cur AND (old - cur) / old * 100 >= 20", f"'Etiket fiyatına göre %' || {_WHOLE.format('(old - cur) / old * 100')} || ' indirim'"),
+    ("coalesce(cart, 0) <> 0", "'Sepet indirimi yakalandı'"),
+    ("want IS NOT NULL AND want_stock", "'İstenen beden (' || want || ') bildirim anında stokta görünüyordu'"),
+    ("want IS NULL AND listed AND n > 0", "n || ' beden stokta görünüyor'"),
+    ("own", "'Profilinizdeki numara ( 42 ) stokta'"),
+    ("src = 'cart_offer'", "'Fiyat sepet teklifinden okundu (yüksek güven)'"),
+)
+RISKS = _said(
+    (f"{_AIMED} AND cur > target * 1.1", f"'Hedef fiyatın (' || {_WHOLE.format('target')} || ' TL) üzerinde'"),
+    (f"NOT ({_AIMED})", "'Hedef fiyat kuralı tanımlı değil'"),
+    ("NOT near AND coalesce(min_30d, 0) <> 0 AND cur > min_30d * 1.1", f"'Son 30 günde daha ucuzu görüldü (' || {_WHOLE.format('min_30d')} || ' TL)'"),
+    ("coalesce(cart, 0) <> 0", "'Sepet indirimi ödeme ekranında doğrulanmalı'"),
+    ("want IS NOT NULL AND NOT want_stock", "'İstenen beden (' || want || ') stokta görünmüyor'"),
+    ("want IS NULL AND listed AND n = 0", "'Hiçbir beden stokta görünmüyor'"),
+    ("want IS NULL AND NOT listed", "'Beden bazlı stok bilgisi yok, stok durumu belirsiz'"),
+    ("n > 0", "'Stok hızlı tükenebilir'"),
+    ("NOT own AND n > 0", "'Profilinizdeki numara stok listesinde görünmüyor'"),
+    ("bad", "'Son kontrolde hata alındı, veri bayat olabilir'"),
+)
+
+
+@query("FN23_buy_decision", SCORED + f""",
+w AS (SELECT product_id, CASE WHEN cur IS NULL THEN ['Güncel fiyat okunamadı'] ELSE {REASONS}[1:6] END AS why, CASE WHEN cur IS NULL THEN ['Fiyat verisi olmadan karar üretilemez'] ELSE {RISKS}[1:5] END AS risk FROM a)
+==
+SELECT product_id, decision, score, decision || ' (' || score || '/100)' || CASE WHEN len(why) > 0 AND why[1] <> '' THEN '. ' || array_to_string(why[1:2], '; ') ELSE '' END AS comment,
+  array_to_string(why, ' | ') AS reasons, array_to_string(risk, ' | ') AS risks FROM scored JOIN w USING (product_id)""")
 def buy_decision(t: Tables) -> DataFrame:
     return scored(t).select("product_id", "decision", "score", "comment", F.array_join("reasons", " | ").alias("reasons"), F.array_join("risks", " | ").alias("risks"))
 

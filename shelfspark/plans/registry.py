@@ -19,7 +19,7 @@ def query(name: str, sql: str | None = None, views: bool = True) -> Callable[[Ca
         QUERIES[name] = lambda spark, sf_dir: plan(Tables(spark, sf_dir))
         if sql:
             more, _, main = sql.rpartition("\n==\n")
-            SQL[name] = f"WITH {SQL_VIEWS.strip()}{',' + more if more else ''}\n{main}" if views else sql
+            SQL[name] = f"WITH RECURSIVE {SQL_VIEWS.strip()}{',' + more if more else ''}\n{main}" if views else sql
         return plan
 
     return add

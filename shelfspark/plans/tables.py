@@ -50,10 +50,11 @@ def partial_update(t: Tables) -> DataFrame:
     return state.patch(t.products().select("product_id", "name", "brand"), changes, "product_id")
 
 
-@query("SNK12_profile_upsert", "SELECT 'main' AS id, '43' AS shoe_size, 'daily' AS usage, '' AS notes", views=False)
+@query("SNK12_profile_upsert", """SELECT c_custkey AS id, CAST(c_nationkey AS VARCHAR) AS shoe_size, CASE WHEN c_acctbal > 0 THEN c_mktsegment ELSE 'daily' END AS usage, '' AS notes FROM customer WHERE c_custkey = 1""", views=False)
 def profile_upsert(t: Tables) -> DataFrame:
-    saved = t.spark.createDataFrame([("main", "43", None)], "id string, shoe_size string, usage string")
-    return state.with_defaults(saved, {"id": "main", "shoe_size": "42", "usage": "daily", "notes": ""})
+    """One saved profile over the defaults."""
+    saved = t.raw("customer").where("c_custkey = 1").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").cast("string").alias("shoe_size"), F.when(F.col("c_acctbal") > 0, F.col("c_mktsegment")).alias("usage"))
+    return state.with_defaults(saved, {"id": 0, "shoe_size": "42", "usage": "daily", "notes": ""})
 
 
 @query("SNK13_toggles", "SELECT product_id, NOT coalesce(CASE WHEN product_id % 3 = 0 THEN NULL ELSE active END, true) AS active FROM products")
@@ -61,14 +62,17 @@ def toggles(t: Tables) -> DataFrame:
     return t.products().select("product_id", state.toggle(F.when(F.col("product_id") % 3 != 0, F.col("active"))).alias("active"))
 
 
-@query("SNK10_mark_all_read", "SELECT alert_id, true AS is_read FROM alerts")
+@query("SNK10_mark_all_read", "SELECT rule_id, count(*) AS n, count(*) AS n_read, min(alert_id) AS first_alert FROM alerts GROUP BY rule_id")
 def mark_all_read(t: Tables) -> DataFrame:
-    return t.alerts().select("alert_id", F.lit(True).alias("is_read"))
+    return t.alerts().withColumn("is_read", F.lit(True)).groupBy("rule_id").agg(F.count("*").alias("n"), F.count_if("is_read").alias("n_read"), F.min("alert_id").alias("first_alert"))
 
 
-@query("SNK6_outbox", "SELECT alert_id, false AS sent, 'token_veya_chat_id_eksik' AS reason FROM alerts")
+@query("SNK6_outbox", """SELECT alert_id, CASE WHEN rule_id % 3 = 0 THEN false WHEN listing_id = 0 THEN false ELSE true END AS sent,
+  CASE WHEN rule_id % 3 = 0 THEN 'telegram_kapali' WHEN listing_id = 0 THEN 'token_veya_chat_id_eksik' END AS reason FROM alerts""")
 def outbox(t: Tables) -> DataFrame:
-    return state.outbox(t.alerts().select("alert_id"), True, None, "chat")
+    """What a messenger does with each alert: by each user's own settings."""
+    settings = t.alerts().withColumns({"_on": F.col("rule_id") % 3 != 0, "_token": F.when(F.col("listing_id") != 0, "t"), "_chat": F.lit("c")})
+    return state.outbox(settings, F.col("_on"), F.col("_token"), F.col("_chat")).select("alert_id", "sent", "reason")
 
 
 @query("SNK13_missing_stores", "SELECT s_name AS name FROM supplier WHERE s_acctbal < 1000", views=False)

@@ -101,11 +101,18 @@ def url_parts(t: Tables) -> DataFrame:
     return t.raw("pages").select("page_id", text.url_host(u).alias("host"), text.url_path(u).alias("path"), text.strip_query(u).alias("bare"), text.is_product_link(u).alias("product_link"), text.is_product_link(u, "/[a-z]{2}/[0-9]+").alias("pattern_link"))
 
 
-@query("J9_url_route", f"""WITH h AS (SELECT page_id, {HOST} AS host FROM pages)
-SELECT page_id, host, CASE WHEN contains(host, 'example.com') THEN 'Com' WHEN contains(host, 'm.') THEN 'Mobile' WHEN contains(host, 'example.org') THEN 'Org' ELSE host END AS store FROM h""", views=False)
+_HOSTS = ", ".join(f"('{d}')" for shop in catalog.SHOPS for d in shop[2])
+_ROUTED = " ".join("WHEN " + " OR ".join(f"contains(host, '{d}')" for d in shop[2]) + f" THEN '{shop[0]}'" for shop in catalog.SHOPS)
+
+
+@query("J9_url_route", f"""WITH d AS (SELECT list(h ORDER BY h) AS hosts FROM (VALUES {_HOSTS}) v(h)),
+h AS (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN {HOST} ELSE 'www.' || hosts[page_id % len(hosts) + 1] END AS host FROM pages, d)
+SELECT page_id, host, CASE {_ROUTED} ELSE host END AS store FROM h""", views=False)
 def url_route(t: Tables) -> DataFrame:
-    shops = [(0, "Com", ["example.com"]), (1, "Mobile", ["m."]), (2, "Org", ["example.org"])]
-    return catalog.route(t.raw("pages").select("page_id", text.url_host(F.col("url")).alias("host")), shops)
+    """Pages against the whole catalog: two of three hosts are a shop's."""
+    hosts = sorted(d for shop in catalog.SHOPS for d in shop[2])
+    known = F.concat(F.lit("www."), F.get(F.array(*[F.lit(h) for h in hosts]), (F.col("page_id") % len(hosts)).cast("int")))
+    return catalog.route(t.raw("pages").select("page_id", F.when(F.col("page_id") % 3 == 0, text.url_host(F.col("url"))).otherwise(known).alias("host")))
 
 
 @query("J8_url_dedupe", """WITH bare AS (SELECT page_id, url, trim(split_part(split_part(url, '?', 1), '#', 1)) AS u FROM pages), tracked AS (SELECT DISTINCT u FROM bare WHERE contains(url, '?')) SELECT page_id FROM bare WHERE NOT contains(url, '?') AND u NOT IN (SELECT u FROM tracked)""", views=False)
@@ -134,6 +141,12 @@ def usable_image(t: Tables) -> DataFrame:
     return t.raw("pages").select("page_id", text.usable_image(F.concat("url", tail)).alias("usable"))
 
 
-@query("SRC12_shop_catalog")
+def _catalog_sql() -> str:
+    text_of = lambda v: "NULL" if v is None else "'" + v + "'"
+    rows = ", ".join(f"({i}, {text_of(n)}, {text_of(s)}, {list(d)}, {text_of(p)}, {js}, {br})" for i, (n, s, d, p, js, br) in enumerate(catalog.SHOPS))
+    return f"SELECT * FROM (VALUES {rows}) AS v(ordinal, name, slug, domains, product_pattern, js_search, use_browser)"
+
+
+@query("SRC12_shop_catalog", _catalog_sql(), views=False)
 def shop_catalog(t: Tables) -> DataFrame:
     return catalog.shops(t.spark)

@@ -28,9 +28,9 @@ class Tables:
         """Parts as products; small ones are inactive."""
         return self.raw("part").select(F.col("p_partkey").alias("product_id"), F.col("p_name").alias("name"), F.col("p_brand").alias("brand"), F.col("p_type").alias("kind"), F.col("p_size").alias("shoe_size"), F.col("p_retailprice").alias("label_price"), (F.col("p_size") > 5).alias("active"))
 
-    def history(self) -> DataFrame:
-        """Line items as price observations; seq breaks ties of one instant."""
-        return self.raw("lineitem").select(
+    def history(self, lineitem: DataFrame | None = None) -> DataFrame:
+        """Line items, of the table or of a given one such as a stream, as price observations; seq breaks ties of one instant."""
+        return (self.raw("lineitem") if lineitem is None else lineitem).select(
             F.col("l_partkey").alias("product_id"), F.col("l_suppkey").alias("store_id"), cents(F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), F.col("l_shipdate").alias("checked_at"),
             (F.col("l_returnflag") != "R").alias("in_stock"), F.col("l_quantity").cast("int").alias("size"), (F.col("l_linestatus") == "O").alias("size_in_stock"), F.col("l_discount").alias("discount"),
             F.struct("l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity", "l_discount", "l_tax").alias("seq"),

@@ -1,17 +1,22 @@
 """Price radar and alert cooldown over streams of observations.
 
 Both keep one small value for each key, sort a micro-batch by (instant, id) within the key, and give over a whole
-stream what the batch operators give over the whole table, as long as files come in the order of time.
+stream what the batch operators give over the whole table, as long as files come in the order of time. A key's cooldown
+state goes once the watermark has passed its end.
 """
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 DROP = "listing_id long, tick_id long, price double, previous_price double, drop_pct double"
@@ -29,35 +34,63 @@ def drop_alerts(ticks: DataFrame, least: float = 50.0, most: float = 200_000.0)
         state.update((float(rows["price"].iloc[-1]),))
         fell = before.between(least, most) & (before <= rows["price"] * 5) & (rows["price"] < before * 0.97)
         out = rows[fell].assign(listing_id=key[0], previous_price=before[fell])
-        out["drop_pct"] = ((out["previous_price"] - out["price"]) / out["previous_price"] * 100 + 0.5) // 1
+        out["drop_pct"] = ((out["previous_price"] - out["price"]) / out["previous_price"] * 100).map(np.rint)
         yield out[["listing_id", "tick_id", "price", "previous_price", "drop_pct"]]
 
     return ticks.groupBy("listing_id").applyInPandasWithState(each, DROP, "last double", "append", GroupStateTimeout.NoTimeout)
 
 
-def cooled_alerts(alerts: DataFrame, hours: float = 24.0) -> DataFrame:
-    """Alerts of (rule, listing) that come at least `hours` after the last one that was let through, which is state."""
-    span = pd.Timedelta(hours=hours)
+def cooled_alerts(alerts: DataFrame, hours: float = 24.0, late: str = "0 seconds") -> DataFrame:
+    """Alerts of (rule, listing) that come at least their cooldown after the last one that was let through, which is state.
+
+    The cooldown is the alert's own cooldown_hours where there is such a column and it is neither 0 nor null, else
+    `hours`; the state of a key ends with the longest cooldown that it has seen, once the watermark, `late` behind the
+    latest alert, is past it.
+    """
+    own = F.coalesce(F.nullif(F.col("cooldown_hours"), F.lit(0.0)), F.lit(hours)) if "cooldown_hours" in alerts.columns else F.lit(hours)
 
     def each(key: tuple[Any, ...], parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         rows = pd.concat(list(parts)).sort_values(["created_at", "alert_id"])
-        last = pd.Timestamp(state.get[0], unit="us") if state.exists else None
+        last, longest = (pd.Timestamp(state.get[0], unit="us"), state.get[1]) if state.exists else (None, 0.0)
         fired = []
-        for at, alert in zip(rows["created_at"], rows["alert_id"], strict=True):
-            if last is None or at - last >= span:
+        for at, alert, wait in zip(rows["created_at"].dt.tz_localize(None), rows["alert_id"], rows["_hours"], strict=True):
+            longest = max(longest, wait)
+            if last is None or at - last >= pd.Timedelta(hours=wait):
                 last = at
                 fired.append(alert)
-        state.update((int(last.value // 1000),))
+        state.update((int(last.value // 1000), longest))
+        end = int(last.value // 1_000_000 + longest * 3_600_000) + 1
+        state.setTimeoutTimestamp(max(end, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"rule_id": key[0], "listing_id": key[1], "alert_id": fired})
 
-    return alerts.groupBy("rule_id", "listing_id").applyInPandasWithState(each, FIRED, "last_us long", "append", GroupStateTimeout.NoTimeout)
+    timed = alerts.withColumn("created_at", F.col("created_at").cast("timestamp")).withColumn("_hours", own).withWatermark("created_at", late)
+    return timed.groupBy("rule_id", "listing_id").applyInPandasWithState(each, FIRED, "last_us long, longest double", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def new_folders(spark: SparkSession) -> tuple[str, str]:
+    """A new checkpoint folder and a new output folder, in the folder that the cluster shares; a temporary one is for local masters only."""
+    top = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        top = tempfile.mkdtemp(prefix="shelfspark-stream-")
+    run = uuid.uuid4().hex
+    return f"{top}/stream-{run}/state", f"{top}/stream-{run}/out"
 
 
 def run_available(stream: DataFrame, checkpoint: str, out: str) -> DataFrame:
     """Runs a stream over all that is there, to Parquet files under `out`, and returns them."""
-    spark = stream.sparkSession
-    stream.writeStream.format("parquet").option("checkpointLocation", checkpoint).option("path", out).outputMode("append").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    start(stream, checkpoint, out).awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(out)
+
+
+def start(stream: DataFrame, checkpoint: str, out: str, every: str | None = None) -> StreamingQuery:
+    """Starts a stream to Parquet files under `out`: over all that is there, or again and again at an interval such as "30 minutes"."""
+    writer = stream.writeStream.format("parquet").option("checkpointLocation", checkpoint).option("path", out).outputMode("append")
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
 def source(spark: SparkSession, sf_dir: str, name: str, files: int = 1000) -> DataFrame:
@@ -74,4 +107,4 @@ def as_ticks(events: DataFrame) -> DataFrame:
 
 
 def as_alerts(events: DataFrame) -> DataFrame:
-    return events.where("event_type = 'purchase'").select(F.col("event_id").alias("alert_id"), F.col("user_id").alias("rule_id"), (F.get_json_object("props", "$.k").cast("int") % 5).alias("listing_id"), F.col("ts").alias("created_at"))
+    return events.where("event_type = 'purchase'").select(F.col("event_id").alias("alert_id"), F.col("user_id").alias("rule_id"), (F.get_json_object("props", "$.k").cast("int") % 5).alias("listing_id"), F.col("ts").alias("created_at"), (F.col("user_id") % 4 * 12).cast("double").alias("cooldown_hours"))

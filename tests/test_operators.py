@@ -109,7 +109,7 @@ def test_state_changes(spark):
     assert got == {1: ("kept", 9.0), 2: ("new2", 9.0), 3: ("new3", 9.0)}
     empty = spark.createDataFrame([], "id string, shoe_size string")
     assert tuple(state.with_defaults(empty, {"id": "main", "shoe_size": "42"}).first()) == ("main", "42")
-    off = state.outbox(spark.range(1), False, "t", "c").first()
+    off = state.outbox(spark.range(1), F.lit(False), F.lit("t"), F.lit("c")).first()
     assert (off.sent, off.reason) == (False, "telegram_kapali")
 
 
@@ -128,7 +128,7 @@ def test_streams_equal_batches(spark, tmp_path):
 
 def test_cooldown_stream(spark, tmp_path):
     start = dt.datetime(2024, 1, 1)
-    rows = [(i, start + dt.timedelta(hours=h), 1, "purchase", 1.0, '{"k": 5}') for i, h in enumerate((0, 23, 24, 25, 47, 48, 100))]
+    rows = [(i, start + dt.timedelta(hours=h), 4, "purchase", 1.0, '{"k": 5}') for i, h in enumerate((0, 23, 24, 25, 47, 48, 100))]
     spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").write.parquet(str(tmp_path / "events.parquet"))
     got = radar.run_available(radar.cooled_alerts(radar.as_alerts(radar.source(spark, str(tmp_path), "events"))), str(tmp_path / "state"), str(tmp_path / "out"))
     assert sorted(r.alert_id for r in got.collect()) == [0, 2, 5, 6]
