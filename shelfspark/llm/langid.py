@@ -19,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import small
@@ -93,12 +93,16 @@ class Model:
 
 
 def fit(texts: list[str], langs: list[str]) -> Model:
-    """A classifier for each bit, by full-batch gradient descent on the logistic loss; languages weigh the same."""
+    """A model from texts and their languages."""
+    return fit_features(np.array([features(t) for t in texts], np.float32), langs)
+
+
+def fit_features(x: np.ndarray, langs: list[str]) -> Model:
+    """A classifier for each bit from rows of features, by full-batch gradient descent on the logistic loss; languages weigh the same."""
     known = sorted(set(langs))
     code = codewords(len(known))
     if len(known) < 2:
         return Model(known, code, np.zeros((1, len(ORDERS) * BUCKETS), np.float32), np.zeros(1))
-    x = np.stack([features(t) for t in texts])
     row = np.array([known.index(v) for v in langs])
     weight = (1.0 / np.bincount(row, minlength=len(known)))[row].astype(np.float32) / len(known)
     y = code[row].astype(np.float32)
@@ -122,15 +126,22 @@ def learn(docs: DataFrame, usable: Column, text: str = "text", lang: str = "lang
     given = docs.where(usable & F.col(lang).isNotNull() & F.rlike(F.col(text), F.lit(r"\p{L}"))).select(F.col(text).alias("t"), F.col(lang).alias("l"))
     counts, _ = small(given.groupBy(F.col("l").alias("_l")).agg(F.count_distinct(F.xxhash64("t")).alias("_n")))
     hashed = given.withColumn("h", F.xxhash64("t"))
-    near = hashed.join(counts, F.col("l") == F.col("_l")).where((F.col("h") / 2.0**64 + 0.5) * F.col("_n") <= 2 * sample)
-    rows = sorted(((r["l"], r["h"], r["t"]) for r in near.select("l", "h", "t").dropDuplicates(["l", "h"]).collect()), key=lambda r: r[:2])
-    taken: dict[str, int] = {}
-    kept = []
-    for lang_, _, found in rows:
-        if any(c.isalpha() for c in found) and taken.get(lang_, 0) < sample:
-            taken[lang_] = taken.get(lang_, 0) + 1
-            kept.append((lang_, found))
-    return fit([t for _, t in kept], [v for v, _ in kept])
+    near = hashed.join(counts, F.col("l") == F.col("_l")).where((F.col("h") / 2.0**64 + 0.5) * F.col("_n") <= 2 * sample).select("l", "h", "t").dropDuplicates(["l", "h"])
+    least = near.withColumn("_r", F.row_number().over(Window.partitionBy("l").orderBy("h"))).where(F.col("_r") <= sample)
+
+    def each(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            found = [features(t.as_py()) for t in part.column(2)]
+            at = [np.flatnonzero(x).astype(np.int32) for x in found]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(at, pa.list_(pa.int32())), pa.array([x[i] for x, i in zip(found, at, strict=True)], pa.list_(pa.float32()))], ["l", "h", "at", "x"])
+
+    # the driver gets vectors, which are bounded, of at most `sample` texts a language, never texts
+    rows = least.select("l", "h", "t").mapInArrow(each, "l string, h bigint, at array<int>, x array<float>").collect()
+    rows.sort(key=lambda r: (r["l"], r["h"]))
+    x = np.zeros((len(rows), len(ORDERS) * BUCKETS), np.float32)
+    for i, r in enumerate(rows):
+        x[i, r["at"]] = r["x"]
+    return fit_features(x, [r["l"] for r in rows])
 
 
 def held_out(id_col: str = "doc_id") -> Column:

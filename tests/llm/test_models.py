@@ -1,3 +1,4 @@
+import math
 import zlib
 
 import numpy as np
@@ -49,10 +50,10 @@ def test_language_that_is_nearly_all_copies(spark, monkeypatch):
     rows = [(t, "fr") for t in texts] + [("la même page", "fr")] * 3000 + [(f"12 {i}", "fr") for i in range(3000)] + [(f"the world and {i} of it", "en") for i in range(100)]
     docs = spark.createDataFrame(rows, "text string, lang string").withColumn("h", F.xxhash64("text"))
     least = {v: [r.text for r in docs.where(F.col("lang") == v).where("text not like '12 %'").distinct().orderBy("h").limit(20).collect()] for v in ("en", "fr")}
-    taken, fit = {}, langid.fit
-    monkeypatch.setattr(langid, "fit", lambda texts, langs: taken.update({v: [t for t, w in zip(texts, langs, strict=True) if w == v] for v in set(langs)}) or fit(texts, langs))
+    taken, fit = {}, langid.fit_features
+    monkeypatch.setattr(langid, "fit_features", lambda x, langs: taken.update({v: [tuple(t) for t, w in zip(x, langs, strict=True) if w == v] for v in set(langs)}) or fit(x, langs))
     model = langid.learn(docs, F.lit(True), sample=20)
-    assert taken == least and model.predict("le monde")[0] == "fr"
+    assert taken == {v: [tuple(langid.features(t)) for t in texts] for v, texts in least.items()} and model.predict("le monde")[0] == "fr"
 
 
 def test_quality_of_held_out_documents(spark):
@@ -90,3 +91,39 @@ def test_quality_edge_cases(spark):
     assert len(rows) == docs.count() and all(0 <= r.score <= 1 for r in rows)
     assert {r.score for r in qda.classify(docs, labels.where("quality = 1 and doc_id is not null")).collect()} and qda.classify(empty(spark), labels).collect() == []
     assert {r.score for r in qda.classify(docs, labels.limit(0)).collect()} == {0.5}
+
+
+def test_codewords_decode_as_by_hand():
+    r = np.random.default_rng(4)
+    for n in (2, 3, 5, 7, 9, 12):
+        code = langid.codewords(n)
+        assert code.shape[0] == n and set(np.unique(code)) == {-1, 1}
+        assert len({tuple(c) for c in code}) == n and not any(abs(c.sum()) == n for c in code.T)
+        assert not any((a == b).all() or (a == -b).all() for i, a in enumerate(code.T) for b in code.T[:i])
+        size = len(langid.ORDERS) * langid.BUCKETS
+        model = langid.Model([f"l{i}" for i in range(n)], code, r.normal(size=(code.shape[1], size)).astype(np.float32), r.normal(size=code.shape[1]))
+        for text in ("a few words", "ein Satz mit Ümlaut", "x", "abc " * 500):
+            margin = [float(w.astype(np.float64) @ langid.features(text).astype(np.float64) + b) for w, b in zip(model.weights, model.bias, strict=True)]
+            loss = [sum(math.log1p(math.exp(-c * m)) for c, m in zip(word, margin, strict=True)) / len(margin) for word in code.tolist()]
+            best, second = sorted(range(n), key=lambda i: loss[i])[:2]
+            lang, score, ambiguous = model.predict(text)
+            assert lang == f"l{best}" and 0 <= score <= 1
+            assert abs(score - 1 / sum(math.exp(-(v - loss[best]) * len(margin)) for v in loss)) < 1e-3
+            assert ambiguous == (loss[second] - loss[best] < langid.AMBIGUOUS)
+        # a bit that is wrong in a code of distance 3 or more does not change the answer
+        distance = min(int((a != b).sum()) for i, a in enumerate(code) for b in code[:i])
+        for bit in range(code.shape[1] if distance >= 3 else 0):
+            word = code[0].astype(float)
+            word[bit] *= -1
+            assert np.argmin(np.logaddexp(0, -code * word * 4).mean(axis=1)) == 0
+
+
+def test_fitted_texts_are_those_of_least_hash(spark, monkeypatch):
+    rows = [(i, "ein und derselbe Satz" if i % 3 else f"satz nummer {i}", "de") for i in range(3000)] + [(i, f"sentence number {i % 40}", "en") for i in range(3000, 3100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    seen = {}
+    monkeypatch.setattr(langid, "fit_features", lambda x, langs: seen.update(x=x, langs=langs))
+    langid.learn(docs, F.lit(True), sample=25)
+    hashes = {(r.lang, r.text): r.h for r in docs.select("lang", "text", F.xxhash64("text").alias("h")).distinct().collect()}
+    want = [langid.features(t) for lang in ("de", "en") for _, t in sorted((h, t) for (v, t), h in hashes.items() if v == lang)[:25]]
+    assert seen["langs"] == ["de"] * 25 + ["en"] * 25 and np.allclose(seen["x"], np.stack(want))
