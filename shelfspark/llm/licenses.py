@@ -34,16 +34,31 @@ PHRASES = {
     "apache license version 2": "apache-2",
     "cc by nc": "cc-by-nc",
 }
-# Sentences of public license notices, and what they are labelled.
+# Sentences and paragraphs of public license texts, and what they are labelled.
 NOTICES = {
     "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction": "mit",
+    "including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so": "mit",
+    "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software": "mit",
     "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License": "apache-2",
+    "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied": "apache-2",
     "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met": "bsd",
+    "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution": "bsd",
+    "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "bsd",
     "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation": "gpl",
+    "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation": "lgpl",
+    "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation": "agpl",
     "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0": "mpl-2",
+    "This program and the accompanying materials are made available under the terms of the Eclipse Public License": "epl",
     "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted": "isc",
+    "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions": "zlib",
+    "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license": "boost",
+    "This is free and unencumbered software released into the public domain": "unlicense",
+    "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose": "unlicense",
+    "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work": "cc0",
+    "This work is licensed under a Creative Commons Attribution International License": "cc-by",
     "This work is licensed under a Creative Commons Attribution NonCommercial International License": "cc-by-nc",
     "This work is licensed under a Creative Commons Attribution ShareAlike International License": "cc-by-sa",
+    "This work is licensed under a Creative Commons Attribution NoDerivatives International License": "cc-by-nd",
     "All rights reserved. No part of this publication may be reproduced, distributed or transmitted in any form or by any means": "all-rights-reserved",
 }
 
