@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BUCKET_ROWS, cut, running_total
+from .common import BUCKET_ROWS, cut, hot_join, running_total
 
 #: Significant bits of a class's size: classes are exact below 2^12 bytes and within 1 / 2^11 above; at most
 #: 2^11 classes for each doubling of the size.
@@ -144,7 +144,7 @@ def _assign(docs: DataFrame, id_col: str, text: str, planned) -> DataFrame:
     group = F.when(F.col(text).isNull(), F.unhex(F.lit("00"))).otherwise(F.unhex(F.sha2(F.encode(raw, "UTF-8"), 256)))
     rows = cut(docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(F.encode(raw, "UTF-8")).alias("text_crc32"), group.alias("_g")))
     n = rows.count()
-    groups = rows.groupBy("_g").agg(F.sum("size").alias("_bytes")).withColumn("_class", _class_of(F.col("_bytes")))
+    groups = rows.groupBy("_g").agg(F.sum("size").alias("_bytes"), F.count("*").alias("_n")).withColumn("_class", _class_of(F.col("_bytes")))
     groups = cut(groups.withColumn("_b", F.pmod(F.xxhash64("_g"), F.lit(max(1, n // BUCKET_ROWS))).cast("long")).withColumn("_1", F.lit(1).cast("long")))
     runs = planned([(r["_class"], r["n"]) for r in groups.groupBy("_class").agg(F.count("*").alias("n")).collect()])
     runs.sort()
@@ -155,11 +155,11 @@ def _assign(docs: DataFrame, id_col: str, text: str, planned) -> DataFrame:
         for part in parts:
             at = np.empty(len(part), dtype=start.dtype)
             at["s"], at["r"] = part["_class"], part["_rank"] - 1
-            yield pd.DataFrame({"_g": part["_g"], "shard": shard[np.searchsorted(start, at, side="right") - 1]})
+            yield pd.DataFrame({"_g": part["_g"], "_n": part["_n"], "shard": shard[np.searchsorted(start, at, side="right") - 1]})
 
-    ranked = running_total(groups, ["_class"], "_b", ["_g"], "_1", "_rank").select("_g", "_class", "_rank")
-    placed = ranked.mapInPandas(look_up, "_g binary, shard int")
-    put = cut(rows.join(placed, "_g").withColumn("_b", F.pmod(F.xxhash64("doc_id", "_g"), F.lit(max(1, n // BUCKET_ROWS))).cast("long")).withColumn("_1", F.lit(1).cast("long")))
+    ranked = running_total(groups, ["_class"], "_b", ["_g"], "_1", "_rank").select("_g", "_n", "_class", "_rank")
+    placed = cut(ranked.mapInPandas(look_up, "_g binary, _n long, shard int"))
+    put = cut(hot_join(rows, placed, ["_g"], "_n", n).withColumn("_b", F.pmod(F.xxhash64("doc_id", "_g"), F.lit(max(1, n // BUCKET_ROWS))).cast("long")).withColumn("_1", F.lit(1).cast("long")))
     slots = running_total(put, ["shard"], "_b", ["doc_id", "_g"], "_1", "_slot")
     return slots.select("doc_id", "size", "text_crc32", "shard", (F.col("_slot") - 1).alias("slot"))
 
