@@ -4,21 +4,26 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable, Iterator
+from collections import defaultdict
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
+from functools import lru_cache
 from html.parser import HTMLParser
 from typing import Any
 
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"))
 #: An open element of these is closed by the next one of its kind.
-SELF_CLOSING = frozenset("li p option tr td th dt dd".split())
+SELF_CLOSING = frozenset(("li", "p", "option", "tr", "td", "th", "dt", "dd"))
 
 
 class Node:
-    __slots__ = ("attrs", "children", "parent", "tag")
+    __slots__ = ("attrs", "children", "index", "order", "parent", "tag")
 
-    def __init__(self, tag: str, attrs: dict[str, str], parent: Node | None) -> None:
-        self.tag, self.attrs, self.parent = tag, attrs, parent
+    def __init__(self, tag: str, attrs: dict[str, str], parent: Node | None, order: int = 0) -> None:
+        self.tag, self.attrs, self.parent, self.order = tag, attrs, parent, order
         self.children: list[Node | str] = []
+        #: Of a page only: its elements by tag, .class and [attribute, in document order, so that a selector looks at few.
+        self.index: dict[str, list[Node]] | None = None
 
     def walk(self) -> Iterator[Node]:
         """All elements below, in document order; without recursion, so depth has no limit."""
@@ -52,18 +57,25 @@ class Node:
 
     def select(self, selector: str) -> Iterator[Node]:
         """Elements that match a list of compounds with descendant combinators, in document order."""
-        chains = [[_compound(c) for c in one.split()] for one in selector.split(",")]
-        for node in self.walk():
+        chains = _chains(selector)
+        for node in self.walk() if self.index is None else self._likely(chains):
             if any(_matches(node, chain, self) for chain in chains):
                 yield node
 
+    def _likely(self, chains: list[list[Compound]]) -> Iterable[Node]:
+        """A page's elements that the last compound of some chain may match."""
+        keys = {chain[-1].key for chain in chains}
+        if len(keys) == 1:
+            return self.index.get(next(iter(keys)), ())
+        return sorted({n for k in keys for n in self.index.get(k, ())}, key=lambda n: n.order)
+
     def first(self, selector: str) -> Node | None:
         return next(self.select(selector), None)
 
     def above(self, selector: str) -> Node | None:
         """The nearest ancestor that matches a compound."""
         test, node = _compound(selector), self.parent
-        while node is not None and not (node.tag and test(node)):
+        while node is not None and not (node.tag and test.fits(node)):
             node = node.parent
         return node
 
@@ -71,26 +83,45 @@ class Node:
 _PART = re.compile(r"""([.#]?)([A-Za-z0-9_-]+)|\[([\w-]+)(?:(\*?=)['"]?([^'"\]]*)['"]?)?\]""")
 
 
-def _compound(selector: str) -> Callable[[Node], bool]:
+@dataclass(frozen=True)
+class Compound:
+    """A test of an element, and the index entry in which all elements that pass it stand."""
+
+    fits: Callable[[Node], bool]
+    key: str
+
+
+@lru_cache(maxsize=1024)
+def _compound(selector: str) -> Compound:
     tests: list[Callable[[Node], bool]] = []
+    keys: list[str] = []
     for mark, name, attr, how, value in _PART.findall(selector):
         if attr:
             tests.append(lambda n, a=attr, h=how, v=value: a in n.attrs and (not h or (v in n.attrs[a] if h == "*=" else n.attrs[a] == v)))
+            keys.append("[" + attr)
         elif mark == ".":
             tests.append(lambda n, c=name: c in n.classes())
+            keys.append("." + name)
         elif mark == "#":
             tests.append(lambda n, i=name: n.get("id") == i)
+            keys.append("[id")
         else:
             tests.append(lambda n, t=name.lower(): n.tag == t)
-    return lambda n: all(t(n) for t in tests)
+            keys.append(name.lower())
+    return Compound(lambda n: all(t(n) for t in tests), min(keys, key=lambda k: (".[".find(k[0]) % 3, k), default=""))
+
+
+@lru_cache(maxsize=1024)
+def _chains(selector: str) -> list[list[Compound]]:
+    return [[_compound(c) for c in one.split()] for one in selector.split(",")]
 
 
-def _matches(node: Node, chain: list[Callable[[Node], bool]], top: Node) -> bool:
-    if not chain[-1](node):
+def _matches(node: Node, chain: list[Compound], top: Node) -> bool:
+    if not chain[-1].fits(node):
         return False
     left, up = len(chain) - 2, node.parent
     while left >= 0 and up is not None and up is not top.parent:
-        if up.tag and chain[left](up):
+        if up.tag and chain[left].fits(up):
             left -= 1
         up = up.parent
     return left < 0
@@ -100,12 +131,16 @@ class _Builder(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.top = self.at = Node("", {}, None)
+        self.top.index, self.seen = defaultdict(list), 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in SELF_CLOSING and self.at.tag == tag and self.at.parent is not None:
             self.at = self.at.parent
-        node = Node(tag, {k: v or "" for k, v in reversed(attrs)}, self.at)
+        self.seen += 1
+        node = Node(tag, {k: v or "" for k, v in reversed(attrs)}, self.at, self.seen)
         self.at.children.append(node)
+        for key in {tag, *("[" + k for k in node.attrs), *("." + c for c in node.classes())}:
+            self.top.index[key].append(node)
         if tag not in VOID:
             self.at = node
 

@@ -1,3 +1,4 @@
+import json
 import random
 
 import pytest
@@ -91,6 +92,32 @@ def test_dom():
     assert parse(None).text() == ""
 
 
+def test_index_finds_what_a_walk_finds():
+    r = random.Random(5)
+    tags, classes = ("div", "p", "li", "a", "span", "img"), ("x", "price", "product-card", "y-price")
+    for _ in range(60):
+        html = "".join(r.choice((f'<{t} class="{r.choice(classes)} {r.choice(classes)}" id=i{r.randint(0, 3)}>', f"<{t} href=/u>", f"</{t}>", f"<{t}>", "text ")) for t in (r.choice(tags) for _ in range(40)))
+        page = parse(html)
+        for selector in ("div", ".price", "[class*='price']", "div.x", "p .price, li", "a[href]", "#i1", "[class*='card'] img, .x, span.y-price"):
+            found = list(page.select(selector))
+            index, page.index = page.index, None
+            assert found == list(page.select(selector))
+            page.index = index
+
+
+def test_embedded_prices():
+    state = lambda data: parse(f'<script id="__NEXT_DATA__">{json.dumps(data)}</script>')
+    deep = {"price": 700}
+    for _ in range(6):
+        deep = {"in": deep}
+    assert offers.embedded_prices(state([{"Sale_Price": "1.299,90", "price": {"price": 60}}, {"x": {"bestPrice": 80}}, {"price": 3}])) == [1299.9, 80.0]
+    assert offers.embedded_prices(state(deep)) == [700.0] and offers.embedded_prices(state({"in": deep})) == []
+    assert offers.embedded_prices(state([{"price": 60 + i} for i in range(30)])) == [60.0 + i for i in range(10)]
+    assert offers.embedded_prices(state([{}] * 25 + [{"price": 60}])) == []
+    page = parse('<script>dataLayer=[{"price":99,"name":"x"}]</script><script>INITIAL_STATE={"sellingPrice":"150,00","selling_price":"160","bestPrice" : 2}</script>')
+    assert offers.embedded_prices(page) == [150.0, 160.0]
+
+
 def test_extractors():
     from shelfspark.plans.pages import SAMPLES
 
@@ -106,6 +133,9 @@ def test_extractors():
         "sportive": (None, 1499.99, None, "meta[name=og:price:amount]", 1, True),
         "decathlon": (None, 990.0, 1290.0, "product:price:amount", 1, True),
         "adidas": ("E", 2800.0, 3500.0, "json_ld:ProductGroup.hasVariant.offers.price", 1, True),
+        "nike": ("F", 3199.9, None, "css", 1, True),
+        "puma": ("G", 2099.0, None, "css", 2, True),
+        "newbalance": ("H", 4799.0, None, "css", 1, True),
         "empty": (None, None, None, None, 0, False),
     }
     assert got["generic-json"]["brand"] == "Acme"
