@@ -7,7 +7,6 @@ import re
 from collections import defaultdict
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 from html.parser import HTMLParser
 from typing import Any
 
@@ -74,7 +73,7 @@ class Node:
 
     def above(self, selector: str) -> Node | None:
         """The nearest ancestor that matches a compound."""
-        test, node = _compound(selector), self.parent
+        test, node = _chains(selector)[0][-1], self.parent
         while node is not None and not (node.tag and test.fits(node)):
             node = node.parent
         return node
@@ -91,7 +90,10 @@ class Compound:
     key: str
 
 
-@lru_cache(maxsize=1024)
+#: Selectors as read before; a plain dict, as it goes along with the functions to where the package isn't installed.
+_READ: dict[str, Any] = {}
+
+
 def _compound(selector: str) -> Compound:
     tests: list[Callable[[Node], bool]] = []
     keys: list[str] = []
@@ -111,9 +113,10 @@ def _compound(selector: str) -> Compound:
     return Compound(lambda n: all(t(n) for t in tests), min(keys, key=lambda k: (".[".find(k[0]) % 3, k), default=""))
 
 
-@lru_cache(maxsize=1024)
 def _chains(selector: str) -> list[list[Compound]]:
-    return [[_compound(c) for c in one.split()] for one in selector.split(",")]
+    if selector not in _READ:
+        _READ[selector] = [[_compound(c) for c in one.split()] for one in selector.split(",")]
+    return _READ[selector]
 
 
 def _matches(node: Node, chain: list[Compound], top: Node) -> bool:
