@@ -54,11 +54,12 @@ def render(conversations: DataFrame) -> DataFrame:
     return pieces.select("conv_id", formatted.alias("formatted"), spans.alias("spans"))
 
 
-def expand(rendered: DataFrame) -> DataFrame:
-    """(conv_id, example, text, loss_start, loss_end): an example for each assistant turn, trainable between the two positions."""
-    each = rendered.select("conv_id", "formatted", F.posexplode("spans").alias("example", "s"))
+def expand(rendered: DataFrame, *keep: str) -> DataFrame:
+    """(conv_id, *keep, example, text, loss_start, loss_end): an example for each assistant turn, trainable between the two positions; with columns to keep, conversations without one have a row without an example."""
+    each = F.posexplode_outer if keep else F.posexplode
+    found = rendered.select("conv_id", "formatted", *keep, each("spans").alias("example", "s"))
     text = F.concat(F.substring("formatted", F.lit(1), F.col("s.end")), F.lit(END))
-    return each.select("conv_id", "example", text.alias("text"), F.col("s.start").alias("loss_start"), F.col("s.end").alias("loss_end"))
+    return found.select("conv_id", *keep, "example", text.alias("text"), F.col("s.start").alias("loss_start"), F.col("s.end").alias("loss_end"))
 
 
 def read_back(formatted: Column) -> Column:
@@ -68,17 +69,22 @@ def read_back(formatted: Column) -> Column:
 
 
 def digests(rendered: DataFrame) -> DataFrame:
-    """The op2 columns, read back from renderings and from their examples."""
+    """The op2 columns, read back from renderings and from their examples; the examples are put together where the conversation was rendered."""
     turns = rendered.withColumn("_turns", read_back(F.col("formatted"))).select(
         "conv_id",
-        F.size("_turns").cast("long").alias("n_turns"),
-        F.sha2(F.encode(F.array_join(F.transform("_turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""), "UTF-8"), 256).alias("turns_sha256"),
-        F.length("formatted").cast("long").alias("formatted_chars"),
+        "formatted",
+        "spans",
+        F.struct(
+            F.size("_turns").cast("long").alias("n_turns"),
+            F.sha2(F.encode(F.array_join(F.transform("_turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""), "UTF-8"), 256).alias("turns_sha256"),
+            F.length("formatted").cast("long").alias("formatted_chars"),
+        ).alias("read"),
     )
-    loss = expand(rendered).select(F.col("conv_id").alias("_c"), "example", unescape(F.substring("text", F.col("loss_start") + 1, F.col("loss_end") - F.col("loss_start"))).alias("t"))
-    whole = loss.groupBy("_c").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("example", "t"))), lambda x: x["t"]), "").alias("_loss"), F.count("*").alias("n_examples"))
-    joined = turns.join(whole, F.col("conv_id").eqNullSafe(F.col("_c")), "left").withColumn("_loss", F.coalesce("_loss", F.lit("")))
-    return joined.select("conv_id", "n_turns", "turns_sha256", F.length("_loss").cast("long").alias("loss_chars"), F.sha2(F.encode("_loss", "UTF-8"), 256).alias("loss_sha256"), "formatted_chars", F.coalesce("n_examples", F.lit(0)).alias("n_examples"))
+    reply = unescape(F.substring("text", F.col("loss_start") + 1, F.col("loss_end") - F.col("loss_start")))
+    loss = expand(turns, "read").select("conv_id", "read", F.when(F.col("example").isNotNull(), F.struct("example", reply.alias("t"))).alias("e"))
+    whole = loss.groupBy("conv_id").agg(F.any_value("read").alias("read"), F.array_sort(F.collect_list("e")).alias("_e"))
+    joined = whole.select("conv_id", "read.*", F.array_join(F.transform("_e", lambda x: x["t"]), "").alias("_loss"), F.size("_e").cast("long").alias("n_examples"))
+    return joined.select("conv_id", "n_turns", "turns_sha256", F.length("_loss").cast("long").alias("loss_chars"), F.sha2(F.encode("_loss", "UTF-8"), 256).alias("loss_sha256"), "formatted_chars", "n_examples")
 
 
 #: The conversation that op2 adds: control strings inside texts.
