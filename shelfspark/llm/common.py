@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Words are maximal runs of characters that are not ASCII white space.
@@ -16,6 +16,8 @@ BROADCAST_ROWS = 500_000
 HOT = 1024
 #: Rows that one task orders at most in :func:`running_total`, on average.
 BUCKET_ROWS = 4096
+#: Bits for each key in the bitmaps of :func:`flagged`, and their bits at most (64 MB); with more than 2^25 keys more rows pass that need not.
+KEY_BITS, MOST_BITS = 16, 1 << 29
 
 _own_dir: list[str] = []
 
@@ -57,6 +59,35 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def flagged(rows: DataFrame, key: Column, keys: DataFrame) -> DataFrame:
+    """rows with `_maybe`: false only where the 64-bit `key` is not among those of keys(k), else true, and true for about one row in KEY_BITS that needs not be.
+
+    A bitmap of the keys' hashes is broadcast, whose size is bounded at any number of keys, so that rows without a partner
+    need no shuffle to learn that.
+    """
+    bits = min(MOST_BITS, 1 << max(15, (keys.count() * KEY_BITS).bit_length()))
+    slot = lambda k: F.pmod(k, F.lit(bits)) + 1
+    at = keys.where("k is not null").select(slot(F.col("k")).alias("_s"))
+    maps = at.groupBy(F.bitmap_bucket_number("_s").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_s")).alias("_map"))
+    given = rows.withColumn("_s", slot(key)).withColumns({"_bucket": F.bitmap_bucket_number("_s"), "_bit": F.bitmap_bit_position("_s")})
+    byte = F.conv(F.hex(F.substring("_map", F.floor(F.col("_bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    is_set = F.coalesce(F.getbit(byte, (F.col("_bit") % 8).cast("int")) == 1, F.lit(False))
+    return given.join(F.broadcast(maps), "_bucket", "left").select(*rows.columns, is_set.alias("_maybe"))
+
+
+def without(rows: DataFrame, gone: DataFrame, same: Column, key: Column, gone_key: Column) -> DataFrame:
+    """rows without a partner in gone by `same`, which partners have an equal `key` and `gone_key`. gone is read more than once.
+
+    gone is broadcast if it is small; else only rows whose key is flagged are shuffled to meet it.
+    """
+    side, fits = small(gone)
+    if fits:
+        return rows.join(side, same, "left_anti")
+    given = flagged(rows, key, gone.select(gone_key.alias("k")))
+    met = given.where("_maybe").drop("_maybe").join(side, same, "left_anti")
+    return given.where("not _maybe").drop("_maybe").unionByName(met)
+
+
 def hot_join(rows: DataFrame, side: DataFrame, keys: list[str], n: str, total: int | None = None) -> DataFrame:
     """Inner join of rows with side(keys, n, ...), whose keys are unique and whose `n` tells how many of rows have them; n goes.
 

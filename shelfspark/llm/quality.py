@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small, word_list
+from .common import flagged, small, word_list
 
 #: Buckets of the multinomials; the model is this many doubles, at any corpus size.
 BUCKETS = 8192
@@ -69,10 +69,19 @@ def log_ratios(counts: DataFrame, buckets: int = BUCKETS) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", buckets: int = BUCKETS) -> DataFrame:
-    """The one-row model: trusted are the documents that `labels` marks with quality 1."""
-    ids, _ = small(labels.where("quality = 1").select(F.col("doc_id").alias("_id")).distinct())
-    flagged = docs.select(F.col(id_col).alias("_doc"), F.col(text)).join(ids, F.col("_doc") == F.col("_id"), "left")
-    return log_ratios(ngram_counts(flagged, F.col("_id").isNotNull(), text, buckets), buckets)
+    """The one-row model: trusted are the documents that `labels` marks with quality 1.
+
+    Few trusted ids are broadcast; with many, all documents are counted without meeting them, and those that a
+    bitmap of the ids flags are shuffled to be counted as trusted.
+    """
+    ids, fits = small(labels.where("quality = 1").select(F.col("doc_id").alias("_id")).distinct())
+    given, same = docs.select(F.col(id_col).alias("_doc"), F.col(text)), F.col("_doc") == F.col("_id")
+    if fits:
+        return log_ratios(ngram_counts(given.join(ids, same, "left"), F.col("_id").isNotNull(), text, buckets), buckets)
+    likely = flagged(given, F.xxhash64(F.col("_doc").cast("string")), ids.select(F.xxhash64(F.col("_id").cast("string")).alias("k"))).where("_maybe")
+    target = ngram_counts(likely.join(ids, same), F.lit(True), text, buckets).select("bucket", "n_target")
+    raw = ngram_counts(given, F.lit(False), text, buckets).select("bucket", "n_raw")
+    return log_ratios(raw.join(target, "bucket", "left"), buckets)
 
 
 def judge(docs: DataFrame, model: DataFrame, text: str = "text", buckets: int = BUCKETS, threshold: float = THRESHOLD) -> DataFrame:

@@ -5,7 +5,7 @@ from collections import Counter
 import xxhash
 from pyspark.sql import functions as F
 
-from shelfspark.llm import quality, queries
+from shelfspark.llm import common, quality, queries
 
 from .data import SF, documents, empty
 
@@ -80,3 +80,22 @@ def test_junk_goes_and_clean_stays(spark):
     judged = queries.op1_quality_rules(spark, sf).join(labels, "doc_id").where("not base_failed")
     rate = {r.quality: r.kept for r in judged.groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("kept")).collect()}
     assert rate[1] > 0.99 and rate[0] < 0.2
+
+
+def test_many_labels_give_the_same_model(spark, monkeypatch):
+    labels = spark.read.parquet(f"{SF}/labels.parquet").unionByName(spark.createDataFrame([(None, 1, 0), (-5, 1, 0)], "doc_id long, quality int, toxic int").select(F.col("doc_id"), "quality", "toxic"))
+    for docs in (documents(spark), spark.read.parquet(f"{SF}/documents.parquet"), empty(spark)):
+        few = quality.fit(docs, labels).first().w
+        with monkeypatch.context() as m:
+            m.setattr(common, "BROADCAST_ROWS", 1)
+            many = quality.fit(docs, labels).first().w
+        assert few == many
+
+
+def test_bitmaps_flag_every_key(spark):
+    rows = spark.range(200_000).select(F.col("id"), F.xxhash64("id").alias("h"))
+    keys = rows.where("id % 7 = 0").select(F.col("h").alias("k"))
+    seen = common.flagged(rows, F.col("h"), keys).groupBy((F.col("id") % 7 == 0).alias("own")).agg(F.count("*").alias("n"), F.count_if("_maybe").alias("maybe")).collect()
+    n = {r.own: (r.n, r.maybe) for r in seen}
+    assert n[True][0] == n[True][1] == 28572 and n[False][0] == 171428 and 0 < n[False][1] < 171428 / 8
+    assert common.flagged(rows, F.col("h"), keys.limit(0)).where("_maybe").isEmpty()
