@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BUCKET_ROWS, cut, running_total, small, word_list
+from .common import BUCKET_ROWS, WORD, cut, running_total, small, word_list
 
 WEIGHTS = (3, 1, 2)
 #: Share of all sizes that the mix holds.
@@ -92,23 +92,31 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str
     return queued.withColumn("copies", count).withColumn("taken", F.col("copies") * F.col("size")).select("doc_id", "_source", "size", "source_size", "target", "copies", "taken", "_h")
 
 
-def repeat_rows(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+def repeat_rows(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", max_repeats: int = MAX_REPEATS) -> DataFrame:
     """The rows of docs, each as often as the mix takes it; all columns stay.
 
-    Copies are carried by id, text and source, not by the id alone. Only where the cut goes through rows that are equal
-    in these do they differ among such rows: the first ones by their other columns then get one copy more.
+    Finish times rise with a source's hashes, so what the mix takes of a source is told by the last hash that it takes
+    once, twice and so on: documents meet these few hashes in a broadcast, and their texts are never shuffled. Only where
+    the cut goes through rows that are equal in id, text and source do copies differ among such rows: the first ones by
+    their other columns then get one copy more.
     """
-    counts = cut(mix(docs, id_col, text, source).groupBy("_h", "_source").agg(F.count("*").alias("_n"), F.sum("copies").alias("_c")).where("_c > 0"))
-    side, _ = small(counts)
-    given = docs.select(F.struct(*docs.columns).alias("_row"), shuffle_key(F.col(id_col), F.col(text)).alias("_h"), source_name(F.col(source)).alias("_source"))
-    met = given.join(side, ["_h", "_source"])
+    mixed = mix(docs, id_col, text, source, max_repeats=max_repeats).where("size > 0").select("_source", "_h", "copies")
+    last = F.array(*[F.coalesce(F.max(F.when(F.col("copies") > e, F.col("_h"))), F.lit("")) for e in range(max_repeats)])
+    ends, _ = small(cut(mixed.groupBy("_source").agg(last.alias("_ends"))))
+    at_ends = mixed.join(ends, "_source").where(F.array_contains("_ends", F.col("_h")))
+    edges = cut(at_ends.groupBy("_source", "_h").agg(F.count("*").alias("_n"), F.sum("copies").alias("_c")).where("_c % _n <> 0"))
+    has_words = F.coalesce(F.rlike(F.col(text), F.lit(WORD)), F.lit(False))
+    given = docs.where(has_words).select(F.struct(*docs.columns).alias("_row"), shuffle_key(F.col(id_col), F.col(text)).alias("_h"), source_name(F.col(source)).alias("_source"))
     times = lambda n: F.explode(F.array_repeat("_row", n.cast("int"))).alias("_row")
-    even = met.where("_c % _n = 0").select(times(F.floor(F.col("_c") / F.col("_n"))))
-    if counts.where("_c % _n <> 0").isEmpty():
-        return even.select("_row.*")
-    place = F.row_number().over(Window.partitionBy("_h", "_source").orderBy(F.to_json("_row")))
-    uneven = met.where("_c % _n <> 0").withColumn("_p", place).select(times(F.floor(F.col("_c") / F.col("_n")) + (F.col("_p") <= F.col("_c") % F.col("_n")).cast("long")))
-    return even.unionByName(uneven).select("_row.*")
+    taken = F.size(F.filter("_ends", lambda end: F.col("_h") <= end))
+    met = given.join(ends, "_source")
+    if edges.isEmpty():
+        return met.select(times(taken)).select("_row.*")
+    side, _ = small(edges)  # at most max_repeats for each source
+    met = met.join(side, ["_source", "_h"], "left")
+    place = F.row_number().over(Window.partitionBy("_source", "_h").orderBy(F.to_json("_row")))
+    uneven = met.where("_n is not null").withColumn("_p", place).select(times(F.floor(F.col("_c") / F.col("_n")) + (F.col("_p") <= F.col("_c") % F.col("_n")).cast("long")))
+    return met.where("_n is null").select(times(taken)).unionByName(uneven).select("_row.*")
 
 
 def op4_sql() -> str:

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, hot_join, small, table
+from .common import cut, hot_join, small, table, without
 from .components import components
 
 SEED = 42
@@ -364,9 +364,9 @@ def one_of_each_class(docs: DataFrame, id_col: str = "doc_id", text: str = "text
     firsts = cut(_first_of_classes(rows, roots).select("first.doc_id", "first.t").distinct())
     same = F.col("_doc").eqNullSafe(F.col("doc_id")) & (F.col("_t") == F.col("t"))
     is_first = F.col("f.doc_id").eqNullSafe(F.col("d.doc_id")) & (F.col("f.t") == F.col("d.t"))
-    later, _ = small(cut(distinct.alias("d").join(firsts.alias("f"), is_first, "left_anti").select("doc_id", "t")))
+    later = cut(distinct.alias("d").join(firsts.alias("f"), is_first, "left_anti").select("doc_id", "t"))
     given = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).alias("_doc"), F.xxhash64(text).alias("_t"))
-    first = given.join(later, same, "left_anti")
+    first = without(given, later, same, F.xxhash64("_doc", "_t"), F.xxhash64("doc_id", "t"))
     repeated = cut(distinct.alias("d").where("n > 1").join(firsts.alias("f"), is_first, "left_semi").select("doc_id", "t"))
     if repeated.isEmpty():
         return first.select("_row.*")
