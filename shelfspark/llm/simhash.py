@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, hot_join, small, table, without
+from .common import cut, flagged, hot_join, small, table, without
 from .components import components
 
 SEED = 42
@@ -263,7 +263,7 @@ def _in_blocks(rows: DataFrame, n: Column) -> DataFrame:
 
 
 def _compared(rows: DataFrame, held: DataFrame, handle: Callable[[np.ndarray, list[np.ndarray]], list[tuple[int, ...]]], columns: list[str]) -> DataFrame:
-    """(a, b): what `handle` gives for the nodes of each key of rows(key, g, ...), with their sketches held(g, s)."""
+    """(a, b): what `handle` gives for the nodes of each key of rows(key, g, ...), with their sketches held(g, s), which should be dealt by g."""
     met = rows.join(held, "g").select(*columns, "s").repartition("key").sortWithinPartitions("key")
     return met.mapInPandas(_each_key(handle, columns, True, ["a", "b"]), "a bigint, b bigint").distinct()
 
@@ -327,8 +327,8 @@ def _near_classes(docs: DataFrame, id_col: str, text: str) -> tuple[DataFrame, D
     stats = cut(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("g").alias("least"), F.max("g").alias("_most"), F.bit_xor("g").alias("_all")).where("n > 1"))
     alike = stats.select("key", "n", "least", F.xxhash64("n", "least", "_most", "_all").alias("set"), F.col("n").alias("_of"))
     shared = cut(hot_join(keyed, alike, ["key"], "_of").select(F.col("set").alias("key"), "g", "n", "least").distinct())
-    meeting = cut(nodes.select("g", "n").join(shared.select("g").distinct(), "g"))
-    held = table(hot_join(prints.select("g", "s"), meeting, ["g"], "n").groupBy("g").agg(F.any_value("s").alias("s")), "sketches")
+    # sketches of nodes that meet none are told by a bitmap and go before the shuffle; copies of a text become one row in each task before it
+    held = flagged(prints.select("g", "s"), F.col("g"), shared.select(F.col("g").alias("k")).distinct()).where("_maybe").groupBy("g").agg(F.any_value("s").alias("s"))
     dealt = _in_blocks(shared, F.col("n"))
     pivots = shared.where((F.col("n") > BLOCK) & (F.col("g") == F.col("least"))).select("key", "g", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / BLOCK).cast("long") - 1)).alias("block"))
     first = dealt.select("key", "g", "block").unionByName(pivots).distinct().select(F.xxhash64("key", "block").alias("key"), "g")
