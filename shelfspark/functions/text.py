@@ -44,6 +44,15 @@ def parse_price_plain(text: Column) -> Column:
     return F.when(kept != "", kept).try_cast("double")
 
 
+def instant(iso: Column) -> Column:
+    """An ISO date or instant in words of 2024-01-31T10:20:30.5+03:00, of which all after the day may be left out; without a zone it is UTC; null for anything else."""
+    known = F.rlike(iso, F.lit(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}([ T][0-9]{2}:[0-9]{2}(:[0-9]{2}(\.[0-9]{1,6})?)?(Z|[+-][0-9]{2}:?[0-9]{2})?)?$"))
+    colon = F.regexp_replace(iso, r"([+-][0-9]{2})([0-9]{2})$", "$1:$2")
+    timed = F.when(F.length(iso) == 10, F.concat(iso, F.lit("T00:00:00"))).otherwise(F.regexp_replace(colon, r"^(.{11}[0-9]{2}:[0-9]{2})(Z|[+-].*)?$", "$1:00$2"))
+    zoned = F.when(F.rlike(timed, F.lit(r"(Z|[+-][0-9]{2}:[0-9]{2})$")), timed).otherwise(F.concat(timed, F.lit("Z")))
+    return F.when(known, zoned).try_cast("timestamp")
+
+
 def scale_fix(value: Column, limit: float = 15000.0) -> Column:
     """Divided by ten as often as it takes to be at most `limit`; infinity stays."""
     steps = F.greatest(F.lit(0.0), F.ceil(F.log10(value / limit)).cast("double"))

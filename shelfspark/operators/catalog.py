@@ -37,6 +37,12 @@ def shops(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "ordinal int, name string, slug string, domains array<string>, product_pattern string, js_search boolean, use_browser boolean")
 
 
+def with_own(*own: tuple[str, list[str]]) -> list[tuple[int, str, list[str]]]:
+    """Shops for :func:`route`: own ones (name, domains), in their order, before those of the catalog."""
+    every = [*own, *[(s[0], list(s[2])) for s in SHOPS]]
+    return [(i, name, list(domains)) for i, (name, domains) in enumerate(every)]
+
+
 def route(urls: DataFrame, known: list[tuple[int, str, list[str]]] | None = None, host: str = "host") -> DataFrame:
     """urls with `store`: the first shop one of whose domains is part of the host, else the host itself.
 

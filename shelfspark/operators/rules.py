@@ -75,6 +75,27 @@ def outside_cooldown(candidates: DataFrame, alerts: DataFrame, keys: list[str],
     return last_alert_before(candidates, alerts, keys, at).where(~F.coalesce(recent, F.lit(False))).drop("_last")
 
 
+def rules_of(rules: DataFrame, products: DataFrame) -> DataFrame:
+    """The rules of the products listed."""
+    return rules.join(products.select("product_id"), "product_id", "left_semi")
+
+
+def legacy_matches(rules: DataFrame, listings: DataFrame) -> DataFrame:
+    """(rule_id, product_id, listing_id, price, size) by the older rule: no tolerance, and a listing without known sizes is taken on its price alone, unless the rule names a size.
+
+    rules and listings are those of :func:`evaluate_rules`; the first entry with the rule's size decides.
+    """
+    wanted = F.when(~F.coalesce("size", F.lit("")).isin("", "-"), _norm(F.col("size")))
+    asked = rules.where("enabled and target_price is not null").select(F.col("id").alias("rule_id"), "product_id", "target_price", wanted.alias("_want"))
+    offers = listings.where("active").select(F.col("id").alias("listing_id"), F.col("product_id").alias("_of"), F.col("last_price").alias("price"), "last_sizes")
+    met = asked.join(offers, (F.col("product_id") == F.col("_of")) & (F.col("price") <= F.col("target_price")))
+    first = F.get(F.filter("last_sizes", lambda s: _norm(s["name"]) == F.col("_want")), 0)
+    stocked = F.exists("last_sizes", lambda s: F.coalesce(s["in_stock"], F.lit(False)))
+    unknown = F.coalesce(F.size("last_sizes"), F.lit(0)) <= 0
+    size = F.when(F.col("_want").isNotNull(), F.when(first["in_stock"], first["name"])).when(unknown, "Beden Bilgisi Yok").when(stocked, "Herhangi Bir Beden")
+    return met.withColumn("size", size).where("size is not null").select("rule_id", "product_id", "listing_id", "price", "size")
+
+
 def without_unread(candidates: DataFrame, alerts: DataFrame, keys: list[str]) -> DataFrame:
     """Candidates for which no unread alert stands: by the state of alerts now, whenever the candidates are from."""
     return candidates.join(alerts.where("is_read = false").select(*keys).distinct(), keys, "left_anti")

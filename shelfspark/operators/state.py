@@ -71,6 +71,28 @@ def with_defaults(settings: DataFrame, defaults: dict[str, object]) -> DataFrame
     return given.select(*[(F.coalesce(F.col(k), F.lit(v)) if k in settings.columns else F.lit(v)).alias(k) for k, v in defaults.items()])
 
 
+def backfill(table: DataFrame, column: str, value: Column) -> DataFrame:
+    """table with `value` where the column is null or empty; what is set stays."""
+    return table.withColumn(column, F.coalesce(F.nullif(F.col(column), F.lit("")), value))
+
+
+def read_settings(saved: DataFrame, raw: str, keep: str, defaults: dict[str, object]) -> DataFrame:
+    """(keep, settings...) of each saved JSON text `raw`, merged over the defaults, whose values may be dictionaries of values, one struct each.
+
+    A leaf that is null, absent or of another kind, and a text that isn't JSON, give the default; unknown keys are not read.
+    """
+    read = F.try_parse_json(raw)
+
+    def leaf(path: str, default: object) -> Column:
+        kind = {bool: "boolean", int: "bigint", float: "double", str: "string"}[type(default)]
+        return F.coalesce(F.try_variant_get(read, f"$.{path}", kind), F.lit(default).cast(kind))
+
+    def whole(name: str, default: object) -> Column:
+        return (F.struct(*[leaf(f"{name}.{k}", v).alias(k) for k, v in default.items()]) if isinstance(default, dict) else leaf(name, default)).alias(name)
+
+    return saved.select(keep, *[whole(k, v) for k, v in defaults.items()])
+
+
 def toggle(flag: Column) -> Column:
     """The opposite of a flag; a missing one counts as set."""
     return ~F.coalesce(flag, F.lit(True))

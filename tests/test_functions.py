@@ -187,3 +187,18 @@ def test_profiles_families_and_models(spark):
     assert values(spark, [("a", "a"), ("a", "b"), (None, "b"), (None, None)], "a string, b string", text.same_family(c("a"), c("b"))) == [(True,), (False,), (True,), (True,)]
     assert values(spark, [("x\n[MODELLER]: Nike A | ab | Asics B\ny",), ("none",)], "s string", text.suggested_models(c("s"))) == [(["Nike A", "Asics B"],), ([],)]
     assert values(spark, [(None,)], "v double", text.money_text(c("v")), text.date_text(c("v").cast("string").cast("timestamp"))) == [("—", "—")]
+
+
+def test_instants(spark):
+    cases = {
+        "2024-01-31": 1706659200.0, "2024-01-31T10:20": 1706696400.0, "2024-01-31 10:20:30": 1706696430.0, "2024-01-31T10:20:30.25Z": 1706696430.25, "2024-01-31T10:20:30+03:00": 1706685630.0,
+        "2024-01-31T10:20:30-0130": 1706701830.0, "2024-02-30": None, "2024-01-31T25:00": None, "2024": None, "": None, " 2024-01-31": None, "soon": None, None: None,
+    }
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for other in ("UTC", "Asia/Tokyo"):
+            spark.conf.set("spark.sql.session.timeZone", other)
+            rows = spark.createDataFrame([(s,) for s in cases], "s string").select("s", F.unix_micros(text.instant(F.col("s"))).alias("m")).collect()
+            assert {r.s: None if r.m is None else r.m / 1e6 for r in rows} == cases
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)

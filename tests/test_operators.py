@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from shelfspark import plans
+from shelfspark.functions import offers
 from shelfspark.operators import insight, rules, score, state
 from shelfspark.sources.tables import Tables
 from shelfspark.streaming import radar
@@ -198,3 +199,30 @@ def test_cooldown_equals_a_plain_search(spark):
         if not before or (r.as_of - max(before)).total_seconds() >= (r.cooldown_hours or 24) * 3600:
             want.add(r.candidate_id)
     assert {r.candidate_id for r in rules.outside_cooldown(t.candidates(), t.alerts(), ["rule_id", "listing_id"]).collect()} == want
+
+
+def test_settings_over_defaults(spark):
+    saved = ['{"a":{"x":2,"other":1},"b":"t"}', '{"a":{"x":"no","y":null},"b":null}', '{"a":5}', "[1]", "{", "", None]
+    got = state.read_settings(spark.createDataFrame(list(enumerate(saved)), "i int, raw string"), "raw", "i", {"a": {"x": 1, "y": True}, "b": "d"})
+    assert {r.i: (r.a.x, r.a.y, r.b) for r in got.collect()} == {0: (2, True, "t"), **{i: (1, True, "d") for i in range(1, 7)}}
+
+
+def test_backfill_leaves_what_is_set(spark):
+    given = spark.createDataFrame([(1, None, "n"), (2, "", "n"), (3, "k", "n"), (4, None, None)], "i int, k string, name string")
+    assert {r.i: r.k for r in state.backfill(given, "k", F.col("name")).collect()} == {1: "n", 2: "n", 3: "k", 4: None}
+
+
+def test_legacy_rules(spark):
+    sizes = "array<struct<name:string,size:string,in_stock:boolean>>"
+    offers = [(1, 1, 100.0, None, False, True), (2, 1, 100.5, None, True, True), (3, 1, 90.0, [("42,5", None, False), ("42.5", None, True)], True, True), (4, 1, 90.0, [("42,5", None, True)], True, True), (5, 1, None, None, True, True), (6, 1, 1.0, None, True, False), (7, 1, 80.0, [], None, True), (8, 1, 80.0, [("41", None, None)], True, True)]
+    listings = spark.createDataFrame(offers, f"id int, product_id int, last_price double, last_sizes {sizes}, last_in_stock boolean, active boolean")
+    asked = spark.createDataFrame([(1, 1, 100.0, None, True), (2, 1, 100.0, "-", True), (3, 1, 100.0, " 42.5", True), (4, 1, None, None, True), (5, 1, 100.0, None, False)], "id int, product_id int, target_price double, size string, enabled boolean")
+    got = {(r.rule_id, r.listing_id): r.size for r in rules.legacy_matches(asked, listings).collect()}
+    any_size = {1: "Beden Bilgisi Yok", 3: "Herhangi Bir Beden", 4: "Herhangi Bir Beden", 7: "Beden Bilgisi Yok"}
+    assert got == {**{(r, i): s for r in (1, 2) for i, s in any_size.items()}, (3, 4): "42,5"}
+
+
+def test_own_offers_know_their_fields():
+    assert offers.own_offer(title="t")["title"] == "t" and offers.own_offer()["sizes"] == []
+    with pytest.raises(ValueError, match="colour"):
+        offers.own_offer(colour="red")
