@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, fairmix, langid, licenses, qda, quality, sharding, simhash, warc
+from . import chat, decontam, fairmix, filteraudit, langid, licenses, qda, quality, setsketch, sharding, simhash, spelling, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -66,6 +66,19 @@ def op10_best_fit_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_setsketch_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = setsketch.near_copies(_read(spark, sf_dir, "documents"), 85)
+    return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filteraudit.audit(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_chat_prefix_targets": op2_chat_prefix_targets,
@@ -77,6 +90,9 @@ QUERIES: dict[str, Query] = {
     "op8_license_diagonals": op8_license_diagonals,
     "op9_quality_discriminant": op9_quality_discriminant,
     "op10_best_fit_shards": op10_best_fit_shards,
+    "op11_setsketch_classes": op11_setsketch_classes,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 SQL: dict[str, str] = {
@@ -85,4 +101,7 @@ SQL: dict[str, str] = {
     "op5_warc_histories": warc.OP5_SQL,
     "op6_spaced_seed_overlaps": decontam.op6_sql(),
     "op8_license_diagonals": licenses.op8_sql(),
+    "op11_setsketch_classes": setsketch.OP11_SQL,
+    "op12_filter_audit": filteraudit.OP12_SQL,
+    "op13_spelling_variants": spelling.OP13_SQL,
 }

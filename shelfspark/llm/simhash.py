@@ -10,8 +10,7 @@ the verified links is emitted, which is linear in the key's fingerprints, never
 Equal fingerprints are one node from the start, so exact copies cost one row. Components of the nodes come from
 rounds of large-star and small-star joins.
 
-The pipeline's stage links by the Jaccard similarity of five-word shingles instead: bands of minima of the shingles'
-hashes are the keys, and the shingles verify; see :func:`_near_classes`.
+The pipeline's stage links by the Jaccard similarity of five-word shingles instead: see setsketch.
 
 Defined results: null and empty texts have fingerprint zero and link like any other; texts of any length count
 whole; repeated rows share a fingerprint and a component; rows with null ids get their group's smallest id (null if
@@ -26,10 +25,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, flagged, hot_join, small, table, without
+from .common import cut, hot_join
 from .components import components
 
 SEED = 42
@@ -120,44 +119,7 @@ def variants(nodes: DataFrame, bits: int, segments: int) -> DataFrame:
     return cutup.select(*nodes.columns, F.concat(exact, *[wildcards(i) for i in range(segments)]).alias("_keys")).select(*nodes.columns, F.inline_outer("_keys"))
 
 
-def shingle_hashes(text: str | None) -> np.ndarray:
-    """The distinct 64-bit hashes of a text's five-word shingles, in order."""
-    return np.unique(np.array([xxhash.xxh64_intdigest(x, SEED) for x in shingles_of(words_of(text), SIMILAR_WORDS)], dtype=np.uint64))
-
-
-def least_hashes(h: np.ndarray) -> np.ndarray:
-    """The KEPT least of the hashes' upper 32 bits, in order: all of them in a text of fewer shingles."""
-    return np.unique((h >> np.uint64(32)).astype(np.uint32))[:KEPT]
-
-
-def band_keys(h: np.ndarray) -> np.ndarray:
-    """A key for each band: a hash of its number and of its BAND_ROWS minima, each under a multiplier of its own; no hashes give no keys."""
-    if not len(h):
-        return np.zeros(0, np.int64)
-    least = np.full(len(_ODD), np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(h), 1 << 12):
-        np.minimum(least, (h[None, i : i + (1 << 12)] * _ODD[:, None]).min(axis=1), out=least)
-    keys = np.arange(BANDS, dtype=np.uint64)
-    for j, column in enumerate(least.reshape(BANDS, BAND_ROWS).T):
-        keys = _mixed(keys ^ column, j + 1)
-    return keys.view(np.int64)
-
-
-def similar(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
-    """Whether the Jaccard similarity of one text's shingles with each of others is SIMILAR: exact where both are kept whole, else that of the least hashes, which may be less by SLACK."""
-    sizes = np.array([len(x) for x in others])
-    whole = np.iinfo(np.uint32).max
-    top = np.array([x[-1] if len(x) == KEPT else whole for x in others], dtype=np.uint32)
-    top = np.minimum(top, one[-1] if len(one) == KEPT else whole)
-    flat, of = np.concatenate(others), np.repeat(np.arange(len(others)), sizes)
-    counts = flat <= top[of]
-    equal = counts & (one[np.minimum(np.searchsorted(one, flat), len(one) - 1)] == flat)
-    same = np.bincount(of[equal], minlength=len(others))
-    either = np.bincount(of[counts], minlength=len(others)) + np.searchsorted(one, top, side="right") - same
-    return same >= np.where((sizes == KEPT) | (len(one) == KEPT), SIMILAR - SLACK, SIMILAR) * either
-
-
-def _forest(ids: np.ndarray, linked: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
+def forest(ids: np.ndarray, linked: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
     """Edges of a spanning forest of the links among one key's nodes; linked(x, rest) tells which of rest have a link to x.
 
     Each step takes a node off the frontier and links to it all nodes that no tree has yet: nodes that are in
@@ -176,19 +138,18 @@ def _forest(ids: np.ndarray, linked: Callable[[int, np.ndarray], np.ndarray]) ->
     return out
 
 
-def _each_key(handle: Callable[[np.ndarray, list[np.ndarray]], list[tuple[int, ...]]], columns: list[str], held_too: bool, out: list[str]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """For mapInPandas over rows that are sorted by key: the rows that `handle` gives for the rows of each key, and for the 32-bit numbers of their column s if held_too."""
+def _each_key(handle: Callable[[np.ndarray], list[tuple[int, ...]]], columns: list[str], out: list[str]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """For mapInPandas over rows that are sorted by key: the rows that `handle` gives for the rows of each key."""
 
     def each(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[tuple[np.ndarray, list[np.ndarray]]] = []  # the last key's rows, which the next batch may go on with
+        held: list[np.ndarray] = []  # the last key's rows, which the next batch may go on with
         found: list[tuple[int, ...]] = []
 
-        def done(blocks: list[tuple[np.ndarray, list[np.ndarray]]]) -> None:
-            rows = np.concatenate([b[0] for b in blocks])
-            own = [x for b in blocks for x in b[1]]
+        def done(blocks: list[np.ndarray]) -> None:
+            rows = np.concatenate(blocks)
             cuts = np.flatnonzero(np.diff(rows[:, 0])) + 1
             for start, end in zip([0, *cuts], [*cuts, len(rows)], strict=True):
-                found.extend(handle(rows[start:end], own[start:end]))
+                found.extend(handle(rows[start:end]))
 
         def flush() -> pd.DataFrame:
             rows = pd.DataFrame(found, columns=out, dtype="int64").drop_duplicates()
@@ -199,15 +160,14 @@ def _each_key(handle: Callable[[np.ndarray, list[np.ndarray]], list[tuple[int, .
             if part.empty:
                 continue
             rows = np.ascontiguousarray(part[columns].to_numpy(dtype=np.int64))
-            own = [np.frombuffer(x, np.uint32) for x in part["s"]] if held_too else []
             split = int(np.searchsorted(rows[:, 0], rows[-1, 0]))
             if split:
-                done([*held, (rows[:split], own[:split])])
+                done([*held, rows[:split]])
                 held = []
-            elif held and held[-1][0][0, 0] != rows[0, 0]:
+            elif held and held[-1][0, 0] != rows[0, 0]:
                 done(held)
                 held = []
-            held.append((rows[split:], own[split:]))
+            held.append(rows[split:])
             if len(found) > _ROWS_AT_ONCE:
                 yield flush()
         if held:
@@ -224,11 +184,11 @@ def links(nodes: DataFrame, n_words: int, segments: int, most: int) -> DataFrame
     keyed = variants(nodes, 64 * n_words, segments).withColumns({"_n": F.count("*").over(same), "_least": F.min("bit").over(same), "_most": F.max("bit").over(same)})
     alive = keyed.where((F.col("_n") > 1) & (F.col("bit").isNull() | (F.col("_least") < F.col("_most")))).select(*columns).sortWithinPartitions("key")
 
-    def forest(rows: np.ndarray, own: list[np.ndarray]) -> list[tuple[int, ...]]:
+    def trees(rows: np.ndarray) -> list[tuple[int, ...]]:
         prints = rows[:, 2:].view(np.uint64)
-        return _forest(rows[:, 1], lambda x, rest: np.bitwise_count(prints[rest] ^ prints[x]).sum(axis=1) <= most)
+        return forest(rows[:, 1], lambda x, rest: np.bitwise_count(prints[rest] ^ prints[x]).sum(axis=1) <= most)
 
-    return alive.mapInPandas(_each_key(forest, columns, False, ["a", "b"]), "a bigint, b bigint").distinct()
+    return alive.mapInPandas(_each_key(trees, columns, ["a", "b"]), "a bigint, b bigint").distinct()
 
 
 def classes(prints: DataFrame, n_words: int, segments: int, most: int) -> DataFrame:
@@ -243,133 +203,3 @@ def classes(prints: DataFrame, n_words: int, segments: int, most: int) -> DataFr
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, f0, component_id): classes of 64-bit fingerprints of three-word shingles that differ in at most MAX_BITS bits."""
     return classes(cut(fingerprints(docs, shingle_fingerprint, 1, id_col, text)), 1, 2, MAX_BITS)
-
-
-#: The pipeline's stage: two texts of similarity J share a band with probability 1 - (1 - J ** BAND_ROWS) ** BANDS, 0.99995
-#: at 0.8. SIMILAR is the Jaccard similarity that counts; texts of KEPT shingles or more are compared by the KEPT least
-#: hashes, and SLACK is more than two standard errors of that.
-BANDS, BAND_ROWS = 25, 5
-SIMILAR_WORDS, SIMILAR, SLACK, KEPT = 5, 0.8, 0.03, 1024
-_ODD = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-
-#: Nodes of one key that a task compares at most; a key with more is cut into blocks.
-BLOCK = 4096
-
-
-def _in_blocks(rows: DataFrame, n: Column) -> DataFrame:
-    """rows(key, g, ...) with `block`, 0 for keys of at most BLOCK nodes."""
-    return rows.withColumn("block", F.pmod(F.xxhash64("g"), F.ceil(n / BLOCK).cast("long")))
-
-
-def _compared(rows: DataFrame, held: DataFrame, handle: Callable[[np.ndarray, list[np.ndarray]], list[tuple[int, ...]]], columns: list[str]) -> DataFrame:
-    """(a, b): what `handle` gives for the nodes of each key of rows(key, g, ...), with their sketches held(g, s), which should be dealt by g."""
-    met = rows.join(held, "g").select(*columns, "s").repartition("key").sortWithinPartitions("key")
-    return met.mapInPandas(_each_key(handle, columns, True, ["a", "b"]), "a bigint, b bigint").distinct()
-
-
-def _roots(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(g, root) of all nodes(g)."""
-    return cut(nodes.join(components(edges), F.col("g") == F.col("node"), "left").select("g", F.coalesce("root", "g").alias("root")))
-
-
-def _across_blocks(wide: DataFrame, held: DataFrame, roots: DataFrame) -> DataFrame | None:
-    """Links within keys of wide(key, g), which have more than one block, between nodes that have not the same root yet; None if there are none.
-
-    A key's nodes that are not of its most frequent root are compared with all of the key's nodes, block by block.
-    """
-    of = cut(wide.join(roots, "g"))
-    counts = of.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.sum("c").alias("n"), F.max("c").alias("most"))
-    left = cut(counts.where("most < n"))
-    if left.isEmpty():
-        return None
-    rows = cut(hot_join(of, left.withColumn("_of", F.col("n")), ["key"], "_of"))
-    blocks, parts = F.ceil(F.col("n") / BLOCK).cast("long"), F.ceil((F.col("n") - F.col("most")) / BLOCK).cast("long")
-    turn = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
-    everyone = rows.select("key", "g", "root", F.lit(0).cast("long").alias("new"), F.pmod(F.xxhash64("g"), blocks).alias("i"), turn(parts).alias("j"))
-    others = rows.where("root <> main").select("key", "g", "root", F.lit(1).cast("long").alias("new"), turn(blocks).alias("i"), F.pmod(F.xxhash64("g"), parts).alias("j"))
-    met = everyone.unionByName(others).select(F.xxhash64("key", "i", "j").alias("key"), "g", "root", "new")
-
-    def crossing(rows: np.ndarray, own: list[np.ndarray]) -> list[tuple[int, ...]]:
-        old, out = np.flatnonzero(rows[:, 3] == 0), []
-        for x in np.flatnonzero(rows[:, 3] == 1):
-            rest = old[rows[old, 2] != rows[x, 2]]
-            near = rest[similar(own[x], [own[i] for i in rest])] if len(rest) else rest
-            out += [(int(rows[x, 2]), int(root)) for root in np.unique(rows[near, 2])]
-        return out
-
-    return _compared(met, held, crossing, ["key", "g", "root", "new"])
-
-
-def _near_classes(docs: DataFrame, id_col: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, t, g) of each row, t being a hash of its text and g one of its set of shingles, and (g, root) of each g.
-
-    Rows with equal sets of five-word shingles are one node. Candidates come from what is verified: nodes that share
-    the minima of a band of the shingles' hashes meet, wherever in the text they differ, and link where their sketches
-    are similar by SIMILAR. Keys whose nodes are the same are one key. A key of more than BLOCK nodes is cut into
-    blocks that share its least node; what links blocks beyond that is found by a second pass over them.
-    """
-
-    def each(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            found = [shingle_hashes(t.as_py()) for t in part.column(2)]
-            whole = pa.array([xxhash.xxh64_intdigest(h.tobytes(), SEED) - (1 << 63) for h in found], pa.int64())
-            own = pa.array([least_hashes(h).tobytes() for h in found], pa.binary())
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), whole, own, pa.array([band_keys(h) for h in found], pa.list_(pa.int64()))], ["doc_id", "t", "g", "s", "keys"])
-
-    def forest(rows: np.ndarray, own: list[np.ndarray]) -> list[tuple[int, ...]]:
-        return _forest(rows[:, 1], lambda x, rest: similar(own[x], [own[i] for i in rest]))
-
-    given = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("t"), F.col(text).alias("_text"))
-    prints = table(given.mapInArrow(each, f"doc_id {dict(docs.dtypes)[id_col]}, t bigint, g bigint, s binary, keys array<bigint>"), "prints")
-    nodes = table(prints.groupBy("g").agg(F.any_value("keys").alias("keys"), F.count("*").alias("n")), "nodes")
-    keyed = nodes.select("g", F.explode("keys").alias("key"))
-    stats = cut(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("g").alias("least"), F.max("g").alias("_most"), F.bit_xor("g").alias("_all")).where("n > 1"))
-    alike = stats.select("key", "n", "least", F.xxhash64("n", "least", "_most", "_all").alias("set"), F.col("n").alias("_of"))
-    shared = cut(hot_join(keyed, alike, ["key"], "_of").select(F.col("set").alias("key"), "g", "n", "least").distinct())
-    # sketches of nodes that meet none are told by a bitmap and go before the shuffle; copies of a text become one row in each task before it
-    held = flagged(prints.select("g", "s"), F.col("g"), shared.select(F.col("g").alias("k")).distinct()).where("_maybe").groupBy("g").agg(F.any_value("s").alias("s"))
-    dealt = _in_blocks(shared, F.col("n"))
-    pivots = shared.where((F.col("n") > BLOCK) & (F.col("g") == F.col("least"))).select("key", "g", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / BLOCK).cast("long") - 1)).alias("block"))
-    first = dealt.select("key", "g", "block").unionByName(pivots).distinct().select(F.xxhash64("key", "block").alias("key"), "g")
-    edges = cut(_compared(first, held, forest, ["key", "g"]))
-    roots, wide = _roots(nodes.select("g"), edges), shared.where(F.col("n") > BLOCK).select("key", "g")
-    if not wide.isEmpty() and (more := _across_blocks(wide, held, roots)) is not None:
-        roots = _roots(nodes.select("g"), edges.unionByName(more))
-    return prints.select("doc_id", "t", "g"), roots
-
-
-def _first_of_classes(rows: DataFrame, roots: DataFrame) -> DataFrame:
-    """(g, n, first) of all g: how many of rows(doc_id, t, g) have it, and the first (doc_id, t) of its class, null ids last."""
-    own = rows.groupBy("g").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")).alias("own"), F.count("*").alias("n"))
-    rooted = cut(own.join(roots, "g"))
-    least = cut(rooted.groupBy("root").agg(F.min("own").alias("first"), F.count("*").alias("_of")))
-    return hot_join(rooted, least, ["root"], "_of").select("g", "n", "first")
-
-
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, component_id) of each row: classes of near copies, exact copies included, by their smallest id."""
-    rows, roots = _near_classes(docs, id_col, text)
-    return hot_join(rows, cut(_first_of_classes(rows, roots)), ["g"], "n").select("doc_id", F.col("first.doc_id").alias("component_id"))
-
-
-def one_of_each_class(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs without near copies: of each class its row with the smallest id, then the least hash of the text; all columns stay.
-
-    Rows go by what they are, not by their ids: different texts under one id, and rows with null ids, are judged each by
-    itself. Of rows with equal id and text the first by its other columns stays.
-    """
-    rows, roots = _near_classes(docs, id_col, text)
-    distinct = cut(rows.groupBy("doc_id", "t").agg(F.count("*").alias("n")))
-    firsts = cut(_first_of_classes(rows, roots).select("first.doc_id", "first.t").distinct())
-    same = F.col("_doc").eqNullSafe(F.col("doc_id")) & (F.col("_t") == F.col("t"))
-    is_first = F.col("f.doc_id").eqNullSafe(F.col("d.doc_id")) & (F.col("f.t") == F.col("d.t"))
-    later = cut(distinct.alias("d").join(firsts.alias("f"), is_first, "left_anti").select("doc_id", "t"))
-    given = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).alias("_doc"), F.xxhash64(text).alias("_t"))
-    first = without(given, later, same, F.xxhash64("_doc", "_t"), F.xxhash64("doc_id", "t"))
-    repeated = cut(distinct.alias("d").where("n > 1").join(firsts.alias("f"), is_first, "left_semi").select("doc_id", "t"))
-    if repeated.isEmpty():
-        return first.select("_row.*")
-    few, _ = small(repeated)
-    again = first.join(few, same, "left_semi").groupBy("_doc", "_t").agg(F.min_by("_row", F.to_json("_row")).alias("_row"))
-    return first.join(few, same, "left_anti").select("_row").unionByName(again.select("_row")).select("_row.*")

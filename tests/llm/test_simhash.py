@@ -62,72 +62,6 @@ def test_chains_of_close_fingerprints_link(spark):
     assert len(set(found.values())) <= len(base)
 
 
-def test_near_copies_keep_clean_documents(spark):
-    words = [f"word{i}" for i in range(300)]
-    near = words.copy()
-    near[40] = "changed"
-    rows = [(0, " ".join(words)), (1, " ".join(words)), (2, " ".join(near)), (3, " ".join(f"other{i}" for i in range(300))), (4, None), (5, "")]
-    got = {r.doc_id: r.component_id for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == {0: 0, 1: 0, 2: 0, 3: 3, 4: 4, 5: 4}
-
-
-def test_block_edits_are_found(spark):
-    r = np.random.default_rng(5)
-    pairs = []
-    for n, vocabulary in ((200, 3000), (200, 50_000), (800, 3000), (800, 50_000)):
-        words = lambda k: [f"w{i}" for i in r.integers(0, vocabulary, k)]  # noqa: B023, E731
-        for share in (0.04, 0.08, 0.11, 0.15, 0.19):
-            for edit in ("append", "prepend", "remove", "replace") * 4:
-                base, k = words(n), int(n * share)
-                at = int(r.integers(0, n - k))
-                edited = {"append": base + words(k), "prepend": words(k) + base, "remove": base[:at] + base[at + k :], "replace": base[:at] + words(k // 2) + base[at + k // 2 :]}
-                pairs.append((base, edited[edit]))
-    rows = [(2 * i + j, " ".join(w)) for i, pair in enumerate(pairs) for j, w in enumerate(pair)]
-    got = {x.doc_id: x.component_id for x in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    sets = [[set(simhash.shingles_of([x.encode() for x in w], 5)) for w in pair] for pair in pairs]
-    found = [(len(a & b) / len(a | b), got[2 * i + 1] == 2 * i) for i, (a, b) in enumerate(sets)]
-    assert sum(j >= 0.8 for j, _ in found) > 200
-    assert all(f == (j >= 0.8) for j, f in found)
-    assert all(got[2 * i] == 2 * i for i in range(len(pairs)))
-
-
-def test_keys_of_many_nodes_are_cut_into_blocks(spark, monkeypatch):
-    r = np.random.default_rng(8)
-    texts = []
-    for f in range(3):  # families that drift: neighbours are similar, the ends are not, and all share their first bands now and then
-        words = [f"f{f}w{i}" for i in range(200)]
-        for n in range(70):
-            words[int(r.integers(0, 200))] = f"n{f}_{n}"
-            texts.append(" ".join(words))
-    sets = [set(simhash.shingles_of(simhash.words_of(t), 5)) for t in texts]
-    root = list(range(len(texts)))
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    for i, a in enumerate(sets):
-        for j in range(i):
-            if len(a & sets[j]) >= 0.8 * len(a | sets[j]):
-                root[max(find(i), find(j))] = min(find(i), find(j))
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    for block in (4096, 8):
-        monkeypatch.setattr(simhash, "BLOCK", block)
-        assert {x.doc_id: x.component_id for x in simhash.near_copies(docs).collect()} == {i: find(i) for i in range(len(texts))}
-
-
-def test_links_between_blocks_that_only_the_second_pass_finds(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "BLOCK", 2)
-    sketch = lambda *x: np.array(x, np.uint32).tobytes()
-    held = spark.createDataFrame([(i, sketch(*range(100 * i, 100 * i + 10))) for i in range(6)] + [(6, sketch(*range(10))), (7, sketch(*range(200, 210)))], "g long, s binary")
-    wide = spark.createDataFrame([(1, g) for g in range(8)], "key long, g long")
-    roots = spark.createDataFrame([(g, 0 if g < 2 else g) for g in range(8)], "g long, root long")
-    more = simhash._across_blocks(wide, held, roots)
-    assert {frozenset((e.a, e.b)) for e in more.collect()} == {frozenset((0, 6)), frozenset((2, 7))}
-    assert simhash._across_blocks(wide, held, roots.withColumn("root", F.lit(0).cast("long"))) is None
-
-
 def test_components(spark):
     edges = [(i, i + 1) for i in range(100)] + [(500, 400), (400, 300), (7, 7), (None, 3), (900, 901), (901, 900)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
