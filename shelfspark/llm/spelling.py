@@ -5,10 +5,12 @@ which is walked from its root with the set of active nodes: the nodes whose stri
 or replacement away from the walked one. A child's set comes from its parent's, so words that share a prefix share that
 work, and where the walk ends a word, the words that end in its active nodes are its partners.
 
-Words of at least six code points whose one difference is not among the first three share these three, and the others
-share the last three: so a second trie over reversed words, dealt by their first three, finds the rest. A group that holds
-more than GROUP words is dealt again, by all but a piece of at most PIECE code points in which the difference lies: its
-words then share what is before the piece and what is after it, and a group has as few words as a piece has spellings.
+Of two words at distance one whose shorter one has s code points, the first half of s is common to both, or what s has
+beyond it is common to their ends. So tries are dealt by (s, first half) for words, and by (s, end) for words turned
+round; a word stands in both as the shorter and as the longer one. Which of them reports a pair is decided by how many
+first code points the two share, so each is reported once. A group that holds more than GROUP words is dealt again, by
+all but a piece of at most PIECE code points in which the difference lies: its words then share what is before the piece
+and what is after it, and a group has as few words as a piece has spellings.
 
 Defined results: null texts have no words; a null id counts as an empty one; repeated rows count each, long texts whole;
 no documents give no rows; other columns are not read.
@@ -16,7 +18,6 @@ no documents give no rows; other columns are not read.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -28,46 +29,51 @@ from pyspark.sql import functions as F
 
 from .common import cut, hot_join, small, table
 
-RUN = re.compile("[A-Za-zÀ-ÿ]+")
-_LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+#: A word's letters are single bytes of Latin-1; all others become spaces, and A-Z a-z.
+_LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 0xC0 else 32 for c in range(256))
 #: One run in TYPO_IN loses a code point.
 TYPO_IN = 199
 LEAST_LETTERS, LEAST_N, FORM_TIMES = 6, 5, 5
-#: Code points at the front, or at the end, by which groups are dealt.
-AFFIX = 3
 #: Words of a group beyond which it is dealt again by pieces of PIECE code points.
 GROUP, PIECE = 5000, 3
 #: Words that a task counts before it hands them on.
-_HELD = 200_000
+_HELD = 400_000
 
 
-def typed(doc_id: Any, run: str) -> str:
-    """The lower-cased run, or what is left of it where its hash with the document's id says that a code point is lost."""
-    word = run.translate(_LOWER)
-    h = zlib.crc32(f"{'' if doc_id is None else doc_id}:{word}".encode())
-    return word if h % TYPO_IN else word[: h % len(word)] + word[h % len(word) + 1 :]
+def runs_of(text: str | None) -> list[bytes]:
+    """The lower-cased runs of a text that can give a word, in Latin-1."""
+    return [run for run in (text or "").encode("latin-1", "replace").translate(_LETTERS).split() if len(run) >= LEAST_LETTERS]
+
+
+def typos(doc_id: str | None, runs: Iterable[bytes]) -> list[tuple[bytes, bytes]]:
+    """(run, what is left of it) for the runs that lose a code point: where the hash of the document's id and the run says so."""
+    start, out = zlib.crc32(f"{'' if doc_id is None else doc_id}:".encode()), []
+    for run in runs:
+        h = zlib.crc32(run if run.isascii() else run.decode("latin-1").encode(), start)
+        if not h % TYPO_IN:
+            out.append((run, run[: h % len(run)] + run[h % len(run) + 1 :]))
+    return out
 
 
 def word_counts(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(word, n): the words of whole texts that have LEAST_LETTERS code points and stand LEAST_N times or more."""
 
     def each(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter[str] = Counter()
+        held: Counter[bytes] = Counter()
 
         def flush() -> pa.RecordBatch:
-            words = pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], ["word", "n"])
+            words = {w.decode("latin-1"): n for w, n in held.items() if n and len(w) >= LEAST_LETTERS}
             held.clear()
-            return words
+            return pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], ["word", "n"])
 
         for part in parts:
-            for doc_id, body in zip(part.column(0), part.column(1), strict=True):
-                own: Counter[str] = Counter()
-                for run, n in Counter(RUN.findall(body.as_py() or "")).items():
-                    own[run.translate(_LOWER)] += n
-                for run, n in own.items():
-                    word = typed(doc_id.as_py(), run)
-                    if len(word) >= LEAST_LETTERS:
-                        held[word] += n
+            for doc_id, body in zip(part.column(0).to_pylist(), part.column(1), strict=True):
+                runs = runs_of(body.as_py())
+                held.update(runs)
+                for run, left in typos(doc_id, set(runs)):
+                    n = runs.count(run)
+                    held[run] -= n
+                    held[left] += n
                 if len(held) > _HELD:
                     yield flush()
         yield flush()
@@ -126,47 +132,77 @@ def _step(active: dict[int, tuple[dict[str, Any], int]], c: str) -> dict[int, tu
     return out
 
 
-def _by_pieces(hot: DataFrame) -> DataFrame:
-    """(key, at, word, n) for words of large groups, of those with the key's ends: the pieces [i, i + PIECE) in which a longer word of a pair may differ, and what is around them.
+def shared(a: str, b: str) -> int:
+    """How many first code points two strings have in common."""
+    n = 0
+    for x, y in zip(a, b, strict=False):
+        if x != y:
+            break
+        n += 1
+    return n
+
+
+def _dealt(words: DataFrame) -> DataFrame:
+    """(key, s, at, end, turned, word, n): each word in the groups of its halves. `word` is turned round where `turned` says so, and its first `at` code points are the group's; at `end` begins what the group does not look at."""
+    size, turned = F.length("word"), F.explode(F.array(F.lit(False), F.lit(True))).alias("turned")
+    each = words.select("word", "n", F.explode(F.array(size, size - 1)).alias("s")).select("*", turned)
+    half = F.floor(F.col("s") / 2).cast("int")
+    oriented = each.select("s", "turned", F.when(F.col("turned"), F.col("s") - half).otherwise(half).alias("at"), F.when(F.col("turned"), F.reverse("word")).otherwise(F.col("word")).alias("word"), "n")
+    key = F.concat_ws("|", F.col("turned").cast("string"), F.col("s").cast("string"), F.substring("word", F.lit(1), F.col("at")))
+    return oriented.select(key.alias("key"), "s", "at", (F.col("s") + 1).alias("end"), "turned", "word", "n")
+
 
-    A pair's shorter word has s code points: each word stands for both lengths, and a piece's rest is counted from its end.
-    """
-    size = F.length("word")
-    shorter = F.explode(F.array(size, size - 1)).alias("_s")
-    starts = F.explode(F.sequence(F.lit(0), F.col("_s"), F.lit(PIECE))).alias("_i")
-    turned = hot.select("word", "n", "_turned", F.col("key").alias("_of"), shorter).select("*", starts)
-    tail = F.greatest(F.lit(0), F.col("_s") - F.col("_i") - PIECE)  # what lies after the piece, in words of s code points; one more in a longer one
-    key = F.concat_ws("|", "_of", F.col("_s").cast("string"), F.col("_i").cast("string"), F.substring("word", F.lit(1), F.col("_i")), F.when(tail > 0, F.substring("word", -tail, tail)).otherwise(""))
-    return turned.select(key.alias("key"), F.col("_i").alias("at"), "word", "n")
+def _by_pieces(large: DataFrame) -> DataFrame:
+    """The rows of large groups, dealt again by what lies around each piece of PIECE code points in which two of a group may differ."""
+    pieces = large.select("*", F.explode(F.sequence(F.col("at"), F.col("s"), F.lit(PIECE))).alias("_i"))
+    tail = F.greatest(F.lit(0), F.col("s") - F.col("_i") - PIECE)  # what lies after the piece in words of s code points; one more in a longer one
+    key = F.concat_ws("|", "key", F.col("_i").cast("string"), F.substring("word", F.lit(1), F.col("_i")), F.when(tail > 0, F.substring("word", -tail, tail)).otherwise(""))
+    return pieces.select(key.alias("key"), "s", F.col("_i").alias("at"), (F.col("_i") + PIECE).alias("end"), "turned", "word", "n")
+
+
+def _pairs_of(rows: list[tuple[int, int, int, bool, str, int]]) -> Iterator[tuple[str, str, int]]:
+    """(word, near, near_n) that a group of rows (s, at, end, turned, word, n) has to report."""
+    s, at, end, turned = rows[0][:4]
+    if len(rows) == 1 or min(len(w) for *_, w, _ in rows) > s:
+        return
+    for (a, _), (b, n) in Trie((w[at:], (w, n)) for *_, w, n in rows).pairs():
+        if min(len(a), len(b)) == s and shared(a, b) < end:
+            if not turned:
+                yield a, b, n
+            elif shared(a := a[::-1], b := b[::-1]) < s // 2:
+                yield a, b, n
 
 
 def near_words(words: DataFrame, group: int = GROUP) -> DataFrame:
-    """(word, near, near_n): words(word, n) at distance one, in both directions. Words must have LEAST_LETTERS code points."""
-    dealt = [words.select(F.concat(F.lit(mark), F.substring(w, 1, AFFIX)).alias("key"), w.alias("word"), "n", F.lit(turned).alias("_turned")) for mark, w, turned in (("<", F.col("word"), False), (">", F.reverse("word"), True))]
-    keyed = cut(dealt[0].unionByName(dealt[1]))
-    large = cut(keyed.groupBy("key").agg(F.count("*").alias("_n")).where(F.col("_n") > group))
-    side, _ = small(large)  # a key has AFFIX code points of some 90 letters
-    fine = keyed.join(side, "key", "left_anti").select("key", F.lit(AFFIX).alias("at"), "word", "n", "_turned")
+    """(word, near, near_n): words(word, n) at distance one, in both directions, each once. words is read more than once."""
+    keyed = _dealt(words)
+    large = cut(keyed.groupBy("key").agg(F.count("*").alias("_n")).where(F.col("_n") > group).select("key"))
     if not large.isEmpty():
-        again = keyed.join(side.drop("_n"), "key", "left_semi")
-        fine = fine.unionByName(_by_pieces(again).withColumn("_turned", F.substring("key", 1, 1) == ">"))
+        side, _ = small(large)
+        keyed = keyed.join(side, "key", "left_anti").unionByName(_by_pieces(keyed.join(side, "key", "left_semi")))
 
     def each(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def found(rows: list[tuple[str, int, bool]], at: int) -> pa.RecordBatch:
-            out = [(a, b) for a, b in Trie((w[at:], (w, n, turned)) for w, n, turned in rows).pairs()] if len(rows) > 1 else []
-            turn = lambda x: x[0][::-1] if x[2] else x[0]
-            return pa.RecordBatch.from_arrays([pa.array([turn(a) for a, _ in out], pa.string()), pa.array([turn(b) for _, b in out], pa.string()), pa.array([b[1] for _, b in out], pa.int64())], ["word", "near", "near_n"])
+        key, rows, out = None, [], []
+
+        def flush() -> pa.RecordBatch:
+            found = [pa.array([x[i] for x in out], kind) for i, kind in enumerate((pa.string(), pa.string(), pa.int64()))]
+            out.clear()
+            return pa.RecordBatch.from_arrays(found, ["word", "near", "near_n"])
 
-        key, at, rows = None, 0, []
         for part in parts:
-            for k, i, w, n, turned in zip(*(c.to_pylist() for c in part.columns), strict=True):
+            for k, *row in zip(*(c.to_pylist() for c in part.columns), strict=True):
                 if k != key:
-                    yield found(rows, at)
-                    key, at, rows = k, i, []
-                rows.append((w, n, turned))
-        yield found(rows, at)
+                    if rows:
+                        out += _pairs_of(rows)
+                    if len(out) > 8192:
+                        yield flush()
+                    key, rows = k, []
+                rows.append(row)
+        if rows:
+            out += _pairs_of(rows)
+        yield flush()
 
-    return fine.repartition("key").sortWithinPartitions("key", "word").mapInArrow(each, "word string, near string, near_n bigint").distinct()
+    return keyed.repartition("key").sortWithinPartitions("key", "word").mapInArrow(each, "word string, near string, near_n bigint")
 
 
 def _followed(forms: DataFrame, most_rounds: int = 64) -> DataFrame:
