@@ -92,10 +92,13 @@ def hot_join(rows: DataFrame, side: DataFrame, keys: list[str], n: str, total: i
     """Inner join of rows with side(keys, n, ...), whose keys are unique and whose `n` tells how many of rows have them; n goes.
 
     Keys that hold more than one in HOT of all rows meet theirs in a broadcast of fewer than HOT rows, so that no
-    key fills a task; the others are joined by a shuffle. `total`, the sum of n, is counted where it is not given.
+    key fills a task; the others are joined by a shuffle. `total`, the sum of n, is counted where it is not given; up to
+    BROADCAST_ROWS, which side cannot have more rows than, all of side is broadcast.
     """
     if total is None:
         total = side.agg(F.sum(n)).first()[0] or 0
+    if total <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(side.drop(n)), keys).select(*rows.columns, *[c for c in side.columns if c not in (n, *keys)])
     heavy, others = F.col(n) * HOT > total, [c for c in side.columns if c not in (n, *keys)]
     names = [*rows.columns, *others]
     hot, rest = side.where(heavy).select(*keys, *others, F.lit(True).alias("_hot")), side.where(~heavy).drop(n)

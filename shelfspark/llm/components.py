@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 from .common import cut, hot_join
 
+#: Edges of one partition between rounds, on average: small graphs are few files.
+PART_EDGES = 50_000
+
 
 def _star(edges: DataFrame, large: bool, total: int) -> DataFrame:
     """Links each node's larger (large) or smaller-or-own (small) neighbours to the smallest of its neighbourhood; total: about the number of edges."""
@@ -39,5 +42,5 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if not seen["n"] or (seen["n"], seen["h"]) == state:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
         state = (seen["n"], seen["h"])
-        now = cut(_star(_star(now, True, seen["n"]), False, seen["n"]))
+        now = cut(_star(_star(now, True, seen["n"]), False, seen["n"]).coalesce(1 + seen["n"] // PART_EDGES))
     raise RuntimeError(f"components: not settled after {most_rounds} rounds")

@@ -2,7 +2,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
-from shelfspark.llm import components, simhash
+from shelfspark.llm import common, components, simhash
 
 from .data import SF, documents, empty
 
@@ -68,7 +68,8 @@ def test_components(spark):
     assert got == {**{i: 0 for i in range(1, 101)}, 400: 300, 500: 300, 901: 900}
 
 
-def test_hubs_are_joined_apart(spark):
+def test_hubs_are_joined_apart(spark, monkeypatch):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 10)
     edges = spark.range(1, 5000).select(F.col("id").alias("a"), F.lit(0).cast("long").alias("b")).unionByName(spark.range(6000, 9000).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")).where("a % 3 <> 0"))
     got = {r.node: r.root for r in components.components(edges).collect()}
     assert all(got[i] == 0 for i in range(1, 5000))
