@@ -19,6 +19,11 @@ def clean_history(history: DataFrame) -> DataFrame:
     return history.where((F.col("price") > 0) & (F.col("price") <= MOST_PRICE) & F.col("checked_at").isNotNull())
 
 
+def near_lowest() -> Column:
+    """Whether last_price is within 2 % of min_30d."""
+    return F.coalesce((F.col("last_price") != 0) & (F.col("min_30d") != 0) & (F.col("last_price") <= F.col("min_30d") * 1.02), F.lit(False))
+
+
 def price_insight(history: DataFrame, keys: list[str], as_of: DataFrame | None = None) -> DataFrame:
     """(keys, min_7d, min_30d, min_90d, avg_30d, data_points, last_price, is_near_lowest), one aggregation; windows end at the latest instant of history, or of as_of(as_of)."""
     points = clean_history(history)
@@ -31,7 +36,7 @@ def price_insight(history: DataFrame, keys: list[str], as_of: DataFrame | None =
         F.count("*").alias("data_points"),
         F.min_by("price", F.struct(-micros("checked_at"), F.col("price"))).alias("last_price"),
     )
-    return out.withColumn("is_near_lowest", F.coalesce((F.col("last_price") != 0) & (F.col("min_30d") != 0) & (F.col("last_price") <= F.col("min_30d") * 1.02), F.lit(False)))
+    return out.withColumn("is_near_lowest", near_lowest())
 
 
 def running_low(ticks: DataFrame, key: str, days: int = 7) -> DataFrame:

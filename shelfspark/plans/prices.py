@@ -19,9 +19,12 @@ insight AS (SELECT product_id,
   FROM history, e WHERE price > 0 AND price <= 150000 AND checked_at IS NOT NULL GROUP BY product_id)"""
 
 
-@query("A7_price_insight_asof", INSIGHT + """
+INSIGHT_ASOF = INSIGHT + """
 ==
-SELECT *, coalesce(last_price <> 0 AND min_30d <> 0 AND last_price <= min_30d * 1.02, false) AS is_near_lowest FROM insight""")
+SELECT *, coalesce(last_price <> 0 AND min_30d <> 0 AND last_price <= min_30d * 1.02, false) AS is_near_lowest FROM insight"""
+
+
+@query("A7_price_insight_asof", INSIGHT_ASOF)
 def price_insight_asof(t: Tables) -> DataFrame:
     return insight.price_insight(t.history(), ["product_id"])
 
@@ -68,14 +71,18 @@ def dashboard_counts(t: Tables) -> DataFrame:
     return t.spark.range(1).select(*[s.alias(c) for s, c in scalars])
 
 
-@query("J1_product_list", """
+PRODUCT_LIST = """
 best AS (SELECT product_id, min(price) AS best_price, bool_or(in_stock) AS in_stock, count(*) AS listings FROM listings GROUP BY product_id)
 ==
 SELECT p.product_id, p.name, b.best_price, coalesce(b.in_stock, false) AS in_stock, coalesce(b.listings, 0) AS listings, r.target_price
-FROM products p LEFT JOIN best b USING (product_id) LEFT JOIN (SELECT * FROM rules WHERE enabled) r USING (product_id)""")
+FROM products p LEFT JOIN best b USING (product_id) LEFT JOIN (SELECT * FROM dated_rules WHERE enabled QUALIFY row_number() OVER (PARTITION BY product_id ORDER BY created_at, rule_id) = 1) r USING (product_id)"""
+
+
+@query("J1_product_list", PRODUCT_LIST)
 def product_list(t: Tables) -> DataFrame:
+    """Products with their cheapest listing and the target of their oldest rule that is on."""
     best = t.listings().groupBy("product_id").agg(F.min("price").alias("best_price"), F.bool_or("in_stock").alias("in_stock"), F.count("*").alias("listings"))
-    first_rule = t.rules().where("enabled").groupBy("product_id").agg(F.min_by("target_price", "rule_id").alias("target_price"))
+    first_rule = t.dated_rules().where("enabled").groupBy("product_id").agg(F.min_by("target_price", F.struct("created_at", "rule_id")).alias("target_price"))
     joined = t.products().join(best, "product_id", "left").join(first_rule, "product_id", "left")
     return joined.select("product_id", "name", "best_price", F.coalesce("in_stock", F.lit(False)).alias("in_stock"), F.coalesce("listings", F.lit(0)).alias("listings"), "target_price")
 
@@ -194,7 +201,10 @@ MATCH = """SELECT r.rule_id, r.product_id, l.store_id, l.price, r.target_price{e
 WHERE r.enabled AND r.target_price IS NOT NULL AND CASE WHEN r.rule_size IS NOT NULL THEN l.size = r.rule_size AND l.size_in_stock ELSE l.in_stock END"""
 
 
-@query("J4_rule_matches", MATCH.format(tolerance="1.1", extra=", l.price > r.target_price AS in_tolerance, CASE WHEN r.rule_size IS NOT NULL THEN CAST(r.rule_size AS VARCHAR) ELSE 'Herhangi bir beden' END AS matched_size"))
+MATCHES = MATCH.format(tolerance="1.1", extra=", l.price > r.target_price AS in_tolerance, CASE WHEN r.rule_size IS NOT NULL THEN CAST(r.rule_size AS VARCHAR) ELSE 'Herhangi bir beden' END AS matched_size")
+
+
+@query("J4_rule_matches", MATCHES)
 def rule_matches(t: Tables) -> DataFrame:
     return rules.rule_matches(t.rules(), t.listings()).drop("listing_product_id")
 

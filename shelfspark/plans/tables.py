@@ -116,11 +116,11 @@ def chart_series(t: Tables) -> DataFrame:
     return t.ticks().withColumn("n", F.count("*").over(Window.partitionBy("listing_id"))).where("n >= 2").select("tick_id", "listing_id", "price")
 
 
-@query("W8_last8_messages", """SELECT conv_id, string_agg(role || ':' || left(text, 20), ' | ' ORDER BY turn) AS context FROM (SELECT * FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 8) GROUP BY conv_id""", views=False)
+@query("W8_last8_messages", """SELECT conv_id, string_agg(role || ':' || left(text, 400), ' | ' ORDER BY turn) AS context FROM (SELECT * FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 8) GROUP BY conv_id""", views=False)
 def last8_messages(t: Tables) -> DataFrame:
     newest = Window.partitionBy("conv_id").orderBy(F.desc("turn"))
     last = t.raw("conversations").withColumn("n", F.row_number().over(newest)).where("n <= 8")
-    line = F.struct("turn", F.concat("role", F.lit(":"), F.substring("text", 1, 20)).alias("s"))
+    line = F.struct("turn", F.concat("role", F.lit(":"), F.substring("text", 1, 400)).alias("s"))
     return last.groupBy("conv_id").agg(F.array_sort(F.collect_list(line)).alias("l")).select("conv_id", F.array_join(F.transform("l", lambda x: x["s"]), " | ").alias("context"))
 
 

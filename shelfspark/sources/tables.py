@@ -46,6 +46,13 @@ class Tables:
         p = self.raw("part")
         return p.select(F.col("p_partkey").alias("rule_id"), F.col("p_partkey").alias("product_id"), cents(F.col("p_retailprice") * 0.9).alias("target_price"), F.when(F.col("p_partkey") % 3 != 0, F.col("p_size")).alias("rule_size"), (F.col("p_type") == "ECONOMY").alias("spectrum"), (F.col("p_partkey") % 4 * 12).cast("double").alias("cooldown_hours"), (F.col("p_size") > 3).alias("enabled"))
 
+    def dated_rules(self) -> DataFrame:
+        """The rules with the day they are from, and a second one, older or newer, for every other product."""
+        day = lambda n: F.date_add(F.lit("2024-01-01").cast("date"), n.cast("int")).alias("created_at")
+        p, first = F.col("product_id"), self.rules()
+        second = first.where("product_id % 2 = 0").select((F.col("rule_id") + 10_000_000).alias("rule_id"), *[c for c in first.columns if c not in ("rule_id", "target_price")], cents(F.col("target_price") * 0.8).alias("target_price"), day(p * 3 % 11))
+        return first.select("*", day(p % 7)).unionByName(second)
+
     def alerts(self) -> DataFrame:
         """Purchases as alerts of a rule (user) on a listing (a user's item)."""
         e = self.raw("events").where("event_type = 'purchase'")
@@ -70,6 +77,8 @@ listings AS (SELECT product_id, store_id, checked_at, price, in_stock, size, siz
   QUALIFY row_number() OVER (PARTITION BY product_id, store_id ORDER BY checked_at DESC, l_orderkey DESC, l_linenumber DESC, l_extendedprice DESC, l_quantity DESC, discount DESC, l_tax DESC, price DESC, in_stock DESC, size DESC, size_in_stock DESC) = 1),
 rules AS (SELECT p_partkey AS rule_id, p_partkey AS product_id, floor(p_retailprice * 0.9::DOUBLE * 100 + 0.5) / 100 AS target_price, CASE WHEN p_partkey % 3 <> 0 THEN p_size END AS rule_size, p_type = 'ECONOMY' AS spectrum,
   CAST(p_partkey % 4 * 12 AS DOUBLE) AS cooldown_hours, p_size > 3 AS enabled FROM part),
+dated_rules AS (SELECT *, DATE '2024-01-01' + CAST(product_id % 7 AS INT) AS created_at FROM rules UNION ALL SELECT rule_id + 10000000, product_id, floor(target_price * 0.8::DOUBLE * 100 + 0.5) / 100, rule_size, spectrum, cooldown_hours, enabled, DATE '2024-01-01' + CAST(product_id * 3 % 11 AS INT)
+  FROM rules WHERE product_id % 2 = 0),
 alerts AS (SELECT event_id AS alert_id, user_id AS rule_id, CAST(json_extract_string(props, '$.k') AS INT) % 5 AS listing_id, value, ts AS created_at, event_id % 2 = 0 AS is_read FROM events WHERE event_type = 'purchase'),
 candidates AS (SELECT event_id AS candidate_id, user_id AS rule_id, CAST(json_extract_string(props, '$.k') AS INT) % 5 AS listing_id, ts AS as_of, CAST(user_id % 4 * 12 AS DOUBLE) AS cooldown_hours FROM events WHERE event_type = 'click'),
 ticks AS (SELECT event_id AS tick_id, user_id AS listing_id, value AS price, ts AS checked_at FROM events)

@@ -7,8 +7,6 @@ state goes once the watermark has passed its end.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 from typing import Any
 
@@ -19,6 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..sources.kept import new_folder
+
 DROP = "listing_id long, tick_id long, price double, previous_price double, drop_pct double"
 FIRED = "rule_id long, listing_id int, alert_id long"
 
@@ -71,14 +71,9 @@ def cooled_alerts(alerts: DataFrame, hours: float = 24.0, late: str = "0 seconds
 
 
 def new_folders(spark: SparkSession) -> tuple[str, str]:
-    """A new checkpoint folder and a new output folder, in the folder that the cluster shares; a temporary one is for local masters only."""
-    top = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        top = tempfile.mkdtemp(prefix="shelfspark-stream-")
-    run = uuid.uuid4().hex
-    return f"{top}/stream-{run}/state", f"{top}/stream-{run}/out"
+    """A new checkpoint folder and a new output folder, in the folder that the cluster shares."""
+    run = new_folder(spark, "stream")
+    return f"{run}/state", f"{run}/out"
 
 
 def run_available(stream: DataFrame, checkpoint: str, out: str) -> DataFrame:
