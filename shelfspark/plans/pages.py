@@ -156,11 +156,12 @@ def pages_searched(t: Tables) -> DataFrame:
 
 
 @query("ST2_stream_radar", """
-d AS (SELECT *, lag(price) OVER (PARTITION BY listing_id ORDER BY checked_at, tick_id) AS previous_price FROM ticks)
+d AS (SELECT *, lag(price) OVER w AS previous_price, lag(checked_at) OVER w AS before FROM ticks WINDOW w AS (PARTITION BY listing_id ORDER BY checked_at, tick_id))
 ==
-SELECT tick_id, listing_id, price, previous_price FROM d WHERE previous_price BETWEEN 50 AND 200000 AND previous_price <= price * 5 AND price < previous_price * 0.97""")
+SELECT tick_id, listing_id, price, previous_price FROM d WHERE epoch_us(checked_at) - epoch_us(before) <= 3 * 86400000000 AND previous_price BETWEEN 50 AND 200000 AND previous_price <= price * 5 AND price < previous_price * 0.97""")
 def stream_radar(t: Tables) -> DataFrame:
-    found = radar.run_available(radar.drop_alerts(radar.as_ticks(radar.source(t.spark, t.sf_dir, "events"))), *radar.new_folders(t.spark))
+    """Price drops against a last price of at most three days."""
+    found = radar.run_available(radar.drop_alerts(radar.as_ticks(radar.source(t.spark, t.sf_dir, "events")), keep_days=3), *radar.new_folders(t.spark))
     return found.select("tick_id", "listing_id", "price", "previous_price")
 
 

@@ -31,7 +31,8 @@ def new_folder(spark: SparkSession, name: str) -> str:
 
 def put(rows: DataFrame, path: str, batch: int, by: tuple[str, ...] = ()) -> None:
     """Writes a batch's rows under `path`, in place of those that the same batch wrote before."""
-    rows.withColumn("batch", F.lit(batch).cast("long")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by, "batch").parquet(path)
+    dealt = rows.hint("rebalance", *by) if by else rows  # one file or a few for each partition, a large one split
+    dealt.withColumn("batch", F.lit(batch).cast("long")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by, "batch").parquet(path)
 
 
 def exists(spark: SparkSession, path: str) -> bool:

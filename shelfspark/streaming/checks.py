@@ -61,9 +61,9 @@ class BatchCheck:
         rows = self._read("latest", upto)
         if rows is None:
             return None
-        whole = rows.where(F.col("batch") % WHOLE_EVERY == 0).agg(F.max("batch")).first()[0] or 0
+        last_whole = rows.where("whole = 1").agg(F.max("batch")).first()[0] or 0
         newest = F.max_by(F.struct("*"), "batch").alias("s")
-        return rows.where(F.col("batch") >= whole).groupBy("listing_id").agg(newest).select("s.*").drop("batch")
+        return rows.where(F.col("batch") >= last_whole).groupBy("listing_id").agg(newest).select("s.*").drop("batch", "whole")
 
     def _latest(self, observed: DataFrame, batch: int) -> DataFrame:
         order = F.struct("checked_at", "tie")
@@ -117,7 +117,7 @@ class BatchCheck:
         kept = self.spark.read.parquet(f"{self.path}/observed").where(F.col("batch") == batch).drop("batch")
         self.prices.append(state.history_rows(kept.where("error is null").withColumnRenamed("price", "current_price").withColumns({"confidence": F.lit(None).cast("double"), "stock_count": F.lit(None).cast("int")})), batch)
         self.after("history", batch)
-        put(self._latest(kept, batch), f"{self.path}/latest", batch)
+        put(self._latest(kept, batch).withColumn("whole", F.lit(int(batch % WHOLE_EVERY == 0))), f"{self.path}/latest", batch, ("whole",))
         self.after("latest", batch)
         listings = self.listings(batch)
         touched = kept.select("product_id").distinct()

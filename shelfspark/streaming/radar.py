@@ -1,8 +1,9 @@
 """Price radar and alert cooldown over streams of observations.
 
-Both keep one small value for each key, sort a micro-batch by (instant, id) within the key, and give over a whole
-stream what the batch operators give over the whole table, as long as files come in the order of time. A key's cooldown
-state goes once the watermark has passed its end.
+Both keep one small value for each key in the RocksDB state store, order a micro-batch by (instant, id) within the key, of
+which they hold a few numbers a row, and give over a whole stream what the batch operators give over the whole table, as
+long as files come in the order of time. A timer at the instant at which a key's value stops to matter takes it away, once
+the watermark has passed.
 """
 
 from __future__ import annotations
@@ -14,33 +15,93 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from ..sources.kept import new_folder
 
 DROP = "listing_id long, tick_id long, price double, previous_price double, drop_pct double"
 FIRED = "rule_id long, listing_id int, alert_id long"
+#: Where streams keep the state of their keys.
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_DAY_US = 86_400_000_000
 
 
-def drop_alerts(ticks: DataFrame, least: float = 50.0, most: float = 200_000.0) -> DataFrame:
-    """Ticks at least 3 % below the listing's last one, which must be plausible; the last price of each listing is state."""
+class _Expiring(StatefulProcessor):
+    """One value for each key, with the instant (ms) of the timer that ends it; rows of a batch come in order, as arrays of their columns."""
 
-    def each(key: tuple[Any, ...], parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(parts)).sort_values(["checked_at", "tick_id"])
-        before = rows["price"].shift(1)
-        if state.exists:
-            before.iloc[0] = state.get[0]
-        state.update((float(rows["price"].iloc[-1]),))
-        fell = before.between(least, most) & (before <= rows["price"] * 5) & (rows["price"] < before * 0.97)
-        out = rows[fell].assign(listing_id=key[0], previous_price=before[fell])
-        out["drop_pct"] = ((out["previous_price"] - out["price"]) / out["previous_price"] * 100).map(np.rint)
-        yield out[["listing_id", "tick_id", "price", "previous_price", "drop_pct"]]
+    value = ""
+    columns: tuple[str, ...] = ()
 
-    return ticks.groupBy("listing_id").applyInPandasWithState(each, DROP, "last double", "append", GroupStateTimeout.NoTimeout)
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.state = handle, handle.getValueState("value", f"{self.value}, timer_ms long")
 
+    def ordered(self, rows: Iterator[pd.DataFrame], instant: str, number: str) -> list[np.ndarray]:
+        """Columns of all chunks, instants as microseconds, by (instant, number)."""
+        chunks = [[part[instant].to_numpy("datetime64[us]").view(np.int64), *[part[c].to_numpy() for c in (number, *self.columns)]] for part in rows]
+        whole = [np.concatenate(c) for c in zip(*chunks, strict=True)]
+        order = np.lexsort((whole[1], whole[0]))
+        return [c[order] for c in whole]
 
-def cooled_alerts(alerts: DataFrame, hours: float = 24.0, late: str = "0 seconds") -> DataFrame:
+    def keep(self, old: tuple[Any, ...] | None, value: tuple[Any, ...], until_us: int, timers: Any) -> None:
+        until = max(until_us // 1000, timers.getCurrentWatermarkInMs()) + 1
+        if old is None or old[-1] != until:
+            if old is not None:
+                self.handle.deleteTimer(old[-1])
+            self.handle.registerTimer(until)
+        self.state.update((*value, until))
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        self.state.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+class _Drops(_Expiring):
+    value, columns = "price double, at_us long", ("price",)
+
+    def __init__(self, least: float, most: float, keep_days: int) -> None:
+        self.least, self.most, self.keep_us = least, most, keep_days * _DAY_US
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        at, ticks, prices = self.ordered(rows, "checked_at", "tick_id")
+        old = self.state.get() if self.state.exists() else None
+        prices = prices.astype(np.float64)
+        last = np.nan if old is None or old[0] is None else old[0]
+        before = np.concatenate([[last], prices[:-1]])
+        since = at - np.concatenate([[at[0] if old is None else old[1]], at[:-1]])
+        fell = (before >= self.least) & (before <= self.most) & (before <= prices * 5) & (prices < before * 0.97) & (since <= self.keep_us)
+        self.keep(old, (None if np.isnan(prices[-1]) else float(prices[-1]), int(at[-1])), int(at[-1]) + self.keep_us, timerValues)
+        yield pd.DataFrame({"listing_id": key[0], "tick_id": ticks[fell], "price": prices[fell], "previous_price": before[fell], "drop_pct": np.rint((before - prices)[fell] / before[fell] * 100)})
+
+
+class _Cooled(_Expiring):
+    value, columns = "last_us long, longest double", ("wait_hours",)
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        at, alerts, hours = self.ordered(rows, "created_at", "alert_id")
+        old = self.state.get() if self.state.exists() else None
+        last, longest, fired = (None, 0.0, []) if old is None else (old[0], old[1], [])
+        for now, alert, wait in zip(at.tolist(), alerts.tolist(), hours.tolist(), strict=True):
+            longest = max(longest, wait)
+            if last is None or now - last >= wait * 3_600_000_000:
+                last = now
+                fired.append(alert)
+        self.keep(old, (last, longest), last + int(longest * 3_600_000_000), timerValues)
+        yield pd.DataFrame({"rule_id": key[0], "listing_id": key[1], "alert_id": fired})
+
+
+def drop_alerts(ticks: DataFrame, least: float = 50.0, most: float = 200_000.0, keep_days: int = 365, late: str = "1 hour") -> DataFrame:
+    """Ticks at least 3 % below the listing's last one, which must be plausible and at most `keep_days` old; a listing's last price goes when it is older than that.
+
+    Ticks that come later than `late` after the latest one count for nothing.
+    """
+    timed = ticks.withColumn("checked_at", F.col("checked_at").cast("timestamp")).withWatermark("checked_at", late)
+    return timed.groupBy("listing_id").transformWithStateInPandas(_Drops(least, most, keep_days), DROP, "Append", "EventTime")
+
+
+def cooled_alerts(alerts: DataFrame, hours: float = 24.0, late: str = "1 hour") -> DataFrame:
     """Alerts of (rule, listing) that come at least their cooldown after the last one that was let through, which is state.
 
     The cooldown is the alert's own cooldown_hours where there is such a column and it is neither 0 nor null, else
@@ -48,26 +109,8 @@ def cooled_alerts(alerts: DataFrame, hours: float = 24.0, late: str = "0 seconds
     latest alert, is past it.
     """
     own = F.coalesce(F.nullif(F.col("cooldown_hours"), F.lit(0.0)), F.lit(hours)) if "cooldown_hours" in alerts.columns else F.lit(hours)
-
-    def each(key: tuple[Any, ...], parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(parts)).sort_values(["created_at", "alert_id"])
-        last, longest = (pd.Timestamp(state.get[0], unit="us"), state.get[1]) if state.exists else (None, 0.0)
-        fired = []
-        for at, alert, wait in zip(rows["created_at"].dt.tz_localize(None), rows["alert_id"], rows["_hours"], strict=True):
-            longest = max(longest, wait)
-            if last is None or at - last >= pd.Timedelta(hours=wait):
-                last = at
-                fired.append(alert)
-        state.update((int(last.value // 1000), longest))
-        end = int(last.value // 1_000_000 + longest * 3_600_000) + 1
-        state.setTimeoutTimestamp(max(end, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"rule_id": key[0], "listing_id": key[1], "alert_id": fired})
-
-    timed = alerts.withColumn("created_at", F.col("created_at").cast("timestamp")).withColumn("_hours", own).withWatermark("created_at", late)
-    return timed.groupBy("rule_id", "listing_id").applyInPandasWithState(each, FIRED, "last_us long, longest double", "append", GroupStateTimeout.EventTimeTimeout)
+    timed = alerts.withColumn("created_at", F.col("created_at").cast("timestamp")).withColumn("wait_hours", own).withWatermark("created_at", late)
+    return timed.groupBy("rule_id", "listing_id").transformWithStateInPandas(_Cooled(), FIRED, "Append", "EventTime")
 
 
 def new_folders(spark: SparkSession) -> tuple[str, str]:
@@ -84,6 +127,7 @@ def run_available(stream: DataFrame, checkpoint: str, out: str) -> DataFrame:
 
 def start(stream: DataFrame, checkpoint: str, out: str, every: str | None = None) -> StreamingQuery:
     """Starts a stream to Parquet files under `out`: over all that is there, or again and again at an interval such as "30 minutes"."""
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     writer = stream.writeStream.format("parquet").option("checkpointLocation", checkpoint).option("path", out).outputMode("append")
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
