@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, new_path, small
+from .common import cut, hot_join, new_path, small
 
 CRLF = "\r\n"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -73,8 +73,8 @@ def plan_records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     it are broadcast if they are few, so that bodies stay where they were read; else bodies are shuffled once.
     """
     slim = cut(_digested(pages))
-    largest = slim.where(F.col("payload_bytes") >= min_bytes).groupBy("digest", "payload_bytes").agg(F.max("page_id").alias("_last"))
-    older = slim.join(largest, ["digest", "payload_bytes"]).where(F.col("page_id") < F.col("_last")).select("page_id", "digest", F.col("_last").alias("refers_to")).distinct()
+    largest = slim.where(F.col("payload_bytes") >= min_bytes).groupBy("digest", "payload_bytes").agg(F.max("page_id").alias("_last"), F.count("*").alias("_n"))
+    older = hot_join(slim, largest.where("_n > 1"), ["digest", "payload_bytes"], "_n").where(F.col("page_id") < F.col("_last")).select("page_id", "digest", F.col("_last").alias("refers_to")).distinct()
     side, _ = small(cut(older))
     return _digested(pages, "url", "body").join(side, ["page_id", "digest"], "left").withColumn("record_type", F.when(F.col("refers_to").isNull(), "response").otherwise("revisit"))
 
@@ -265,7 +265,8 @@ def check_revisits(entries: DataFrame) -> None:
     """Raises ValueError if a revisit's response, with the same digest and length, is not among the entries."""
     same = ["page_id", "payload_digest", "payload_bytes"]
     responses = entries.where("record_type = 'response'").select(*same)
-    if not entries.where("record_type = 'revisit'").select(F.col("refers_to").alias("page_id"), *same[1:]).join(responses, same, "left_anti").isEmpty():
+    # equal revisits are one before they meet their response
+    if not entries.where("record_type = 'revisit'").select(F.col("refers_to").alias("page_id"), *same[1:]).distinct().join(responses, same, "left_anti").isEmpty():
         raise ValueError("a revisit refers to a response that is not in the archives")
 
 

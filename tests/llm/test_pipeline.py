@@ -105,7 +105,7 @@ def test_contaminated_rows_go_and_no_others(spark, monkeypatch, most):
     bad = docs.limit(1).select(*[F.lit(" ".join(["some", "words", *passage, "more"])).alias(c) if c == "text" else F.lit(None).cast(t).alias(c) if c == "doc_id" else c for c, t in docs.dtypes])
     bad = bad.unionByName(bad.withColumn("doc_id", F.lit(9005).cast("long")))
     bench = spark.createDataFrame([(1, " ".join(passage)), (2, "w1"), (3, None)], "item_id long, text string")
-    kept = decontam.clean(docs.unionByName(bad), bench)
+    kept = decontam.clean(docs.unionByName(bad), bench, 4)
     same = lambda df: Counter(map(str, df.drop("g").collect()))
     assert kept.columns == docs.columns and same(kept) == same(docs)
 

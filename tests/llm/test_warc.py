@@ -102,3 +102,12 @@ def test_changed_bytes_are_noticed(spark, tmp_path):
     warc.check_revisits(entries)
     with pytest.raises(ValueError, match="not in the archives"):
         warc.check_revisits(entries.where("page_id <> 7"))
+
+
+def test_a_payload_that_most_pages_share(spark, monkeypatch):
+    """Nine in ten pages are empty: their digest meets the others in a broadcast, at any size."""
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 10)
+    rows = [(i, f"http://h{i % 7}.example/{i}", None if i % 2 else "") for i in range(900)] + [(i, f"http://x.example/{i}", f"<p>{i // 3}</p>") for i in range(900, 1000)]
+    planned = warc.plan_records(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.refers_to for r in planned if r.page_id < 900} == {**{i: 899 for i in range(899)}, 899: None}
+    assert {r.page_id: r.refers_to for r in planned if r.page_id >= 900} == {i: None if i // 3 != (i + 1) // 3 or i == 999 else min(i // 3 * 3 + 2, 999) for i in range(900, 1000)}
