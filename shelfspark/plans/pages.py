@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import fuzzy, offers, text
+from ..functions import offers, text
+from ..operators import search
+from ..sources.kept import new_folder
 from ..sources.tables import Tables
 from ..streaming import radar
 from .registry import query
@@ -89,23 +91,53 @@ def search_pages(t: Tables) -> DataFrame:
     return offers.search_pages(pages, "name", {"": (("shop.example",), None)})
 
 
+ASKED = "small red widget"
+
+#: Names with their score against ASKED: the longest common subsequence is counted by one bit row, a character a step.
+SCORED = """
+f AS (SELECT name, list_sort(list_distinct(string_split(lower(trim(name)), ' '))) AS w FROM (SELECT DISTINCT name FROM products)),
+g AS (SELECT name, list_filter(['red', 'small', 'widget'], lambda x: list_contains(w, x)) AS b, list_filter(['red', 'small', 'widget'], lambda x: NOT list_contains(w, x)) AS l, list_filter(w, lambda x: NOT list_contains(['red', 'small', 'widget'], x)) AS r FROM f),
+h AS (SELECT name, array_to_string(b, ' ') AS base, array_to_string(b || l, ' ') AS one, array_to_string(b || r, ' ') AS two, len(b) > 0 AND (len(l) = 0 OR len(r) = 0) AS whole FROM g),
+c AS (SELECT name, one, two, 0 AS i, (1::BIGINT << len(one)) - 1 AS v FROM h
+  UNION ALL SELECT name, one, two, i + 1, ((v + (v & m)) | (v & ~m)) & ((1::BIGINT << len(one)) - 1)
+  FROM (SELECT *, CAST(list_sum(list_transform(range(len(one)), lambda k: CASE WHEN substr(one, k + 1, 1) = substr(two, i + 1, 1) THEN 1::BIGINT << k ELSE 0 END)) AS BIGINT) AS m FROM c WHERE i < len(two))),
+k AS (SELECT h.name, CAST(CASE WHEN whole THEN 100 ELSE round_even(greatest(200::DOUBLE * (len(h.one) - bit_count(v)) / (len(h.one) + len(h.two)),
+  CASE WHEN base <> '' THEN 200::DOUBLE * len(base) / (len(base) + len(h.one)) END, CASE WHEN base <> '' THEN 200::DOUBLE * len(base) / (len(base) + len(h.two)) END), 0) END AS INT) AS score
+  FROM h JOIN c ON c.name = h.name AND c.i = len(c.two)),
+s AS (SELECT store_id, product_id, p.name, l.price, score FROM listings l JOIN products p USING (product_id) JOIN k ON k.name = p.name WHERE score >= 50)"""
+
+
 def _scored(t: Tables) -> DataFrame:
-    """Names in each store with their score against one query; a name is scored once, however many products bear it."""
-    names = t.products().select("name").distinct().withColumn("score", fuzzy.match_score(F.col("name"), F.lit("small red widget")))
+    """Listings whose names score 50 or more against one query; a name is scored once, however many products bear it."""
+    found = search.matches(t.products(), ASKED, 50)
     listed = t.listings().join(t.products().select("product_id", "name"), "product_id")
-    return listed.join(names, "name").select("store_id", "product_id", "name", "price", "score")
+    return listed.join(found, "name").select("store_id", "product_id", "name", "price", "score")
 
 
-@query("FN7_search_scored")
+@query("FN7_search_scored", SCORED + """
+==
+SELECT * FROM s""")
 def search_scored(t: Tables) -> DataFrame:
-    return _scored(t).where("score >= 50")
+    return _scored(t)
 
 
-@query("W6_search_topk_per_store")
+@query("F18_index_search", SCORED + """
+==
+SELECT product_id, score FROM products p JOIN k USING (name) WHERE score >= 45""")
+def index_search(t: Tables) -> DataFrame:
+    """Products whose names score 45 or more, found in a kept index of all names."""
+    found = search.NameIndex(t.spark, new_folder(t.spark, "names")).write(t.products()).search(ASKED, 45)
+    return t.products().select("product_id", "name").join(found, "name").select("product_id", "score")
+
+
+@query("W6_search_topk_per_store", SCORED + """,
+o AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY store_id, name ORDER BY score DESC, price, product_id) = 1)
+==
+SELECT *, CAST(row_number() OVER (PARTITION BY store_id ORDER BY score DESC, price, product_id) AS INT) AS place FROM o QUALIFY place <= 6""")
 def search_topk(t: Tables) -> DataFrame:
     best = Window.partitionBy("store_id").orderBy(F.desc("score"), "price", "product_id")
     first = Window.partitionBy("store_id", "name").orderBy(F.desc("score"), "price", "product_id")
-    once = _scored(t).where("score >= 50").withColumn("n", F.row_number().over(first)).where("n = 1")
+    once = _scored(t).withColumn("n", F.row_number().over(first)).where("n = 1")
     return once.withColumn("place", F.row_number().over(best)).where("place <= 6").drop("n")
 
 
