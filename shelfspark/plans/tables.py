@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import state
+from ..operators import hot, insight, state
 from ..sources.tables import Tables
 from .registry import query
 
@@ -103,7 +103,7 @@ def oldest_history(t: Tables) -> DataFrame:
 def best_price_nulls_last(t: Tables) -> DataFrame:
     """Each product's place among those of its brand, products without a price last."""
     p = t.products().select("product_id", "brand", F.when(F.col("product_id") % 9 != 0, F.col("label_price")).alias("b"))
-    return p.select("product_id", F.row_number().over(Window.partitionBy("brand").orderBy(F.asc_nulls_last("b"), "product_id")).cast("long").alias("place"))
+    return hot.placed(p, "brand", "b", "product_id", 10, "place").select("product_id", "place")
 
 
 @query("W5_latest_run", "SELECT o_orderpriority AS \"trigger\", first(o_orderkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS run FROM orders GROUP BY 1", views=False)
@@ -113,7 +113,7 @@ def latest_run(t: Tables) -> DataFrame:
 
 @query("W9_chart_series", "SELECT tick_id, listing_id, price FROM ticks QUALIFY count(*) OVER (PARTITION BY listing_id) >= 2")
 def chart_series(t: Tables) -> DataFrame:
-    return t.ticks().withColumn("n", F.count("*").over(Window.partitionBy("listing_id"))).where("n >= 2").select("tick_id", "listing_id", "price")
+    return insight.series_of_two(t.ticks(), "listing_id").select("tick_id", "listing_id", "price")
 
 
 @query("W8_last8_messages", """SELECT conv_id, string_agg(role || ':' || left(text, 400), ' | ' ORDER BY turn) AS context FROM (SELECT * FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 8) GROUP BY conv_id""", views=False)
