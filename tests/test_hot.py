@@ -71,8 +71,9 @@ def test_a_hot_listing_is_many_tasks(spark, ticks):
         spark.conf.set("spark.sql.adaptive.enabled", "false")
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
         one = ticks.drop("_own").where("listing_id = 1").cache()
-        for found in (hot.with_previous(one, "listing_id", ["checked_at", "tick_id"], "price", "p"), hot.trailing_low(one, "listing_id", "checked_at", "price", 7), hot.placed(one, "listing_id", "price", "tick_id", 50, "p")):
-            sizes = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+        made = ((hot.with_previous(one, "listing_id", ["checked_at", "tick_id"], "price", "p"), "p"), (hot.trailing_low(one, "listing_id", "checked_at", "price", 7), "low"), (hot.placed(one, "listing_id", "price", "tick_id", 50, "p"), "p"))
+        for found, column in made:  # the column is asked for, so that its window stays in the plan
+            sizes = [r["n"] for r in found.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n"), F.max(column)).collect()]
             assert max(sizes) * 3 < sum(sizes) and len(sizes) > 10
     finally:
         for c, v in kept.items():
