@@ -74,7 +74,15 @@ def family_key(name: Column) -> Column:
 
 
 def fold_turkish(text: Column) -> Column:
-    return F.translate(F.lower(text), TURKISH, FOLDED)
+    """Trimmed, in lower case and without Turkish letters; empty for null."""
+    return F.translate(F.lower(F.trim(F.coalesce(text, F.lit("")))), TURKISH, FOLDED)
+
+
+def size_list(raw: Column) -> Column:
+    """The sizes of a JSON list of (name, size, in_stock); an empty list for null, empty or broken text and for anything that isn't a list."""
+    entry = "array<struct<name:string,size:string,in_stock:boolean>>"
+    listed = F.when(F.startswith(F.ltrim(raw), F.lit("[")), F.from_json(raw, entry))
+    return F.coalesce(listed, F.array().cast(entry))
 
 
 def normalize_query(text: Column) -> Column:

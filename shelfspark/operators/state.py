@@ -111,13 +111,16 @@ def outbox(alerts: DataFrame, enabled: Column, token: Column, chat: Column) -> D
 
 
 def manual_prices(listings: DataFrame, entered: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Listings with the prices entered(id, price, at) by hand, and the history rows for them; prices of 0 or less are refused. Sizes and stock stay."""
+    """Listings with the prices entered(id, price, at) by hand, and the history rows for them; prices of 0 or less are refused. Sizes and stock stay.
+
+    Of several prices for one listing the latest counts, the highest of one instant; all are history. Prices for unknown listings count for nothing.
+    """
     valid = entered.where("price > 0").select("id", F.col("price").alias("_price"), F.col("at").alias("_at"))
-    joined = listings.join(valid, "id", "left")
-    new = F.col("_price").isNotNull()
-    put = {"last_price": F.coalesce("_price", "last_price"), "last_price_source": F.when(new, "manual").otherwise(F.col("last_price_source")), "last_confidence": F.when(new, 0.99).otherwise(F.col("last_confidence")), "last_checked_at": F.coalesce("_at", "last_checked_at")}
-    history = joined.where(new).select(F.col("id").alias("listing_id"), "product_id", F.col("_price").alias("price"), F.lit("manual").alias("price_source"), F.lit(0.99).alias("confidence"), F.col("_at").alias("checked_at"))
-    return joined.withColumns(put).drop("_price", "_at"), history
+    last = valid.groupBy("id").agg(F.max(F.struct("_at", "_price")).alias("_e"))
+    joined = listings.join(last, "id", "left").select(*listings.columns, F.col("_e").isNotNull().alias("_new"), "_e._at", "_e._price")
+    put = {"last_price": F.coalesce("_price", "last_price"), "last_price_source": F.when(F.col("_new"), "manual").otherwise(F.col("last_price_source")), "last_confidence": F.when(F.col("_new"), 0.99).otherwise(F.col("last_confidence")), "last_checked_at": F.coalesce("_at", "last_checked_at")}
+    history = listings.select("id", "product_id").join(valid, "id").select(F.col("id").alias("listing_id"), "product_id", F.col("_price").alias("price"), F.lit("manual").alias("price_source"), F.lit(0.99).alias("confidence"), F.col("_at").alias("checked_at"))
+    return joined.withColumns(put).drop("_price", "_at", "_new"), history
 
 
 def history_rows(checked: DataFrame) -> DataFrame:

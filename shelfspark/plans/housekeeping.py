@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import offers, text
 from ..operators import catalog, rules, state
-from ..sources.tables import Tables
+from ..sources.tables import Tables, cents
 from .alerts import LISTED, whole_listings, whole_rules
 from .registry import query
 from .texts import FAMILY, HOST
@@ -97,3 +97,58 @@ def own_shops(t: Tables) -> DataFrame:
     """Shops that are nothing but a name and domains."""
     known = catalog.with_own(("Org", ["example.org"]), ("Net", ["example.net", "m.th"]))
     return catalog.route(t.raw("pages").select("page_id", text.url_host(F.col("url")).alias("host")), known).select("page_id", "store")
+
+
+@query("SNK15_manual_prices", """
+e AS (SELECT product_id, store_id, product_id * 100000 + store_id AS id, floor((price - 900) * 100 + 0.5) / 100 AS entered, checked_at AS said_at FROM history WHERE discount >= 0.09),
+v AS (SELECT *, count(*) OVER (PARTITION BY id) AS entries FROM e WHERE entered > 0 QUALIFY row_number() OVER (PARTITION BY id ORDER BY said_at DESC, entered DESC) = 1)
+==
+SELECT l.product_id * 100000 + l.store_id AS id, coalesce(v.entered, l.price) AS last_price, CASE WHEN v.id IS NULL THEN 'shelf' ELSE 'manual' END AS last_price_source, CASE WHEN v.id IS NULL THEN 0.5::DOUBLE ELSE 0.99::DOUBLE END AS last_confidence,
+  coalesce(v.said_at, l.checked_at) AS last_checked_at, l.size, coalesce(v.entries, 0) AS entries FROM listings l LEFT JOIN v ON v.id = l.product_id * 100000 + l.store_id""")
+def manual_prices(t: Tables) -> DataFrame:
+    """Listings after prices were entered by hand, some of them refused and some listings' more than once, with the number of history rows of each."""
+    number = (F.col("product_id") * 100_000 + F.col("store_id")).alias("id")
+    listed = t.listings().select(number, "product_id", F.col("price").alias("last_price"), F.lit("shelf").alias("last_price_source"), F.lit(0.5).alias("last_confidence"), F.col("checked_at").alias("last_checked_at"), "size")
+    entered = t.history().where("discount >= 0.09").select(number, cents(F.col("price") - 900).alias("price"), F.col("checked_at").alias("at"))
+    put, rows = state.manual_prices(listed, entered)
+    entries = rows.groupBy(F.col("listing_id").alias("id")).agg(F.count("*").alias("entries"))
+    return put.join(entries, "id", "left").select("id", "last_price", "last_price_source", "last_confidence", "last_checked_at", "size", F.coalesce("entries", F.lit(0)).alias("entries"))
+
+
+@query("SNK4_image_fill", """
+o AS (SELECT product_id, max({'at': checked_at, 'image': 'img-' || store_id}).image AS image FROM history GROUP BY 1)
+==
+SELECT p.product_id, CASE WHEN p.product_id % 3 = 2 THEN 'own' ELSE coalesce(o.image, CASE WHEN p.product_id % 3 = 1 THEN '' END) END AS image FROM products p LEFT JOIN o USING (product_id)""")
+def image_fill(t: Tables) -> DataFrame:
+    """Products whose image is null or empty take the newest observed one; an image that is there stays."""
+    products = t.products().select("product_id", F.when(F.col("product_id") % 3 == 1, "").when(F.col("product_id") % 3 == 2, "own").alias("image"), F.lit(None).cast(t.history().schema["checked_at"].dataType).alias("at"))
+    seen = t.history().select("product_id", F.col("checked_at").alias("at"), F.concat(F.lit("img-"), F.col("store_id")).alias("image"))
+    return state.upsert_latest(products, seen, "product_id", "at", keep_if_set=("image",)).select("product_id", "image")
+
+
+@query("FN29_profile_texts", """SELECT c_custkey, CASE WHEN c_acctbal >= 0 OR c_custkey % 2 = 0 THEN chr(10) || chr(10) || 'Kullanici profili:' || chr(10) ELSE '' END
+  || CASE WHEN c_custkey % 2 = 0 THEN 'Ayakkabi numarasi: ' || c_nationkey ELSE '' END || CASE WHEN c_custkey % 2 = 0 AND c_acctbal >= 0 THEN chr(10) ELSE '' END || CASE WHEN c_acctbal >= 0 THEN 'Kullanim amaci: ' || c_mktsegment ELSE '' END AS said FROM customer""", views=False)
+def profile_texts(t: Tables) -> DataFrame:
+    """Customers as profiles: every second one has a size, those not in debt a use; a field that is null or empty has no line."""
+    fields = {"weight": F.lit(None).cast("string"), "shoe_size": F.when(F.col("c_custkey") % 2 == 0, F.col("c_nationkey").cast("string")), "usage": F.when(F.col("c_acctbal") >= 0, F.col("c_mktsegment")).otherwise("")}
+    return t.raw("customer").select("c_custkey", text.profile_text(fields).alias("said"))
+
+
+@query("FN31_folded_texts", f"""SELECT doc_id, translate(lower(trim(coalesce(translate(text, 'cgiosuCGOSUI', 'çğıöşüÇĞÖŞÜI'), ''))), '{text.TURKISH}', '{text.FOLDED}') AS folded FROM documents""", views=False)
+def folded_texts(t: Tables) -> DataFrame:
+    """Whole texts, written with Turkish letters, folded back. Without a capital dotted I, which engines lower differently."""
+    turkish = F.translate("text", "cgiosuCGOSUI", "çğıöşüÇĞÖŞÜI")
+    return t.raw("documents").select("doc_id", text.fold_turkish(turkish).alias("folded"))
+
+
+@query("FN26_size_lists", """
+r AS (SELECT product_id, store_id, size, size_in_stock, (product_id + store_id) % 5 AS way FROM listings)
+==
+SELECT product_id, store_id, CAST(CASE way WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END AS INT) AS sizes, CASE WHEN way < 2 THEN CAST(size AS VARCHAR) END AS first_size, CASE WHEN way < 2 THEN size_in_stock END AS first_in_stock FROM r""")
+def size_lists(t: Tables) -> DataFrame:
+    """Saved JSON size lists of all listings, read back: some are broken, empty or no lists, and count as lists of nothing."""
+    entry = F.format_string('{"name":"%s","in_stock":%s}', F.col("size").cast("string"), F.col("size_in_stock").cast("string"))
+    way = (F.col("product_id") + F.col("store_id")) % 5
+    raw = F.when(way == 0, F.concat(F.lit(" ["), entry, F.lit(',{"name":"x"}]'))).when(way == 1, F.concat(F.lit("["), entry, F.lit("]"))).when(way == 2, F.concat(F.lit("["), entry)).when(way == 3, entry)
+    read = text.size_list(raw)
+    return t.listings().select("product_id", "store_id", F.size(read).alias("sizes"), F.get(read, F.lit(0))["name"].alias("first_size"), F.get(read, F.lit(0))["in_stock"].alias("first_in_stock"))

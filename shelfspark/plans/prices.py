@@ -111,8 +111,10 @@ def strictest_rule(t: Tables) -> DataFrame:
     return t.rules().where("enabled").join(t.products(), "product_id").groupBy("brand").agg(first).select("brand", "r.*")
 
 
-def scored(t: Tables) -> DataFrame:
-    """Every active product's best listing with its rule, insight, sizes and one buyer's profile, scored."""
+def scored(t: Tables, profile: DataFrame | None = None) -> DataFrame:
+    """Every active product's best listing with its rule, insight, sizes and one buyer's profile, scored: that of the table profile(shoe_size, use), which has a row at most, or a fixed one."""
+    own = F.lit(" 42 ") if profile is None else profile.select("shoe_size").scalar()
+    use = F.lit(True) if profile is None else profile.select("use").scalar()
     sizes = t.history().groupBy("product_id", F.col("size").cast("string").alias("size")).agg(F.bool_or("size_in_stock").alias("in_stock")).groupBy("product_id").agg(F.collect_list(F.struct("size", "in_stock")).alias("sizes"))
     trailing = insight.price_insight(t.history(), ["product_id"])
     best = best_listing(t).withColumnRenamed("price", "best_price").withColumnRenamed("in_stock", "last_in_stock")
@@ -123,7 +125,7 @@ def scored(t: Tables) -> DataFrame:
     return score.buy_score(p.select(
         "product_id", "kind", F.col("best_price").alias("last_price"), F.col("label_price").alias("last_old_price"), F.when(F.col("product_id") % 8 == 0, F.col("best_price")).alias("last_cart_price"),
         source.alias("last_price_source"), F.when(F.col("product_id") % 50 == 0, "403").alias("last_error"), "last_in_stock", F.when(F.col("product_id") % 5 != 0, F.col("sizes")).alias("sizes"), "has_rule", "target_price", "rule_size",
-        F.lit(" 42 ").alias("profile_size"), F.lit(True).alias("profile_use"), near.alias("is_near_lowest"), F.coalesce("data_points", F.lit(0)).alias("data_points"), "min_30d",
+        own.alias("profile_size"), use.alias("profile_use"), near.alias("is_near_lowest"), F.coalesce("data_points", F.lit(0)).alias("data_points"), "min_30d",
     ))
 
 
@@ -153,6 +155,16 @@ def buy_score(t: Tables) -> DataFrame:
     return scored(t).select("product_id", "price_score", "stock_score", "profile_score", "trust_score", "score", "decision")
 
 
+_BUYER = "(SELECT {} FROM customer WHERE c_custkey = 1)"
+
+
+@query("J11_profile_scores", SCORED.replace("size = 42", f"size = {_BUYER.format('c_nationkey')}").replace("least(25, 8 +", f"least(25, CASE WHEN {_BUYER.format('c_acctbal > 5000')} THEN 8 ELSE 5 END +") + "\n==\nSELECT product_id, profile_score, score, decision FROM scored")
+def profile_scores(t: Tables) -> DataFrame:
+    """Scores for the buyer whose profile is a row of a table: a size, and whether a use is given."""
+    profile = t.raw("customer").where("c_custkey = 1").select(F.col("c_nationkey").cast("string").alias("shoe_size"), (F.col("c_acctbal") > 5000).alias("use"))
+    return scored(t, profile).select("product_id", "profile_score", "score", "decision")
+
+
 def _said(*lines: tuple[str, str]) -> str:
     return "list_filter([" + ", ".join(f"CASE WHEN {cond} THEN {said} END" for cond, said in lines) + "], lambda x: x IS NOT NULL)"
 
