@@ -1,7 +1,7 @@
 """Keys that hold many rows, told apart so that windows over them can be cut into slices of time.
 
 A key is hot if it has more than `least` rows and more than one in 1,024 of all rows, so there are fewer than 1,024 hot
-keys and a broadcast of them is bounded. Both ways of a window give the same rows; the hot one shuffles more and never
+keys and they may reach the driver. Both ways of a window give the same rows; the hot one shuffles more and never
 has more than a slice of a key in one task.
 """
 
@@ -21,11 +21,13 @@ def hot_keys(rows: DataFrame, key: str, least: int = LEAST) -> DataFrame:
     return counts.where((F.col("_n") > least) & (F.col("_n") * ONE_IN > rows.agg(F.count("*")).scalar())).select("_hot")
 
 
-def split(rows: DataFrame, key: str, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
-    """Rows of cold keys and rows of hot keys."""
-    hot = F.broadcast(hot_keys(rows, key, least))
-    is_hot = rows[key].eqNullSafe(hot["_hot"])
-    return rows.join(hot, is_hot, "left_anti"), rows.join(hot, is_hot, "left_semi")
+def split(rows: DataFrame, key: str, least: int = LEAST) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of cold keys and rows of hot keys, or all rows and None if there is no hot key. Looks for hot keys at once; both sides then are filters that scans can take."""
+    found = [r["_hot"] for r in hot_keys(rows, key, least).collect()]
+    if not found:
+        return rows, None
+    is_hot = F.coalesce(F.col(key).isin([v for v in found if v is not None]), F.lit(None in found))
+    return rows.where(~is_hot), rows.where(is_hot)
 
 
 def with_previous(rows: DataFrame, key: str, order: list[str], value: str, name: str) -> DataFrame:

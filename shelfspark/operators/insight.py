@@ -45,14 +45,17 @@ def running_low(ticks: DataFrame, key: str, days: int = 7, least: int = hot.LEAS
     """Each tick with the least price, and the number of ticks, of the `days` days that end with it; hot keys (`hot.split`) day by day."""
     span = Window.partitionBy(key).orderBy(micros("checked_at")).rangeBetween(-days * 86_400_000_000, 0)
     cold, much = hot.split(ticks, key, least)
-    return cold.withColumns({"low": F.min("price").over(span), "n": F.count("*").over(span)}).unionByName(hot.trailing_low(much, key, "checked_at", "price", days))
+    plain = cold.withColumns({"low": F.min("price").over(span), "n": F.count("*").over(span)})
+    return plain if much is None else plain.unionByName(hot.trailing_low(much, key, "checked_at", "price", days))
 
 
 def price_drops(observations: DataFrame, key: str, order: list[str], least: float = 50.0, most: float = 200_000.0, hot_from: int = hot.LEAST) -> DataFrame:
     """Observations that are at least 3 % below the one before, which must be plausible; hot keys of more than `hot_from` rows day by day."""
     cold, much = hot.split(observations, key, hot_from)
     before = F.lag("price").over(Window.partitionBy(key).orderBy(*order))
-    seen = cold.withColumn("previous_price", before).unionByName(hot.with_previous(much, key, order, "price", "previous_price"))
+    seen = cold.withColumn("previous_price", before)
+    if much is not None:
+        seen = seen.unionByName(hot.with_previous(much, key, order, "price", "previous_price"))
     valid = F.col("previous_price").between(least, most) & (F.col("previous_price") <= F.col("price") * 5)
     dropped = seen.where(valid & (F.col("price") < F.col("previous_price") * 0.97))
     return dropped.withColumn("drop_pct", F.bround((F.col("previous_price") - F.col("price")) / F.col("previous_price") * 100, 0))
@@ -61,7 +64,8 @@ def price_drops(observations: DataFrame, key: str, order: list[str], least: floa
 def series_of_two(ticks: DataFrame, key: str, least: int = hot.LEAST) -> DataFrame:
     """Ticks of listings that have two or more; those of hot listings aren't shuffled."""
     cold, much = hot.split(ticks, key, max(least, 1))
-    return cold.withColumn("_n", F.count("*").over(Window.partitionBy(key))).where("_n >= 2").drop("_n").unionByName(much)
+    plain = cold.withColumn("_n", F.count("*").over(Window.partitionBy(key))).where("_n >= 2").drop("_n")
+    return plain if much is None else plain.unionByName(much)
 
 
 def tumbling_prices(ticks: DataFrame, length: str = "1 day") -> DataFrame:

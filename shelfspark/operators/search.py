@@ -16,9 +16,6 @@ parted by any white space.
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import add
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,26 +41,29 @@ def asked_words(query: str) -> list[str]:
     return sorted(set(query.lower().split()))
 
 
-def _count(text: Column, character: str) -> Column:
-    return F.length(text) - F.length(F.replace(text, F.lit(character), F.lit("")))
+def _count(text: Column, character: Column) -> Column:
+    return F.length(text) - F.length(F.replace(text, character, F.lit("")))
 
 
-def with_bound(rows: DataFrame, query: str) -> DataFrame:
-    """Adds `bound`, which the unrounded token-set ratio of words and query never exceeds."""
+def upper_bound(words: Column, query: str) -> Column:
+    """What the unrounded token-set ratio of words and query never exceeds. The parts are bound once, as fields of a lambda's argument, so that filters that are pushed down don't repeat them."""
     asked = F.array(*[F.lit(w) for w in asked_words(query)])
-    split = rows.withColumns({"_both": F.array_intersect(asked, "words"), "_left": F.array_except(asked, "words"), "_right": F.array_except("words", asked)})
-    joined = split.withColumns({c: F.array_join(c, " ") for c in ("_both", "_left", "_right")})
-    both, left, right = (F.length(c) for c in ("_both", "_left", "_right"))
-    common = reduce(add, [F.least(_count(F.col("_left"), c), _count(F.col("_right"), c)) for c in sorted(set(" ".join(asked_words(query))))])
-    gap = (both > 0).cast("int")
-    one, two = both + gap + left, both + gap + right
-    shared = F.when(both > 0, F.greatest(200 * both / (both + one), 200 * both / (both + two))).otherwise(0.0)
-    bound = F.when((both > 0) & ((left == 0) | (right == 0)), 100.0).otherwise(F.greatest(200 * (both + gap + common) / (one + two), shared))
-    return joined.withColumn("bound", bound).drop("_both", "_left", "_right")
+    letters = F.array(*[F.lit(c) for c in sorted(set(" ".join(asked_words(query))))])
+    parts = F.struct(*[F.array_join(a, " ").alias(n) for n, a in (("both", F.array_intersect(asked, words)), ("left", F.array_except(asked, words)), ("right", F.array_except(words, asked)))])
+
+    def ratio(p: Column) -> Column:
+        both, left, right = (F.length(p[n]) for n in ("both", "left", "right"))
+        common = F.aggregate(letters, F.lit(0), lambda n, c: n + F.least(_count(p["left"], c), _count(p["right"], c)))
+        gap = (both > 0).cast("int")
+        one, two = both + gap + left, both + gap + right
+        shared = F.when(both > 0, F.greatest(200 * both / (both + one), 200 * both / (both + two))).otherwise(0.0)
+        return F.when((both > 0) & ((left == 0) | (right == 0)), 100.0).otherwise(F.greatest(200 * (both + gap + common) / (one + two), shared))
+
+    return F.transform(F.array(parts), ratio)[0]
 
 
 def _reaching(rows: DataFrame, query: str, least: int) -> DataFrame:
-    return with_bound(rows, query).where(F.col("bound") >= least - 0.5 - 1e-9)  # scores are rounded
+    return rows.withColumn("bound", upper_bound(F.col("words"), query)).where(F.col("bound") >= least - 0.5 - 1e-9)  # scores are rounded
 
 
 def scored(candidates: DataFrame, query: str, least: int) -> DataFrame:

@@ -110,8 +110,8 @@ s AS (SELECT store_id, product_id, p.name, l.price, score FROM listings l JOIN p
 def _scored(t: Tables) -> DataFrame:
     """Listings whose names score 50 or more against one query; a name is scored once, however many products bear it."""
     found = search.matches(t.products(), ASKED, 50)
-    listed = t.listings().join(t.products().select("product_id", "name"), "product_id")
-    return listed.join(found, "name").select("store_id", "product_id", "name", "price", "score")
+    named = t.products().select("product_id", "name").join(found, "name")
+    return t.listings().join(named, "product_id").select("store_id", "product_id", "name", "price", "score")
 
 
 @query("FN7_search_scored", SCORED + """
