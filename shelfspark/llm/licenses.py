@@ -5,6 +5,7 @@ same k-grams in fixed templates. Each hit votes for a diagonal, its position in
 template. Votes are summed by (document, template, diagonal); neighbouring diagonals, which insertions and
 deletions make, are merged; a merged span counts if its votes cover enough of the template's k-grams and it is not
 much longer than the template. Short exact phrases are templates too: they count where one diagonal has all votes.
+Templates are rows of a table, at any number and length: whole licenses as well as the fixed notices of this module.
 
 A row without any hit still passes the join once, by a mark that stands behind its last k-gram and carries its
 number of words, so that one pass over the documents gives a row for each of them.
@@ -18,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import common
+
 K = 3
 #: Diagonals at most this far apart are one span.
 BAND = 4
@@ -75,25 +78,58 @@ def _grams(words: Column) -> Column:
     return F.transform(F.slice(words, 1, fits), lambda w, i: F.xxhash64(w, *[F.get(words, i + j) for j in range(1, K)]))
 
 
-def templates(spark: SparkSession, phrases: dict[str, str], notices: dict[str, str]) -> DataFrame:
-    """(template, label, exact, n_grams, gram, tpos, h): the templates' k-grams; a phrase of fewer than K words can't be one."""
-    rows = [(i, label, exact, text) for i, (text, label, exact) in enumerate([*((t, x, True) for t, x in phrases.items()), *((t, x, False) for t, x in notices.items())])]
-    words = spark.createDataFrame(rows, "template int, label string, exact boolean, text string").withColumn("_w", license_words(F.col("text")))
+def default_templates(spark: SparkSession, phrases: dict[str, str] = PHRASES, notices: dict[str, str] = NOTICES) -> DataFrame:
+    """(text, label, exact) of the fixed phrases and notices."""
+    return spark.createDataFrame([*((t, x, True) for t, x in phrases.items()), *((t, x, False) for t, x in notices.items())], "text string, label string, exact boolean")
+
+
+def templates(known: DataFrame) -> DataFrame:
+    """(template, label, exact, n_grams, gram, tpos, h): the k-grams of known(text, label, exact), such as a table of whole licenses.
+
+    Texts of fewer than K words, and rows without a label, are none; a null `exact` is false; equal rows are one template.
+    """
+    whole = known.select("text", "label", F.coalesce("exact", F.lit(False)).alias("exact")).where("label is not null").distinct()
+    words = whole.select(F.xxhash64("text", "label", "exact").alias("template"), "label", "exact", license_words(F.col("text")).alias("_w"))
     each = words.select("template", "label", "exact", "_w", (F.size("_w") - (K - 1)).alias("n_grams"), F.posexplode(_grams(F.col("_w"))).alias("tpos", "h"))
     return each.select("template", "label", "exact", "n_grams", F.slice("_w", F.col("tpos") + 1, K).alias("gram"), "tpos", "h")
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", phrases: dict[str, str] = PHRASES, notices: dict[str, str] = NOTICES) -> DataFrame:
-    """(row, doc_id, n_words, template, label, exact, first, last, cover): verified spans, word positions from 0; a row without any has template null."""
-    words = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), license_words(F.col(text)).alias("_w"))
+def _in_blocks(grams: DataFrame) -> list[DataFrame]:
+    """grams in parts of about BROADCAST_ROWS / 2 rows, one where all are no more than BROADCAST_ROWS; a table that is read for each part."""
+    n = grams.count()
+    if n <= common.BROADCAST_ROWS:
+        return [grams]
+    parts = -(-2 * n // common.BROADCAST_ROWS)
+    part = F.pmod(F.xxhash64("template", "tpos"), F.lit(parts))
+    dealt = common.table(grams.withColumn("_part", part), "templates")
+    return [dealt.where(F.col("_part") == i).drop("_part") for i in range(parts)]
+
+
+def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", known: DataFrame | None = None) -> DataFrame:
+    """(row, doc_id, n_words, template, label, exact, first, last, cover): verified spans, word positions from 0; a row without any has template null.
+
+    known(text, label, exact) are the templates, the fixed ones by default. Their k-grams are counted and broadcast; more than
+    BROADCAST_ROWS of them are broadcast in parts, each in a pass over the documents of its own, whose votes are summed
+    together. More than one part needs the documents' rows in a stable order, so they are written first.
+    """
+    spark = docs.sparkSession
+    blocks = _in_blocks(templates(default_templates(spark) if known is None else known))
+    words = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text).alias("_text"))
+    if len(blocks) > 1:
+        words = common.table(words, "licensed")
+    words = words.select("row", "doc_id", license_words(F.col("_text")).alias("_w"))
     grams = F.transform(_grams(F.col("_w")), lambda h, i: F.struct(i.alias("pos"), h.alias("h"), F.lit(False).alias("mark")))
     mark = F.struct(F.size("_w").alias("pos"), F.lit(0).cast("long").alias("h"), F.lit(True).alias("mark"))
     # grams are made by a step of their own: inside the generator they would keep it, and the join, out of generated code
     each = words.select("row", "doc_id", "_w", F.concat(grams, F.array(mark)).alias("_g")).select("row", "doc_id", "_w", F.inline_outer("_g"))
-    known = templates(docs.sparkSession, phrases, notices).withColumn("mark", F.lit(False))
-    nothing = [F.lit(None).cast(t).alias(c) for c, t in known.drop("h", "mark").dtypes]
-    known = known.unionByName(docs.sparkSession.range(1).select(*nothing, F.lit(0).cast("long").alias("h"), F.lit(True).alias("mark")))
-    hits = each.join(F.broadcast(known), ["h", "mark"]).where(F.col("mark") | (F.slice("_w", F.col("pos") + 1, K) == F.col("gram")))
+    hits = None
+    for i, block in enumerate(blocks):
+        side = block.withColumn("mark", F.lit(False))
+        if i == 0:
+            nothing = [F.lit(None).cast(t).alias(c) for c, t in side.drop("h", "mark").dtypes]
+            side = side.unionByName(spark.range(1).select(*nothing, F.lit(0).cast("long").alias("h"), F.lit(True).alias("mark")))
+        met = each.join(F.broadcast(side), ["h", "mark"]).where(F.col("mark") | (F.slice("_w", F.col("pos") + 1, K) == F.col("gram"))).drop("_w", "gram")
+        hits = met if hits is None else hits.unionByName(met)
     keys = ["row", "doc_id", "template", "label", "exact", "n_grams"]
     votes = hits.select(*keys, "pos", "tpos", (F.col("pos") - F.col("tpos")).alias("diagonal")).groupBy(*keys, "diagonal")
     votes = votes.agg(F.count("*").alias("votes"), F.min("pos").alias("first"), F.max("pos").alias("last"))
