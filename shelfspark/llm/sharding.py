@@ -31,6 +31,8 @@ from .common import BUCKET_ROWS, cut, hot_join, running_total
 #: 2^11 classes for each doubling of the size.
 CLASS_BITS = 12
 SHARDS = 8
+#: Bytes of text in a file of a written shard, about.
+FILE_BYTES = 256 << 20
 
 
 class _Tree:
@@ -138,11 +140,17 @@ def _class_of(size: Column) -> Column:
     return (F.floor(size / unit).cast("long") + F.when(drop > 0, 1).otherwise(0)) * unit - F.when(drop > 0, 1).otherwise(0)
 
 
-def _assign(docs: DataFrame, id_col: str, text: str, planned) -> DataFrame:
-    """(doc_id, size, text_crc32, shard, slot); planned: the runs for a list of (class size, count)."""
-    raw = F.coalesce(F.col(text), F.lit(""))
-    group = F.when(F.col(text).isNull(), F.unhex(F.lit("00"))).otherwise(F.unhex(F.sha2(F.encode(raw, "UTF-8"), 256)))
-    rows = cut(docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(F.encode(raw, "UTF-8")).alias("text_crc32"), group.alias("_g")))
+def _group_of(text: Column) -> Column:
+    """Equal for equal texts alone; null is a group of its own."""
+    return F.when(text.isNull(), F.unhex(F.lit("00"))).otherwise(F.unhex(F.sha2(F.encode(text, "UTF-8"), 256)))
+
+
+def _size_of(text: Column) -> Column:
+    return (F.octet_length(F.coalesce(text, F.lit(""))) + 1).cast("long")
+
+
+def _place(rows: DataFrame, planned) -> tuple[DataFrame, int]:
+    """(_g, _n, shard) of the groups of rows(_g, size), with the number of each group's rows, and the number of all; planned: the runs for a list of (class size, count)."""
     n = rows.count()
     groups = rows.groupBy("_g").agg(F.sum("size").alias("_bytes"), F.count("*").alias("_n")).withColumn("_class", _class_of(F.col("_bytes")))
     groups = cut(groups.withColumn("_b", F.pmod(F.xxhash64("_g"), F.lit(max(1, n // BUCKET_ROWS))).cast("long")).withColumn("_1", F.lit(1).cast("long")))
@@ -158,7 +166,14 @@ def _assign(docs: DataFrame, id_col: str, text: str, planned) -> DataFrame:
             yield pd.DataFrame({"_g": part["_g"], "_n": part["_n"], "shard": shard[np.searchsorted(start, at, side="right") - 1]})
 
     ranked = running_total(groups, ["_class"], "_b", ["_g"], "_1", "_rank").select("_g", "_n", "_class", "_rank")
-    placed = cut(ranked.mapInPandas(look_up, "_g binary, _n long, shard int"))
+    return cut(ranked.mapInPandas(look_up, "_g binary, _n long, shard int")), n
+
+
+def _assign(docs: DataFrame, id_col: str, text: str, planned) -> DataFrame:
+    """(doc_id, size, text_crc32, shard, slot); planned: the runs for a list of (class size, count)."""
+    whole = F.col(text)
+    rows = cut(docs.select(F.col(id_col).alias("doc_id"), _size_of(whole).alias("size"), F.crc32(F.encode(F.coalesce(whole, F.lit("")), "UTF-8")).alias("text_crc32"), _group_of(whole).alias("_g")))
+    placed, n = _place(rows, planned)
     put = cut(hot_join(rows, placed, ["_g"], "_n", n).withColumn("_b", F.pmod(F.xxhash64("doc_id", "_g"), F.lit(max(1, n // BUCKET_ROWS))).cast("long")).withColumn("_1", F.lit(1).cast("long")))
     slots = running_total(put, ["shard"], "_b", ["doc_id", "_g"], "_1", "_slot")
     return slots.select("doc_id", "size", "text_crc32", "shard", (F.col("_slot") - 1).alias("slot"))
@@ -172,3 +187,21 @@ def shards_of(docs: DataFrame, capacity: int, id_col: str = "doc_id", text: str
 def even_shards(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Packs into `shards` shards of the least capacity that suffices."""
     return _assign(docs, id_col, text, lambda classes: pack_evenly(classes, shards))
+
+
+def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, id_col: str = "doc_id", text: str = "text", file_bytes: int = FILE_BYTES) -> DataFrame:
+    """Writes the whole rows of docs to the shards of `even_shards`, a folder `shard=k` each, and returns the table as it is read back: `row`, a struct of a row's columns, and shard.
+
+    A shard is files of about `file_bytes` of text each, dealt by id and text, so that neither a shard nor a group of copies
+    is one task; rows equal in both stay together. Texts move once, to their files; beforehand too only where groups
+    are too many for a broadcast. What stood at `path` is replaced, so a run may be repeated; no rows give an empty table.
+    """
+    whole = F.col(f"row.{text}")
+    tagged = docs.select(F.struct(*docs.columns).alias("row")).withColumns({"_g": _group_of(whole), "size": _size_of(whole)})
+    placed, n = _place(cut(tagged.select("_g", "size")), lambda classes: pack_evenly(classes, shards))
+    put = hot_join(tagged, placed, ["_g"], "_n", n)
+    files = max(1, -(-(tagged.agg(F.sum("size")).first()[0] or 0) // (file_bytes * shards)))
+    dealt = put.withColumn("_file", F.pmod(F.xxhash64(F.col(f"row.{id_col}").cast("string"), "_g"), F.lit(files)))
+    dealt = dealt.repartition(shards * files, "shard", "_file").select("row", "shard")
+    dealt.write.mode("overwrite").partitionBy("shard").parquet(path)
+    return docs.sparkSession.read.schema(dealt.schema).parquet(path)

@@ -29,6 +29,9 @@ def test_stages_of_the_pipeline(spark, tmp_path):
     assert Counter(r.doc_id for r in last) == Counter(r.doc_id for r in rows)
     again = corpus_pipeline.run(spark, SF)
     assert Counter(r.doc_id for r in again.collect()) == Counter(r.doc_id for r in last)
+    written = corpus_pipeline.write(spark, SF, str(tmp_path / "shards")).select("row.*", "shard").collect()
+    assert Counter((r.doc_id, r.shard) for r in written) == Counter((r.doc_id, r.shard) for r in last)
+    assert all(r.text == given[r.doc_id].text for r in written)
 
 
 def test_one_of_each_group_of_copies_stays(spark):

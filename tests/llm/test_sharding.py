@@ -4,7 +4,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from shelfspark.llm import sharding
+from shelfspark.llm import common, sharding
 
 from .data import SF, documents, empty
 
@@ -82,3 +82,24 @@ def test_shards_of_a_fixed_capacity(spark):
         fill[r.shard] += r.size
     assert max(fill.values()) <= 50_000
     assert len(fill) <= 2 + sum(fill.values()) / 50_000
+
+
+@pytest.mark.parametrize("shuffled", (False, True))
+def test_written_shards_have_whole_rows(spark, tmp_path, monkeypatch, shuffled):
+    if shuffled:
+        monkeypatch.setattr(common, "BROADCAST_ROWS", 10)
+    for name, docs in (("odd", documents(spark)), ("clash", documents(spark).withColumnsRenamed({"lang": "shard", "source": "row", "kept": "_g"})), ("none", empty(spark))):
+        for _ in range(2):  # a second run replaces the first
+            found = sharding.write_shards(docs, str(tmp_path / name), file_bytes=4_000)
+        got = found.collect()
+        assert Counter(map(str, (tuple(r.row) for r in got))) == Counter(map(str, map(tuple, docs.collect())))
+        assert [f.name for f in found.schema["row"].dataType] == docs.columns
+        want = defaultdict(set)
+        for r in sharding.even_shards(docs).collect():
+            want[r.doc_id, r.text_crc32].add(r.shard)
+        seen = defaultdict(set)
+        for r in got:
+            seen[r.row.doc_id, zlib.crc32((r.row.text or "").encode())].add(r.shard)
+        assert seen == want
+    assert all(len(list((tmp_path / "odd" / f"shard={k}").glob("*.parquet"))) >= 1 for k in range(8))
+    assert max(len(list((tmp_path / "odd" / f"shard={k}").glob("*.parquet"))) for k in range(8)) > 1
