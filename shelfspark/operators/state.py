@@ -39,6 +39,20 @@ def append_alerts(alerts: DataFrame, new: DataFrame, key: str = "alert_id") -> D
     return alerts.unionByName(fresh)
 
 
+def delete_all(alerts: DataFrame, resets: DataFrame, at: str = "created_at", owner: str | None = None) -> DataFrame:
+    """alerts that are newer than the last delete-all, of everything or, with `owner`, of each owner's own; one of the same instant goes.
+
+    resets(at) or resets(owner, at) are the delete-alls so far. Without any, all alerts stay; a null owner's resets delete nothing.
+    Alerts without an instant go with any reset, as nothing tells that they came later.
+    """
+    if owner is None:
+        last = resets.agg(F.max(at).alias("_last")).select("_last").scalar()
+        return alerts.where(last.isNull() | F.coalesce(F.col(at) > last, F.lit(False)))
+    last = resets.groupBy(F.col(owner).alias("_owner")).agg(F.max(at).alias("_last")).where("_last is not null")
+    gone = (F.col(owner) == F.col("_owner")) & ~F.coalesce(F.col(at) > F.col("_last"), F.lit(False))
+    return alerts.join(last, gone, "left_anti")
+
+
 def mark_sent(alerts: DataFrame, said: DataFrame, key: str = "alert_id") -> DataFrame:
     """alerts with what the messenger said(key, ok, error) of them; ids that it says nothing of stay as they are."""
     heard = said.groupBy(key).agg(F.bool_or("ok").alias("_ok"), F.max("error").alias("_error"))

@@ -67,6 +67,13 @@ def mark_all_read(t: Tables) -> DataFrame:
     return t.alerts().withColumn("is_read", F.lit(True)).groupBy("rule_id").agg(F.count("*").alias("n"), F.count_if("is_read").alias("n_read"), F.min("alert_id").alias("first_alert"))
 
 
+@query("SNK10_delete_all", """SELECT alert_id FROM alerts a WHERE NOT EXISTS (SELECT 1 FROM events e WHERE e.event_type = 'signup' AND e.user_id = a.rule_id AND e.ts >= a.created_at)""")
+def delete_all(t: Tables) -> DataFrame:
+    """Alerts that are left when each signup empties its user's list."""
+    emptied = t.raw("events").where("event_type = 'signup'").select(F.col("user_id").alias("rule_id"), F.col("ts").alias("created_at"))
+    return state.delete_all(t.alerts(), emptied, owner="rule_id").select("alert_id")
+
+
 @query("SNK6_outbox", """SELECT alert_id, CASE WHEN rule_id % 3 = 0 THEN false WHEN listing_id = 0 THEN false ELSE true END AS sent,
   CASE WHEN rule_id % 3 = 0 THEN 'telegram_kapali' WHEN listing_id = 0 THEN 'token_veya_chat_id_eksik' END AS reason FROM alerts""")
 def outbox(t: Tables) -> DataFrame:

@@ -226,3 +226,12 @@ def test_own_offers_know_their_fields():
     assert offers.own_offer(title="t")["title"] == "t" and offers.own_offer()["sizes"] == []
     with pytest.raises(ValueError, match="colour"):
         offers.own_offer(colour="red")
+
+
+def test_delete_all_alerts(spark):
+    alerts = spark.createDataFrame([(1, "a", 10), (2, "a", 20), (3, "b", 20), (4, None, 5), (5, "a", None), (6, "c", 1), (6, "c", 1)], "alert_id long, user string, created_at long")
+    resets = spark.createDataFrame([("a", 10), ("a", 5), ("b", 20), (None, 99), ("c", None)], "user string, created_at long")
+    left = lambda *a, **k: sorted(r.alert_id for r in state.delete_all(*a, **k).collect())
+    assert left(alerts, resets, owner="user") == [2, 4, 6, 6]
+    assert left(alerts, resets.where("created_at < 20")) == [2, 3]
+    assert left(alerts, resets.limit(0)) == left(alerts, resets.limit(0), owner="user") == [1, 2, 3, 4, 5, 6, 6]
