@@ -10,7 +10,7 @@ the verified links is emitted, which is linear in the key's fingerprints, never
 Equal fingerprints are one node from the start, so exact copies cost one row. Components of the nodes come from
 rounds of large-star and small-star joins.
 
-The pipeline's stage links by the Jaccard similarity of five-word shingles instead: see setsketch.
+The pipeline's stage takes candidates from the same signatures, of five-word shingles, and links by Jaccard similarity: see setsketch.
 
 Defined results: null and empty texts have fingerprint zero and link like any other; texts of any length count
 whole; repeated rows share a fingerprint and a component; rows with null ids get their group's smallest id (null if
@@ -50,7 +50,7 @@ def shingles_of(words: list[bytes], k: int) -> list[bytes]:
     return [b" ".join(words[i : i + k]) for i in range(max(1, len(words) - k + 1))]
 
 
-def _vote(hashes: np.ndarray) -> np.ndarray:
+def majority(hashes: np.ndarray) -> np.ndarray:
     """The 64-bit majority of 64-bit hashes; blocks keep memory flat for very long texts."""
     ones = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 1 << 14):
@@ -72,7 +72,7 @@ def _mixed(hashes: np.ndarray, word: int) -> np.ndarray:
 def shingle_fingerprint(text: str | None, k: int = 3) -> np.ndarray:
     """The 64-bit SimHash of a text's k-word shingles."""
     found = shingles_of(words_of(text), k)
-    return _vote(np.array([xxhash.xxh64_intdigest(s, SEED) for s in found], dtype=np.uint64)) if found else np.zeros(1, np.uint64)
+    return majority(np.array([xxhash.xxh64_intdigest(s, SEED) for s in found], dtype=np.uint64)) if found else np.zeros(1, np.uint64)
 
 
 def fingerprints(docs: DataFrame, of: Callable[[str | None], np.ndarray], n_words: int, id_col: str = "doc_id", text: str = "text") -> DataFrame:

@@ -176,3 +176,30 @@ def test_texts_are_not_shuffled_for_repeated_rows(spark, monkeypatch):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("bitmap_construct_agg") >= 2 and "BroadcastHashJoin" not in plan
     assert sorted(tuple(r) for r in out.collect()) == sorted(set(rows))
+
+
+def test_pipeline_candidates_come_from_deletion_variants(spark, monkeypatch):
+    r = np.random.default_rng(5)
+    base = [[f"w{x}" for x in r.integers(0, 5000, 1500)] for _ in range(6)]
+    docs = of(spark, [" ".join(x) for b in base for x in (b, [*b, "end"], ["start", *b])] + ["", "one"])
+    nodes = setsketch.sketched(docs).select("g", "n", "f0", "doc_id").collect()
+    prints = {x.doc_id: (x.g, np.uint64(x.f0 % (1 << 64))) for x in nodes if x.n}
+    # links of the engine: every pair within the bits is in one component, and no other pair is linked
+    edges = {(x.a, x.b) for x in setsketch._near_prints(spark.createDataFrame(nodes)).collect()}
+    root = {g: g for g, _ in prints.values()}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        root[find(a)] = find(b)
+    close = [(a, b) for a, p in prints.values() for b, q in prints.values() if a < b and np.bitwise_count(p ^ q) <= setsketch.VARIANT_BITS]
+    assert len(close) >= 6 and all(find(a) == find(b) for a, b in close)
+    assert {tuple(sorted(e)) for e in edges} <= set(close)
+    # without the bands the stage still finds what the variants do
+    none = spark.createDataFrame([], "g bigint, root bigint")
+    monkeypatch.setattr(setsketch, "_candidates", lambda nodes, percent: none)
+    whole = len({find(g) for g, _ in prints.values()})
+    assert stages.near_duplicates(spark, docs, SF).count() == whole + 1 < len(prints)
