@@ -27,11 +27,12 @@ def discovered(sources: DataFrame, links: DataFrame, pages: DataFrame, most_roun
         return spark.read.schema(schema).parquet(f"{path}/round={at}")
 
     new = keep(sources.select(F.col("url").cast("string").alias("url"), "family", F.lit(0).alias("depth")).distinct(), 0)
+    # sources and pages seen so far grow with the tables: without a hint they would be collected for a broadcast in every round
     for at in range(1, most_rounds + 1):
         asked = new.alias("s").join(links.alias("l"), F.col("s.url") == F.col("l.url")).select(F.col("l.to").cast("string").alias("url"), F.col("s.family").alias("_for")).distinct()
         fits = asked.join(pages.select(F.col("url").cast("string").alias("url"), F.col("family").alias("_own")), "url").where(text.same_family(F.col("_for"), F.col("_own")))
-        reached = fits.select("url", F.coalesce("_for", "_own").alias("family")).distinct().join(known.select(F.col("url").cast("string").alias("url")), "url", "left_anti")
-        seen = spark.read.schema(schema).option("basePath", path).parquet(path).alias("o")
+        reached = fits.select("url", F.coalesce("_for", "_own").alias("family")).distinct().join(known.select(F.col("url").cast("string").alias("url")).hint("merge"), "url", "left_anti")
+        seen = spark.read.schema(schema).option("basePath", path).parquet(path).hint("merge").alias("o")
         fresh = reached.alias("n").join(seen, (F.col("n.url") == F.col("o.url")) & F.col("n.family").eqNullSafe(F.col("o.family")), "left_anti")
         new = keep(fresh.select("url", "family", F.lit(at).alias("depth")), at)
         if new.isEmpty():
