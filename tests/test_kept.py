@@ -177,3 +177,31 @@ def test_last_prices_expire(spark, tmp_path):
 
 def test_registered_checks_equal_their_sql():
     assert {"ST6_batch_check", "SNK8_batch_runs", "A7_price_insight_rollup", "SNK1_kept_product_list", "SNK1_kept_rule_matches"} <= set(plans.SQL)
+
+
+def test_observations_land_in_parallel(spark, monkeypatch):
+    landed = []
+
+    class Stop(Exception):
+        pass
+
+    class Watch:
+        def __init__(self, spark, path, *more):
+            self.path = path
+
+        def start(self, observations):
+            landed.append(spark.read.parquet(f"{self.path}/landed").inputFiles())
+            if len(landed) == 2:
+                raise Stop
+            return self
+
+        def awaitTermination(self):
+            pass
+
+    monkeypatch.setattr(kept_plans, "BatchCheck", Watch)
+    t = Tables(spark, SF)
+    raw = t.raw
+    monkeypatch.setattr(t, "raw", lambda name: raw(name).repartition(4) if name == "lineitem" else raw(name))
+    with pytest.raises(Stop):
+        kept_plans.checked(t)
+    assert len(landed[0]) == 4 and len(landed[1]) == 8
