@@ -137,6 +137,11 @@ def manual_prices(listings: DataFrame, entered: DataFrame) -> tuple[DataFrame, D
     return joined.withColumns(put).drop("_price", "_at", "_new"), history
 
 
+def history_id(price: str = "price") -> Column:
+    """The id of a price history row: a hash of its listing, instant and price, so that it need not be stored."""
+    return F.sha2(F.concat_ws("|", "listing_id", "checked_at", price), 256)
+
+
 def history_rows(checked: DataFrame) -> DataFrame:
     """Price history rows of checked offers: only those with a price; ids are a hash, so that a rerun gives the same ones."""
-    return checked.where("current_price is not null").withColumn("id", F.sha2(F.concat_ws("|", "listing_id", "checked_at", "current_price"), 256)).select("id", "listing_id", "product_id", F.col("current_price").alias("price"), "old_price", "cart_price", "price_source", "confidence", "stock_count", "checked_at")
+    return checked.where("current_price is not null").withColumn("id", history_id("current_price")).select("id", "listing_id", "product_id", F.col("current_price").alias("price"), "old_price", "cart_price", "price_source", "confidence", "stock_count", "checked_at")

@@ -9,6 +9,9 @@ Of each listing the newest observation without an error gives its state; an erro
 that is gone takes the listing out of stock. A product's rules are looked at if any of its listings, or of its family's
 for spectrum rules, was observed in the batch. Alerts within a rule's cooldown of an earlier one are not made. The time
 of a batch is the latest instant in it, never the clock.
+
+What a batch leaves on disk is these outputs alone: shuffled rows go with the step that shuffled them, and ids of the
+history are made as it is read.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import rules as engine
 from ..operators import score, state
-from ..sources.kept import PriceHistory, exists, put
+from ..sources.kept import PriceHistory, exists, put, shuffles_removed
 
 #: Columns of an observation, beside `tie`, any column that orders observations of one listing and instant.
 OBSERVED = ("listing_id", "product_id", "price", "old_price", "cart_price", "price_source", "sizes", "in_stock", "error", "checked_at", "tie")
@@ -55,6 +58,10 @@ class BatchCheck:
         found = self._read("alerts", self.done() if upto is None else upto)
         return found if found is not None else self.spark.createDataFrame([], "rule_id long, listing_id long, created_at timestamp, batch long")
 
+    def history(self, upto: int | None = None) -> DataFrame:
+        """Price history with the rows' ids."""
+        return self.prices.history(self.done() if upto is None else upto).withColumn("id", state.history_id())
+
     def listings(self, upto: int | None = None) -> DataFrame | None:
         """The state of each listing: the newest of the batches since the last whole one."""
         upto = self.done() if upto is None else upto
@@ -103,6 +110,10 @@ class BatchCheck:
         """Everything that one batch writes."""
         if batch <= self.done():
             return
+        with shuffles_removed(self.spark):
+            self._run(observed, batch)
+
+    def _run(self, observed: DataFrame, batch: int) -> None:
         counted = Observation(f"check-{batch}")
         failed = F.col("error").isNotNull()
         watched = observed.select(*OBSERVED).observe(
@@ -115,7 +126,7 @@ class BatchCheck:
             return
         self.after("observed", batch)
         kept = self.spark.read.parquet(f"{self.path}/observed").where(F.col("batch") == batch).drop("batch")
-        self.prices.append(state.history_rows(kept.where("error is null").withColumnRenamed("price", "current_price").withColumns({"confidence": F.lit(None).cast("double"), "stock_count": F.lit(None).cast("int")})), batch)
+        self.prices.append(state.history_rows(kept.where("error is null").withColumnRenamed("price", "current_price").withColumns({"confidence": F.lit(None).cast("double"), "stock_count": F.lit(None).cast("int")})).drop("id"), batch)
         self.after("history", batch)
         put(self._latest(kept, batch).withColumn("whole", F.lit(int(batch % WHOLE_EVERY == 0))), f"{self.path}/latest", batch, ("whole",))
         self.after("latest", batch)

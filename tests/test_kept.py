@@ -1,7 +1,9 @@
 """Kept tables, the batch check as a stream, and streams whose state expires."""
 
 import datetime as dt
+import hashlib
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -205,3 +207,25 @@ def test_observations_land_in_parallel(spark, monkeypatch):
     with pytest.raises(Stop):
         kept_plans.checked(t)
     assert len(landed[0]) == 4 and len(landed[1]) == 8
+
+
+def test_nothing_shuffled_outlives_a_batch(spark, tmp_path):
+    def shuffled():
+        return {f.getName() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()) if f.getName().startswith("shuffle_")}
+
+    before, check = shuffled(), check_of(spark, str(tmp_path / "check"))
+    setting = spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    for i, batch in enumerate(BATCHES[:2]):
+        check.run_batch(spark.createDataFrame(batch, OBSERVED), i)
+    until = time.time() + 20
+    while shuffled() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not shuffled() - before
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == setting
+
+
+def test_history_ids_are_not_stored(spark, checked):
+    assert "id" not in spark.read.parquet(f"{checked.path}/prices/history").columns
+    got = {(r.listing_id, r.checked_at, r.price): r.id for r in checked.history().collect()}
+    assert len(got) == 9 and all(i == hashlib.sha256(f"{n}|{at}|{p}".encode()).hexdigest() for (n, at, p), i in got.items())
+    assert {r.id for r in checked.history(0).collect()} < set(got.values())
