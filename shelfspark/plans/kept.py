@@ -56,7 +56,7 @@ def checked(t: Tables) -> BatchCheck:
     profile = t.raw("customer").where("c_custkey = 1").select(F.col("c_nationkey").cast("string").alias("shoe_size"), (F.col("c_acctbal") > 0).alias("use"))
     lineitem, first = t.raw("lineitem"), F.col("l_shipdate") < F.lit(CUT).cast("timestamp")
     for part in (lineitem.where(first), lineitem.where(~first)):
-        part.write.mode("append").parquet(f"{path}/landed")
+        part.write.mode("append").option("compression", "zstd").parquet(f"{path}/landed")
         stream = t.spark.readStream.schema(lineitem.schema).parquet(f"{path}/landed")
         check = BatchCheck(t.spark, path, whole_rules(t), products, profile)
         check.start(observations(t.history(stream))).awaitTermination()

@@ -11,7 +11,7 @@ for spectrum rules, was observed in the batch. Alerts within a rule's cooldown o
 of a batch is the latest instant in it, never the clock.
 
 What a batch leaves on disk is these outputs alone: shuffled rows go with the step that shuffled them, and ids of the
-history are made as it is read.
+history are made as it is read. Steps that shuffle whole observations or the whole state do so slice by slice.
 """
 
 from __future__ import annotations
@@ -29,8 +29,12 @@ from ..sources.kept import PriceHistory, exists, put, shuffles_removed
 #: Columns of an observation, beside `tie`, any column that orders observations of one listing and instant.
 OBSERVED = ("listing_id", "product_id", "price", "old_price", "cart_price", "price_source", "sizes", "in_stock", "error", "checked_at", "tie")
 STATE = ("last_price", "last_old_price", "last_cart_price", "last_price_source", "last_sizes", "last_in_stock")
+#: Of the state what an alert's score looks at beside what rules do: it goes with the candidates, so that the state is put together once a batch.
+KEPT = ("last_old_price", "last_price_source", "last_error")
 #: After so many batches the whole state is written anew, so that readers merge fewer ones.
 WHOLE_EVERY = 20
+#: Observations in a slice, and slices at most: each reads its step's input, but only its own listings, or months, are shuffled.
+SLICE_ROWS, MOST_SLICES = 2_000_000, 4
 
 
 class BatchCheck:
@@ -69,16 +73,22 @@ class BatchCheck:
         if rows is None:
             return None
         last_whole = rows.where("whole = 1").agg(F.max("batch")).first()[0] or 0
-        newest = F.max_by(F.struct("*"), "batch").alias("s")
-        return rows.where(F.col("batch") >= last_whole).groupBy("listing_id").agg(newest).select("s.*").drop("batch", "whole")
-
-    def _latest(self, observed: DataFrame, batch: int) -> DataFrame:
-        order = F.struct("checked_at", "tie")
-        good, known = F.col("error").isNull(), self.listings(batch - 1)
-        fields = F.struct(*[F.col(c.removeprefix("last_")).alias(c) for c in STATE])
-        seen = observed.groupBy("listing_id").agg(
-            F.max_by("product_id", order).alias("product_id"), F.max_by(fields, F.when(good, order)).alias("_new"), F.max(F.when(good, order)).isNotNull().alias("_good"),
-            F.max_by("error", order).alias("last_error"), F.max("checked_at").alias("last_checked_at"),
+        others = [c for c in rows.columns if c not in ("listing_id", "batch", "whole")]
+        newest = F.max(F.struct("batch", *others)).alias("s")  # one row a listing and batch
+        return rows.where(F.col("batch") >= last_whole).groupBy("listing_id").agg(newest).select("listing_id", *[f"s.{c}" for c in others])
+
+    @staticmethod
+    def _slice(rows: DataFrame, i: int, slices: int) -> DataFrame:
+        return rows.where(F.pmod(F.xxhash64("listing_id"), F.lit(slices)) == i) if slices > 1 else rows
+
+    def _latest(self, observed: DataFrame, known: DataFrame | None, batch: int) -> DataFrame:
+        good = F.col("error").isNull()
+        fields = [F.col(c.removeprefix("last_")).alias(c) for c in STATE]
+        # what orders observations stands first in both, and nowhere else
+        last, best = F.max(F.struct("checked_at", "tie", "product_id", "error")), F.max(F.when(good, F.struct("checked_at", "tie", *fields)))
+        seen = observed.groupBy("listing_id").agg(last.alias("_last"), best.alias("_best"), F.max("checked_at").alias("last_checked_at")).select(
+            "listing_id", "_last.product_id", F.when(F.col("_best").isNotNull(), F.struct(*[F.col(f"_best.{c}").alias(c) for c in STATE])).alias("_new"), F.col("_best").isNotNull().alias("_good"),
+            F.col("_last.error").alias("last_error"), "last_checked_at",
         )
         if known is None:
             put_in = seen.withColumn("_s", F.col("_new"))
@@ -93,18 +103,17 @@ class BatchCheck:
         out = put_in.select("listing_id", "product_id", "_s.*", "last_error", "last_checked_at")
         return out.withColumn("last_in_stock", F.when(F.coalesce(gone, F.lit(False)), F.lit(False)).otherwise(F.col("last_in_stock")))
 
-    def _scored(self, found: DataFrame, listings: DataFrame, batch: int) -> DataFrame:
-        """Alerts with the decision, score and comment of a buyer with the profile."""
+    def _scored(self, found: DataFrame, batch: int) -> DataFrame:
+        """Alerts, with the state `kept` of their listings, in whose place the decision, score and comment of a buyer with the profile come."""
         trailing = self.prices.insight(batch).select("product_id", "data_points", "min_30d")
         own = self.profile.select("shoe_size").scalar() if self.profile is not None else F.lit(None).cast("string")
         use = self.profile.select("use").scalar() if self.profile is not None else F.lit(False)
         sizes = F.transform("last_sizes", lambda s: F.struct(F.coalesce(F.nullif(s["name"], F.lit("")), s["size"]).alias("size"), s["in_stock"].alias("in_stock")))
         asked = self.rules.select(F.col("id").alias("rule_id"), F.col("size").alias("rule_size"))
-        of = listings.select("listing_id", *STATE, "last_error")
-        rows = found.join(of, "listing_id").join(asked, "rule_id").join(trailing, "product_id", "left")
+        rows = found.select("*", F.col("price").alias("last_price"), "kept.*").join(asked, "rule_id").join(trailing, "product_id", "left")
         near = F.coalesce((F.col("price") != 0) & (F.col("min_30d") != 0) & (F.col("price") <= F.col("min_30d") * 1.02), F.lit(False))
         put_in = rows.withColumns({"sizes": sizes, "has_rule": F.lit(True), "profile_size": own, "profile_use": use, "is_near_lowest": near, "data_points": F.coalesce("data_points", F.lit(0))})
-        return score.buy_score(put_in).select(*found.columns, F.col("decision").alias("ai_decision"), F.col("score").alias("ai_score"), F.col("comment").alias("ai_comment"))
+        return score.buy_score(put_in).select(*[c for c in found.columns if c != "kept"], F.col("decision").alias("ai_decision"), F.col("score").alias("ai_score"), F.col("comment").alias("ai_comment"))
 
     def run_batch(self, observed: DataFrame, batch: int) -> None:
         """Everything that one batch writes."""
@@ -124,11 +133,15 @@ class BatchCheck:
         counts = counted.get
         if not counts["total"]:
             return
+        slices = min(MOST_SLICES, 1 + counts["total"] // SLICE_ROWS)
         self.after("observed", batch)
         kept = self.spark.read.parquet(f"{self.path}/observed").where(F.col("batch") == batch).drop("batch")
-        self.prices.append(state.history_rows(kept.where("error is null").withColumnRenamed("price", "current_price").withColumns({"confidence": F.lit(None).cast("double"), "stock_count": F.lit(None).cast("int")})).drop("id"), batch)
+        self.prices.append(state.history_rows(kept.where("error is null").withColumnRenamed("price", "current_price").withColumns({"confidence": F.lit(None).cast("double"), "stock_count": F.lit(None).cast("int")})).drop("id"), batch, slices)
         self.after("history", batch)
-        put(self._latest(kept, batch).withColumn("whole", F.lit(int(batch % WHOLE_EVERY == 0))), f"{self.path}/latest", batch, ("whole",))
+        known = self.listings(batch - 1)
+        for i in range(slices):
+            state_then = self._latest(self._slice(kept, i, slices), known if known is None else self._slice(known, i, slices), batch)
+            put(state_then.withColumn("whole", F.lit(int(batch % WHOLE_EVERY == 0))), f"{self.path}/latest", batch, ("whole",), deal=False, add=i > 0)
         self.after("latest", batch)
         listings = self.listings(batch)
         touched = kept.select("product_id").distinct()
@@ -136,11 +149,11 @@ class BatchCheck:
         families = names.join(touched, "product_id", "left_semi").where("family_key is not null").select("family_key").distinct()
         wide = self.rules.where("spectrum_mode").join(names.join(families, "family_key", "left_semi").select("product_id"), "product_id", "left_semi")
         asked = self.rules.where("not coalesce(spectrum_mode, false)").join(touched, "product_id", "left_semi").unionByName(wide).unionByName(self.rules.where("spectrum_mode").join(touched, "product_id", "left_semi")).dropDuplicates(["id"])
-        state_now = listings.select(F.col("listing_id").alias("id"), "product_id", "last_price", "last_cart_price", "last_sizes", "last_in_stock", F.lit(True).alias("active"))
+        state_now = listings.select("listing_id", F.col("listing_id").alias("id"), "product_id", "last_price", "last_cart_price", "last_sizes", "last_in_stock", F.lit(True).alias("active"), *KEPT)
         at = F.lit(counts["at"])
-        found = engine.evaluate_rules(asked, self.products, state_now).withColumn("created_at", at)
+        found = engine.evaluate_rules(asked, self.products, [self._slice(state_now, i, slices).drop("listing_id") for i in range(slices)], keep=KEPT).withColumn("created_at", at)
         fresh = engine.outside_cooldown(found, self.alerts(batch - 1), ["rule_id", "listing_id"], "created_at")
-        scored = self._scored(fresh.drop("cooldown_hours"), listings, batch)
+        scored = self._scored(fresh.drop("cooldown_hours"), batch)
         made = Observation(f"alerts-{batch}")
         ids = F.sha2(F.concat_ws("|", "rule_id", "listing_id", F.col("created_at").cast("string")), 256)
         put(scored.withColumns({"alert_id": ids, "is_read": F.lit(False), "telegram_sent": F.lit(False)}).observe(made, F.count("*").alias("n")), f"{self.path}/alerts", batch)

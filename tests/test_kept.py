@@ -229,3 +229,37 @@ def test_history_ids_are_not_stored(spark, checked):
     got = {(r.listing_id, r.checked_at, r.price): r.id for r in checked.history().collect()}
     assert len(got) == 9 and all(i == hashlib.sha256(f"{n}|{at}|{p}".encode()).hexdigest() for (n, at, p), i in got.items())
     assert {r.id for r in checked.history(0).collect()} < set(got.values())
+
+
+def test_slices_leave_the_rows_of_one_whole(spark, tmp_path, checked, monkeypatch):
+    """Each step that shuffles a batch goes slice by slice; a run killed between two of them leaves the same rows too."""
+    monkeypatch.setattr(checks, "SLICE_ROWS", 1)
+    puts, put = [], checks.put
+
+    class Killed(Exception):
+        pass
+
+    def dying(rows, path, batch, *more, **how):
+        if path.endswith("/latest"):
+            puts.append(batch)
+            if len(puts) == 6:
+                raise Killed
+        put(rows, path, batch, *more, **how)
+
+    monkeypatch.setattr(checks, "put", dying)
+    check = check_of(spark, str(tmp_path / "check"))
+    check.run_batch(spark.createDataFrame(BATCHES[0], OBSERVED), 0)
+    assert puts == [0] * 4
+    with pytest.raises(Killed):
+        check.run_batch(spark.createDataFrame(BATCHES[1], OBSERVED), 1)
+    for i, batch in enumerate(BATCHES[:2]):
+        check.run_batch(spark.createDataFrame(batch, OBSERVED), i)
+    assert check._read("latest", 1).groupBy("batch", "listing_id").count().where("count > 1").isEmpty()
+    for got, want in ((check.alerts(), checked.alerts(1)), (check.runs(), checked.runs().where("batch < 2")), (check.listings(), checked.listings(1)), (check.prices.insight(), checked.prices.insight(1))):
+        assert rows(got.select(sorted(got.columns))) == rows(want.select(sorted(got.columns)))
+    months = [START + dt.timedelta(days=31 * n) for n in range(5)]
+    history = spark.createDataFrame([(n % 2, 10.0 + n, at) for n, at in enumerate(months)], "product_id long, price double, checked_at timestamp")
+    kept = PriceHistory(spark, str(tmp_path / "prices"))
+    kept.append(history, 0, slices=3)
+    same_insight(kept, history)
+    assert kept._read("days", None).count() == 5
