@@ -149,6 +149,7 @@ class BatchCheck:
         families = names.join(touched, "product_id", "left_semi").where("family_key is not null").select("family_key").distinct()
         wide = self.rules.where("spectrum_mode").join(names.join(families, "family_key", "left_semi").select("product_id"), "product_id", "left_semi")
         asked = self.rules.where("not coalesce(spectrum_mode, false)").join(touched, "product_id", "left_semi").unionByName(wide).unionByName(self.rules.where("spectrum_mode").join(touched, "product_id", "left_semi")).dropDuplicates(["id"])
+        asked = engine.written([asked], "asked")  # what was touched is not looked for again in each step
         state_now = listings.select("listing_id", F.col("listing_id").alias("id"), "product_id", "last_price", "last_cart_price", "last_sizes", "last_in_stock", F.lit(True).alias("active"), *KEPT)
         at = F.lit(counts["at"])
         found = engine.evaluate_rules(asked, self.products, [self._slice(state_now, i, slices).drop("listing_id") for i in range(slices)], keep=KEPT).withColumn("created_at", at)
